@@ -1,8 +1,8 @@
 """Ingestion of raw payloads: guard, source, signature, normalization, validation, append.
 
-A payload is parsed once into a VARIANT; every field is a lookup in it. Integration settings are
-one row per source system (six at most, by the enumeration), so they are turned into literal
-expressions instead of being joined.
+A payload is parsed once; every field is a lookup in the result. Integration settings are one row
+per source system (six at most, by the enumeration), so they are turned into literal expressions
+instead of being joined.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from stagewatch.functions.signing import PREFIX, hmac_sha256, key_blocks
 from stagewatch.functions.times import instant, to_utc
 
 TIME_FIELDS = {"occurredAt": ["occurredAt", "occurred_at"], "receivedAt": ["receivedAt", "received_at"]}
+_DOC, _BAD = "_doc", "_bad"
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -33,33 +34,89 @@ def guard_payload_size(df: DataFrame, max_bytes: int = S.MAX_PAYLOAD_BYTES) -> D
     return df.withColumn("too_large", F.coalesce(F.octet_length("raw") > max_bytes, F.lit(False)))
 
 
-def parse(df: DataFrame) -> DataFrame:
-    """Add the parsed payload ``doc``; null when the text is not JSON."""
-    return df.withColumn("doc", F.try_parse_json("raw"))
+def _spellings(name: str) -> list[str]:
+    return TIME_FIELDS.get(name) or [name, *S.FIELD_ALIASES.get(name, [])]
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("doc", path, "string")
+def _segments(path: str) -> list[str] | None:
+    """Parts of a dotted path; None for paths that are not rooted at ``$``."""
+    return path[2:].split(".") if path.startswith("$.") else None
 
 
-def _present(path: str) -> Column:
-    """True when the path exists, also when its value is JSON null."""
-    return F.try_variant_get("doc", path, "variant").isNotNull()
+def parse(df: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """Parse the payload once, keeping only the top-level members that can matter, as VARIANT.
 
-
-def _json_type(path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
-
-
-def _safe(path: str) -> str | None:
-    """A usable dotted path, or None for paths that are not rooted at ``$``."""
-    return path if path.startswith("$.") else None
+    These are the canonical names, their other spellings and the roots of the mapped paths. A VARIANT
+    member keeps the JSON type and tells JSON null from an absent member. ``is_json`` is false for
+    text that is no JSON object.
+    """
+    names = [s for name in S.CANONICAL_FIELDS for s in _spellings(name)]
+    for row in settings(configs) if configs is not None else []:
+        for path in (row["normalization_map"] or {}).values():
+            names += (_segments(path) or [])[:1]
+    # Column names ignore case, JSON members do not: names that clash go to a struct of their own.
+    layers: list[dict[str, str]] = []
+    for name in dict.fromkeys(names):
+        layer = next((x for x in layers if x.get(name.lower(), name) == name), None)
+        if layer is None:
+            layers.append(layer := {})
+        layer[name.lower()] = name
+    columns = {}
+    for i, layer in enumerate(layers):
+        members = [f"`{n}` VARIANT" for n in layer.values()] + ([f"{_BAD} STRING"] if i == 0 else [])
+        columns[f"{_DOC}{i}"] = F.from_json("raw", ", ".join(members), {"columnNameOfCorruptRecord": _BAD})
+    parsed = df.withColumns(columns)
+    return parsed.withColumn("is_json", F.col(f"{_DOC}0").isNotNull() & F.col(f"{_DOC}0.{_BAD}").isNull())
+
+
+class _Payload:
+    """Lookups in the parsed payload columns of a frame."""
+
+    def __init__(self, df: DataFrame):
+        layers = [c for c in df.columns if c.startswith(_DOC)]
+        self.layer = {n: c for c in layers for n in df.schema[c].dataType.names}
+
+    def _at(self, path: str) -> tuple[Column, str]:
+        head, *rest = _segments(path)
+        inside = "$" + "".join(f"['{part}']" for part in rest)
+        return F.col(self.layer[head]).getField(head), inside
+
+    def text(self, path: str) -> Column:
+        return F.try_variant_get(*self._at(path), "string")
+
+    def present(self, path: str) -> Column:
+        """True when the path exists, also when its value is JSON null."""
+        node, inside = self._at(path)
+        return (node if inside == "$" else F.try_variant_get(node, inside, "variant")).isNotNull()
+
+    def moment(self, path: str, as_of: Column | None) -> Column:
+        node, inside = self._at(path)
+        kind = F.schema_of_variant(node if inside == "$" else F.try_variant_get(node, inside, "variant"))
+        return to_utc(self.text(path), kind, as_of)
+
+    def by_name(self, name: str) -> Column:
+        """A canonical text field the payload spells itself; the first spelling present counts."""
+        text = F.lit(None).cast("string")
+        for spelling in reversed(_spellings(name)):
+            path = f"$.{spelling}"
+            text = F.when(self.present(path), self.text(path)).otherwise(text)
+        return text
+
+    def time_by_name(self, name: str, as_of: Column | None) -> Column:
+        """A time the payload spells itself; the last spelling present counts."""
+        moment = F.lit(None).cast("timestamp")
+        for spelling in _spellings(name):
+            path = f"$.{spelling}"
+            moment = F.when(self.present(path), self.moment(path, as_of)).otherwise(moment)
+        return moment
 
 
 def resolve_source(df: DataFrame) -> DataFrame:
     """Source system from the payload, else the header, else Manual; and whether it is known."""
+    payload = _Payload(df)
     source = F.coalesce(
-        _text("$.sourceSystem"), _text("$.source_system"), F.col("header_source"), F.lit(S.DEFAULT_SOURCE)
+        payload.text("$.sourceSystem"), payload.text("$.source_system"), F.col("header_source"),
+        F.lit(S.DEFAULT_SOURCE),
     )
     return df.withColumn("source", source).withColumn("source_ok", F.col("source").isin(S.SOURCES))
 
@@ -84,30 +141,11 @@ def verify_signatures(df: DataFrame, configs: DataFrame) -> DataFrame:
     return df.withColumn("signature_ok", F.when(F.col("signature").isNotNull(), good))
 
 
-def _unmapped(name: str) -> tuple[Column, Column]:
-    """(present, text) of a canonical field that the payload spells itself."""
-    spellings = [name, *S.FIELD_ALIASES.get(name, [])]
-    present, text = F.lit(False), F.lit(None).cast("string")
-    for spelling in reversed(spellings):
-        here = _present(f"$.{spelling}")
-        text = F.when(here, _text(f"$.{spelling}")).otherwise(text)
-        present = here | present
-    return present, text
-
-
-def _unmapped_time(name: str, as_of: Column | None) -> Column:
-    """The later spelling wins when a payload carries both."""
-    moment = F.lit(None).cast("timestamp")
-    for spelling in TIME_FIELDS[name]:
-        path = f"$.{spelling}"
-        moment = F.when(_present(path), to_utc(_text(path), _json_type(path), as_of)).otherwise(moment)
-    return moment
-
-
 def apply_aliases(df: DataFrame) -> DataFrame:
     """Canonical text fields of unmapped payloads, other spellings used only when absent."""
+    payload = _Payload(df)
     names = [n for n in S.CANONICAL_FIELDS if n not in TIME_FIELDS and n not in ("pipelineStatus", "failedSteps")]
-    return df.withColumns({n: _unmapped(n)[1] for n in names})
+    return once(df, {n: payload.by_name(n) for n in names})
 
 
 def map_fields(df: DataFrame, configs: DataFrame, as_of=None) -> DataFrame:
@@ -116,6 +154,7 @@ def map_fields(df: DataFrame, configs: DataFrame, as_of=None) -> DataFrame:
     Only the canonical fields are read, which also strips whatever else a source sends. Manual
     payloads are never mapped. A source with a map yields only the fields the map names.
     """
+    payload = _Payload(df)
     as_of = instant(as_of) if as_of is not None else None
     names = [n for n in S.CANONICAL_FIELDS if n not in ("pipelineStatus", "failedSteps", "receivedAt")]
     maps = {
@@ -126,19 +165,18 @@ def map_fields(df: DataFrame, configs: DataFrame, as_of=None) -> DataFrame:
     columns = {}
     for name in names:
         timed = name in TIME_FIELDS
-        plain = _unmapped_time(name, as_of) if timed else _unmapped(name)[1]
         value = None
         for source, paths in maps.items():
-            spellings = TIME_FIELDS.get(name) or [name, *S.FIELD_ALIASES.get(name, [])]
-            path = next((_safe(paths[s]) for s in spellings if s in paths), None)
+            path = next((paths[s] for s in _spellings(name) if s in paths and _segments(paths[s])), None)
             if path is None:
                 mapped = F.lit(None).cast("timestamp" if timed else "string")
             elif timed:
-                mapped = F.when(_present(path), to_utc(_text(path), _json_type(path), as_of))
+                mapped = F.when(payload.present(path), payload.moment(path, as_of))
             else:
-                mapped = _text(path)
+                mapped = payload.text(path)
             test = F.col("source") == source
             value = F.when(test, mapped) if value is None else value.when(test, mapped)
+        plain = payload.time_by_name(name, as_of) if timed else payload.by_name(name)
         columns[name] = plain if value is None else value.otherwise(plain)
     return once(df, columns)
 
@@ -169,7 +207,8 @@ def apply_defaults(df: DataFrame, as_of=None) -> DataFrame:
 
 def normalize(df: DataFrame, configs: DataFrame, default_missing_ts=None) -> DataFrame:
     """Parsed payloads with a resolved source to canonical events (one row per payload)."""
-    return apply_defaults(map_fields(df, configs, default_missing_ts), default_missing_ts)
+    mapped = map_fields(df, configs, default_missing_ts)
+    return apply_defaults(mapped.drop(*[c for c in mapped.columns if c.startswith(_DOC)]), default_missing_ts)
 
 
 def _errors(checks: list[tuple[Column, str]]) -> Column:
@@ -275,11 +314,11 @@ def ingest(raw: DataFrame, configs: DataFrame, existing: DataFrame, default_miss
     with one event id the first by (received_at, delivery_id) is accepted. The winner is found by
     an aggregate and matched on (id, delivery_id), so the copies of one id spread over all tasks.
     """
-    checked = verify_signatures(resolve_source(parse(guard_payload_size(raw))), configs)
+    checked = verify_signatures(resolve_source(parse(guard_payload_size(raw), configs)), configs)
     events = validate_events(normalize(checked, configs, default_missing_ts))
     reason = (
         F.when(F.col("too_large"), F.array(F.lit("payload: larger than 1 MB")))
-        .when(F.col("doc").isNull(), F.array(F.lit("payload: not JSON")))
+        .when(~F.col("is_json"), F.array(F.lit("payload: not JSON")))
         .when(~F.col("source_ok"), F.array(F.lit("sourceSystem: unknown source system")))
         .when(~F.coalesce("signature_ok", F.lit(True)), F.array(F.lit("signature: invalid or missing")))
         .otherwise(F.col("errors"))
@@ -289,7 +328,7 @@ def ingest(raw: DataFrame, configs: DataFrame, existing: DataFrame, default_miss
         .when(F.coalesce("source_ok", F.lit(False)) & ~F.coalesce("signature_ok", F.lit(True)), 401)
         .otherwise(422)
     )
-    judged = events.withColumns({"reasons": reason, "reject_code": code}).drop("doc", "errors")
+    judged = events.withColumns({"reasons": reason, "reject_code": code}).drop("errors")
     valid = judged.where(F.size("reasons") == 0)
     first = valid.groupBy("id").agg(F.min(F.struct("received_at", "delivery_id")).alias("_first"))
     winners = first.join(existing.select("id"), "id", "left_anti").select(

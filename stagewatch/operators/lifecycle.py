@@ -18,29 +18,26 @@ def _order(prefix: str = "") -> Column:
 
 
 def _accepted(alerts: DataFrame, commands: DataFrame) -> DataFrame:
-    """Per alert its state before, and the commands that take effect in each step of the lifecycle.
+    """Per alert its state before, and the command that takes effect in each step of the lifecycle.
 
-    A step takes the first command of its kind after the step before it, so three grouped minima
-    replace the replay of the command list.
+    A step takes the first command of its kind after the step before it: one join and one grouped
+    minimum per step, all on the alert id, so the rows are exchanged once. No command list is built.
     """
-    found = alerts.select(F.col("id").alias("alert_id"), F.col("lifecycle_state").alias("before"))
-    joined = commands.join(found, "alert_id")
-    steps = found
-    reached = F.lit(None).cast("struct<at:timestamp,command_id:string>")
+    steps = alerts.select(F.col("id").alias("alert_id"), F.col("lifecycle_state").alias("before"))
+    previous = None
     for action, (needed, _) in S.ALERT_COMMANDS.items():
-        after = _order() > reached if action != "acknowledge" else F.lit(False)
-        eligible = (F.col("action") == action) & (
-            (F.col("before") == needed) | F.coalesce(after, F.lit(False))
+        sent = commands.where(F.col("action") == action).select(
+            F.col("alert_id").alias("_alert"), F.struct("at", "command_id", "user_id").alias("_sent")
         )
-        first = (
-            joined.where(eligible)
-            .groupBy("alert_id")
-            .agg(F.min(F.struct("at", "command_id", "user_id")).alias(f"_{action}"))
-        )
-        steps = steps.join(first, "alert_id", "left")
-        joined = joined.join(first, "alert_id", "left")
-        reached = F.struct(F.col(f"_{action}.at"), F.col(f"_{action}.command_id"))
-        reached = F.when(F.col(f"_{action}").isNotNull(), reached)
+        eligible = F.col("before") == needed
+        if previous is not None:
+            last = F.col(previous)
+            later = F.struct("_sent.at", "_sent.command_id") > F.struct(last["at"], last["command_id"])
+            eligible = eligible | (last.isNotNull() & later)
+        first = F.min(F.when(eligible, F.col("_sent"))).alias(f"_{action}")
+        known = steps.columns
+        steps = steps.join(sent, steps["alert_id"] == F.col("_alert"), "left").groupBy(*known).agg(first)
+        previous = f"_{action}"
     return steps
 
 

@@ -23,7 +23,7 @@ def _raw(spark, d):
 
 
 def _sourced(spark, d):
-    return ingest.resolve_source(ingest.parse(_raw(spark, d)))
+    return ingest.resolve_source(ingest.parse(_raw(spark, d), bulk.configs(spark)))
 
 
 def _canonical(spark, d):
@@ -148,7 +148,7 @@ def validate_events(spark, d):
 )
 def validate_strict(spark, d):
     df = ingest.apply_aliases(ingest.parse(_raw(spark, d).drop("id", "occurred_at")))
-    df = df.withColumn("occurredAt", F.try_variant_get("doc", "$.occurredAt", "string"))
+    df = df.withColumn("occurredAt", F.get_json_object("raw", "$.occurredAt"))
     return ingest.validate_strict(df).select("delivery_id", F.array_join("errors", "; ").alias("errors"))
 
 
@@ -194,7 +194,7 @@ def validate_requests(spark, d):
 )
 def verify_signatures(spark, d):
     """Payloads signed with the right secret when ``k`` is even, with another one when it is odd."""
-    df = _sourced(spark, d).where(F.col("doc").isNotNull())
+    df = _sourced(spark, d).where(F.col("is_json"))
     wrong = [F.lit(bytearray(b)) for b in key_blocks("another secret")]
     digest = hmac_sha256(F.col("raw"), *wrong)
     for row in ingest.settings(bulk.configs(spark)):
@@ -214,7 +214,7 @@ def verify_signatures(spark, d):
 )
 def event_append(spark, d):
     checked = ingest.validate_events(_canonical(spark, d))
-    valid = checked.where((F.size("errors") == 0) & F.col("doc").isNotNull())
+    valid = checked.where((F.size("errors") == 0) & F.col("is_json"))
     new = valid.select(*ingest.EVENT_COLUMNS, "delivery_id")
     return ingest.append_events(new, _stored(spark, d)).select("id", "request_id", "received_at", "occurred_at")
 

@@ -65,7 +65,8 @@ def parse(df: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     for i, layer in enumerate(layers):
         members = [f"`{n}` VARIANT" for n in layer.values()] + ([f"{_BAD} STRING"] if i == 0 else [])
         columns[f"{_DOC}{i}"] = F.from_json("raw", ", ".join(members), {"columnNameOfCorruptRecord": _BAD})
-    parsed = df.withColumns(columns)
+    # Also keeps the optimizer from parsing anew for every member that is read.
+    parsed = once(df, columns)
     return parsed.withColumn("is_json", F.col(f"{_DOC}0").isNotNull() & F.col(f"{_DOC}0.{_BAD}").isNull())
 
 
@@ -76,46 +77,42 @@ class _Payload:
         layers = [c for c in df.columns if c.startswith(_DOC)]
         self.layer = {n: c for c in layers for n in df.schema[c].dataType.names}
 
-    def _at(self, path: str) -> tuple[Column, str]:
+    def at(self, path: str) -> Column:
+        """The VARIANT at a path: null when absent, a VARIANT null when it is JSON null."""
         head, *rest = _segments(path)
+        node = F.col(self.layer[head]).getField(head)
         inside = "$" + "".join(f"['{part}']" for part in rest)
-        return F.col(self.layer[head]).getField(head), inside
+        return F.try_variant_get(node, inside, "variant") if rest else node
 
-    def text(self, path: str) -> Column:
-        return F.try_variant_get(*self._at(path), "string")
+    def by_name(self, name: str) -> Column:
+        """A field the payload spells itself: the first spelling present, for times the last."""
+        nodes = [self.at(f"$.{s}") for s in _spellings(name)]
+        return F.coalesce(*(reversed(nodes) if name in TIME_FIELDS else nodes))
 
-    def present(self, path: str) -> Column:
-        """True when the path exists, also when its value is JSON null."""
-        node, inside = self._at(path)
-        return (node if inside == "$" else F.try_variant_get(node, inside, "variant")).isNotNull()
 
-    def moment(self, path: str, as_of: Column | None) -> Column:
-        node, inside = self._at(path)
-        kind = F.schema_of_variant(node if inside == "$" else F.try_variant_get(node, inside, "variant"))
-        return to_utc(self.text(path), kind, as_of)
+def _text(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "string")
 
-    def by_name(self, name: str) -> Column:
-        """A canonical text field the payload spells itself; the first spelling present counts."""
-        text = F.lit(None).cast("string")
-        for spelling in reversed(_spellings(name)):
-            path = f"$.{spelling}"
-            text = F.when(self.present(path), self.text(path)).otherwise(text)
-        return text
-
-    def time_by_name(self, name: str, as_of: Column | None) -> Column:
-        """A time the payload spells itself; the last spelling present counts."""
-        moment = F.lit(None).cast("timestamp")
-        for spelling in _spellings(name):
-            path = f"$.{spelling}"
-            moment = F.when(self.present(path), self.moment(path, as_of)).otherwise(moment)
-        return moment
+
+def _moment(node: Column, as_of: Column | None) -> Column:
+    return F.when(node.isNotNull(), to_utc(_text(node), F.schema_of_variant(node), as_of))
+
+
+def _convert(df: DataFrame, nodes: dict[str, Column], as_of: Column | None) -> DataFrame:
+    """Columns of the given payload nodes: first which node, then once its text or time."""
+    found = once(df, {f"_at_{name}": node for name, node in nodes.items()})
+    values = {
+        name: _moment(F.col(f"_at_{name}"), as_of) if name in TIME_FIELDS else _text(F.col(f"_at_{name}"))
+        for name in nodes
+    }
+    return once(found, values).drop(*[f"_at_{name}" for name in nodes])
 
 
 def resolve_source(df: DataFrame) -> DataFrame:
     """Source system from the payload, else the header, else Manual; and whether it is known."""
     payload = _Payload(df)
     source = F.coalesce(
-        payload.text("$.sourceSystem"), payload.text("$.source_system"), F.col("header_source"),
+        _text(payload.at("$.sourceSystem")), _text(payload.at("$.source_system")), F.col("header_source"),
         F.lit(S.DEFAULT_SOURCE),
     )
     return df.withColumn("source", source).withColumn("source_ok", F.col("source").isin(S.SOURCES))
@@ -145,40 +142,32 @@ def apply_aliases(df: DataFrame) -> DataFrame:
     """Canonical text fields of unmapped payloads, other spellings used only when absent."""
     payload = _Payload(df)
     names = [n for n in S.CANONICAL_FIELDS if n not in TIME_FIELDS and n not in ("pipelineStatus", "failedSteps")]
-    return once(df, {n: payload.by_name(n) for n in names})
+    return _convert(df, {n: payload.by_name(n) for n in names}, None)
 
 
 def map_fields(df: DataFrame, configs: DataFrame, as_of=None) -> DataFrame:
     """Canonical fields of every payload: through the source's path map, else by name.
 
     Only the canonical fields are read, which also strips whatever else a source sends. Manual
-    payloads are never mapped. A source with a map yields only the fields the map names.
+    payloads are never mapped. A source with a map yields only the fields the map names. ``as_of``
+    stands in for a time that is present but unusable.
     """
     payload = _Payload(df)
-    as_of = instant(as_of) if as_of is not None else None
     names = [n for n in S.CANONICAL_FIELDS if n not in ("pipelineStatus", "failedSteps", "receivedAt")]
     maps = {
         r["source_system"]: r["normalization_map"]
         for r in settings(configs)
         if r["normalization_map"] is not None and r["source_system"] != S.DEFAULT_SOURCE
     }
-    columns = {}
+    nodes = {}
     for name in names:
-        timed = name in TIME_FIELDS
-        value = None
+        node = payload.by_name(name)
         for source, paths in maps.items():
             path = next((paths[s] for s in _spellings(name) if s in paths and _segments(paths[s])), None)
-            if path is None:
-                mapped = F.lit(None).cast("timestamp" if timed else "string")
-            elif timed:
-                mapped = F.when(payload.present(path), payload.moment(path, as_of))
-            else:
-                mapped = payload.text(path)
-            test = F.col("source") == source
-            value = F.when(test, mapped) if value is None else value.when(test, mapped)
-        plain = payload.time_by_name(name, as_of) if timed else payload.by_name(name)
-        columns[name] = plain if value is None else value.otherwise(plain)
-    return once(df, columns)
+            mapped = payload.at(path) if path else F.lit(None).cast("variant")
+            node = F.when(F.col("source") == source, mapped).otherwise(node)
+        nodes[name] = node
+    return _convert(df, nodes, instant(as_of) if as_of is not None else None)
 
 
 def apply_defaults(df: DataFrame, as_of=None) -> DataFrame:

@@ -8,6 +8,7 @@ computed from these, so all work grows with the bulk tables.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,11 +29,22 @@ DEPARTMENTS = {
     "error": "Logistics",
 }
 
-_HOT: dict[str, dict] = {}
+# Declared schemas of the bulk tables in use: no job reads footers to infer them.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+# Plans, not data: a frame is built once per session and folder, like a registered view.
+_view = lru_cache(maxsize=64)
 
 
+@_view
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pick(values: list[str], place) -> F.Column:
@@ -44,6 +56,7 @@ def request_key(number) -> F.Column:
     return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(number.cast("string"), 12, "0"))
 
 
+@_view
 def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workflow events without their states: a pure projection of the scan."""
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -67,44 +80,52 @@ def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
+def _hot_requests(spark: SparkSession, sf_dir: str) -> tuple:
+    return tuple(hot_keys(plain_events(spark, sf_dir), "request_id").items())
+
+
 def hot_requests(spark: SparkSession, sf_dir: str) -> dict:
-    """Requests too large for one task. Only a hint for the plan, so remembered per folder."""
-    if sf_dir not in _HOT:
-        _HOT[sf_dir] = hot_keys(plain_events(spark, sf_dir), "request_id")
-    return _HOT[sf_dir]
+    """Requests too large for one task. A hint for the plan only, so looked up once per folder."""
+    return dict(_hot_requests(spark, sf_dir))
 
 
-def ops_events(spark: SparkSession, sf_dir: str, want: Sequence | None = None) -> DataFrame:
-    """Workflow events; the n-th event of a request enters the n-th stage, up to Completed."""
-    want = want or Sequence()
-    want = Sequence(position="rn", lead=want.lead, lag=want.lag)
-    df = sequence(
+@_view
+def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their place ``rn`` in the request and the time ``next_at`` of the next one."""
+    want = Sequence(position="rn", lead={"next_at": "occurred_at"})
+    return sequence(
         plain_events(spark, sf_dir), "request_id", "occurred_at", "id", want, hot_requests(spark, sf_dir)
     )
+
+
+@_view
+def ops_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflow events; the n-th event of a request enters the n-th stage, up to Completed."""
     last = len(S.PROGRESS_STAGES)
-    return df.withColumns(
+    before = F.greatest(F.least(F.col("rn") - 1, F.lit(last)), F.lit(1))
+    return sequenced(spark, sf_dir).withColumns(
         {
             "new_state": _pick(S.STAGES, F.least(F.col("rn"), F.lit(last))),
-            "previous_state": F.when(
-                F.col("rn") > 1, _pick(S.STAGES, F.greatest(F.least(F.col("rn") - 1, F.lit(last)), F.lit(1)))
-            ),
+            "previous_state": F.when(F.col("rn") > 1, _pick(S.STAGES, before)),
         }
     )
 
 
+@_view
 def rules(spark: SparkSession) -> DataFrame:
     """The default SLA rules (seven rows, one per active stage)."""
-    data = [(stage, hours, text) for stage, hours, text in S.SLA_SEED]
-    df = spark.createDataFrame(data, "journey_stage string, threshold_hours string, description string")
-    return df.withColumn("threshold_hours", F.col("threshold_hours").cast("decimal(8,2)"))
+    rows = ", ".join(f"('{stage}', CAST({hours} AS DECIMAL(8,2)), '{text}')" for stage, hours, text in S.SLA_SEED)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(journey_stage, threshold_hours, description)")
 
 
+@_view
 def dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage entries with the time of the next transition, from the sequence of ``ops_events``."""
-    events = ops_events(spark, sf_dir, Sequence(lead={"next_at": "occurred_at"}))
-    return stage_dwell(events, AS_OF)
+    return stage_dwell(ops_events(spark, sf_dir), AS_OF)
 
 
+@_view
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per request: first event gives the origin, last one the state, dwells the breach."""
     evaluated = sla_evaluate(dwell(spark, sf_dir), rules(spark), keep_terminal=True)
@@ -148,6 +169,7 @@ def with_customer(reqs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     return reqs.join(customer, "user_id", "left")
 
 
+@_view
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer is a user; the role follows the key."""
     key = F.col("c_custkey")
@@ -161,6 +183,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SLA alerts of all stage entries, moved through the lifecycle by the event's ``k``."""
     evaluated = sla_evaluate(dwell(spark, sf_dir), rules(spark))
@@ -189,11 +212,13 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored timeline entries: one per event, numbered in order of arrival."""
     return timeline_positions(plain_events(spark, sf_dir), by="arrival", hot=hot_requests(spark, sf_dir))
 
 
+@_view
 def configs(spark: SparkSession) -> DataFrame:
     """Integration settings: CRM maps its own field names, ERP nests them, Manual has no secret."""
     crm = {"id": "$.crm_id", "requestId": "$.opportunity_id", "eventType": "$.activity_type",
@@ -211,6 +236,7 @@ def configs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(data, S.TABLES["integration_configs"])
 
 
+@_view
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw payloads of the events as the source systems would send them.
 

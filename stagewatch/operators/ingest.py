@@ -296,13 +296,8 @@ def append_events(new: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def ingest(raw: DataFrame, configs: DataFrame, existing: DataFrame, default_missing_ts=None) -> DataFrame:
-    """Outcome of every payload: accepted, duplicate or invalid, with reasons and the HTTP code.
-
-    ``raw`` follows the ``raw_events`` schema; ``delivery_id`` is unique. Of several valid payloads
-    with one event id the first by (received_at, delivery_id) is accepted. The winner is found by
-    an aggregate and matched on (id, delivery_id), so the copies of one id spread over all tasks.
-    """
+def judge(raw: DataFrame, configs: DataFrame, default_missing_ts=None) -> DataFrame:
+    """Canonical event of every payload with ``reasons``, empty when it is valid, and the reject code."""
     checked = verify_signatures(resolve_source(parse(guard_payload_size(raw), configs)), configs)
     events = validate_events(normalize(checked, configs, default_missing_ts))
     reason = (
@@ -317,7 +312,16 @@ def ingest(raw: DataFrame, configs: DataFrame, existing: DataFrame, default_miss
         .when(F.coalesce("source_ok", F.lit(False)) & ~F.coalesce("signature_ok", F.lit(True)), 401)
         .otherwise(422)
     )
-    judged = events.withColumns({"reasons": reason, "reject_code": code}).drop("errors")
+    return events.withColumns({"reasons": reason, "reject_code": code}).drop("errors")
+
+
+def settle(judged: DataFrame, existing: DataFrame) -> DataFrame:
+    """Outcome of judged payloads: accepted, duplicate or invalid, with the HTTP code.
+
+    Of several valid payloads with one event id the first by (received_at, delivery_id) is
+    accepted. The winner is found by an aggregate and matched on (id, delivery_id), so the copies
+    of one id spread over all tasks.
+    """
     valid = judged.where(F.size("reasons") == 0)
     first = valid.groupBy("id").agg(F.min(F.struct("received_at", "delivery_id")).alias("_first"))
     winners = first.join(existing.select("id"), "id", "left_anti").select(
@@ -331,15 +335,22 @@ def ingest(raw: DataFrame, configs: DataFrame, existing: DataFrame, default_miss
         .when(F.col("_winner").isNotNull(), "accepted")
         .otherwise("duplicate")
     )
-    outcome = joined.withColumn("status", status)
-    return outcome.withColumn(
-        "http_code",
+    code = (
         F.when(F.col("status") == "accepted", 202)
         .when(F.col("status") == "duplicate", 409)
-        .otherwise(F.col("reject_code")),
-    ).withColumn(
-        "pipeline_status", F.when(F.col("status") == "invalid", "partial").otherwise("pending")
-    ).drop("_id", "_winner", "reject_code")
+        .otherwise(F.col("reject_code"))
+    )
+    pipeline = F.when(F.col("status") == "invalid", "partial").otherwise("pending")
+    return (
+        joined.withColumn("status", status)
+        .withColumns({"http_code": code, "pipeline_status": pipeline})
+        .drop("_id", "_winner", "reject_code")
+    )
+
+
+def ingest(raw: DataFrame, configs: DataFrame, existing: DataFrame, default_missing_ts=None) -> DataFrame:
+    """Outcome of every payload of the ``raw_events`` schema against the stored events."""
+    return settle(judge(raw, configs, default_missing_ts), existing)
 
 
 def accepted_events(outcome: DataFrame) -> DataFrame:

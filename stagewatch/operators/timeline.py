@@ -16,6 +16,23 @@ def timeline_positions(events: DataFrame, by: str = "arrival", hot: dict | None
     )
 
 
+def append_timeline(events: DataFrame, timelines: DataFrame, hot: dict | None = None, **cut) -> DataFrame:
+    """Timeline entries of new events: positions go on from the entries a request already has.
+
+    An event that has its entry gets no second one.
+    """
+    fresh = events.join(
+        timelines.select("request_id", F.col("event_id").alias("id")), ["request_id", "id"], "left_anti"
+    )
+    held = timelines.groupBy("request_id").agg(F.count(F.lit(1)).alias("_held"))
+    entries = timeline_positions(fresh, "arrival", hot, **cut)
+    return (
+        entries.join(held, "request_id", "left")
+        .withColumn("position", F.col("position") + F.coalesce("_held", F.lit(0)))
+        .select("request_id", "event_id", "position", "appended_at")
+    )
+
+
 def request_timeline(events: DataFrame, timelines: DataFrame, users: DataFrame) -> DataFrame:
     """Timeline entries with event and user; the user is null unless id and e-mail are known.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stagewatch import schema as S
 
@@ -44,31 +44,34 @@ def read_raw_events_kafka(spark: SparkSession, servers: str, topic: str) -> Data
     )
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch as its own partition: a replayed batch replaces itself."""
+def write_batch(df: DataFrame, path: str, batch_id: int, stream: str) -> None:
+    """Write one micro-batch as its own partition: a replayed batch replaces itself.
+
+    Batch ids count from 0 per checkpoint, so a stream with a new checkpoint needs a new name.
+    """
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        df.withColumns({"stream": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("stream", "batch_id")
         .parquet(path)
     )
 
 
-def read_batches(
-    spark: SparkSession, name_or_schema, path: str, before_batch: int | None = None
-) -> DataFrame:
-    """Rows written by ``write_batch``; with ``before_batch`` only those of earlier batches."""
-    kind = S.TABLES[name_or_schema] if isinstance(name_or_schema, str) else name_or_schema
-    kind = type(kind)(list(kind.fields)).add("batch_id", "long")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df = spark.createDataFrame([], kind)
-    else:
-        df = spark.read.schema(kind).parquet(path)
-    if before_batch is not None:
-        df = df.where(F.col("batch_id") < F.lit(before_batch))
-    return df.drop("batch_id")
+def exists(spark: SparkSession, path: str) -> bool:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
+def read_batches(spark: SparkSession, kind: T.StructType, path: str, besides: tuple[str, int] | None = None) -> DataFrame:
+    """Rows written by ``write_batch``, without those of the batch ``besides`` (stream, batch id)."""
+    whole = T.StructType([*kind.fields, T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], kind)
+    df = spark.read.schema(whole).parquet(path)
+    if besides is not None:
+        df = df.where(~((F.col("stream") == besides[0]) & (F.col("batch_id") == besides[1])))
+    return df.drop("stream", "batch_id")
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ def half_up(value: Column, digits: int) -> Column:
 
 
 def fixed_text(value: Column, digits: int) -> Column:
-    """Text with exactly ``digits`` decimals, e.g. 1.005 at 2 digits is '1.01'."""
+    """Text with exactly ``digits`` decimals, e.g. 12.3 at 2 digits is '12.30'."""
     scale = 10**digits
     units = F.floor(F.abs(value.cast("double")) * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))

@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stagewatch import schema as S
 from stagewatch.functions.ladders import stage_index
 from stagewatch.functions.times import instant
+from stagewatch.plans.sequence import chunk_of
 
 MAX_PAGE = 100
 DEFAULT_PAGE = 20
+DEEP_OFFSET = 100_000
+SLICES = 1000
 
 
 def clamp_page(page: int, size: int) -> tuple[int, int, int]:
@@ -22,9 +25,50 @@ def page_count(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
-def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
-    """One page in a total order; the sort keeps only the rows up to the end of the page."""
+def _skip(df: DataFrame, at: str, newest_first: bool, offset: int, size: int) -> tuple[DataFrame, int]:
+    """The time slices that hold the rows offset..offset+size, and the offset left within them.
+
+    A thousand slices of about equal size are counted, so a page far back does not make every task
+    and the driver keep all rows before it. The counts are exact, whatever the borders are.
+    """
+    micros = F.unix_micros(at)
+    shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    borders = sorted(set(df.agg(F.percentile_approx(micros, shares, F.lit(10_000))).first()[0] or []))
+    if not borders:
+        return df, offset
+    place = chunk_of(F.array(*[F.lit(b) for b in borders]), micros)
+    counts = {r["s"]: r["n"] for r in df.groupBy(place.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(counts, reverse=newest_first)
+    before, wanted = 0, []
+    for s in order:
+        if not wanted and before + counts[s] <= offset:
+            before += counts[s]
+            continue
+        wanted.append(s)
+        if before + sum(counts[w] for w in wanted) >= offset + size:
+            break
+    if not wanted:
+        return df.where(F.lit(False)), 0
+    low, high = min(wanted), max(wanted)
+    if low > 0:
+        df = df.where(F.col(at) >= F.timestamp_micros(F.lit(borders[low - 1])))
+    if high < len(borders):
+        df = df.where(F.col(at) < F.timestamp_micros(F.lit(borders[high])))
+    return df, offset - before
+
+
+def paginate(
+    df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAULT_PAGE, by: str | None = None,
+    newest_first: bool = True,
+) -> DataFrame:
+    """One page in a total order; the sort keeps only the rows up to the end of the page.
+
+    ``by`` names the timestamp the order starts with. Pages deep in the listing are then first
+    narrowed to the time slices that hold them.
+    """
     _, size, offset = clamp_page(page, size)
+    if by is not None and offset > DEEP_OFFSET:
+        df, offset = _skip(df, by, newest_first, offset, size)
     return df.orderBy(*order).offset(offset).limit(size)
 
 
@@ -65,7 +109,7 @@ def filter_events(events: DataFrame, request_id=None, department=None, event_typ
 
 def list_events(events: DataFrame, page: int = 1, size: int = DEFAULT_PAGE, **filters) -> DataFrame:
     """One page of events, newest first."""
-    return paginate(filter_events(events, **filters), [F.desc("occurred_at"), F.asc("id")], page, size)
+    return paginate(filter_events(events, **filters), [F.desc("occurred_at"), F.asc("id")], page, size, "occurred_at")
 
 
 def filter_alerts(alerts: DataFrame, severity=None, alert_type=None, lifecycle_state=None, start=None, end=None) -> DataFrame:
@@ -75,7 +119,7 @@ def filter_alerts(alerts: DataFrame, severity=None, alert_type=None, lifecycle_s
 
 def list_alerts(alerts: DataFrame, page: int = 1, size: int = DEFAULT_PAGE, **filters) -> DataFrame:
     """One page of alerts, newest first."""
-    return paginate(filter_alerts(alerts, **filters), [F.desc("created_at"), F.asc("id")], page, size)
+    return paginate(filter_alerts(alerts, **filters), [F.desc("created_at"), F.asc("id")], page, size, "created_at")
 
 
 def recent_alerts(alerts: DataFrame, n: int = 5) -> DataFrame:
@@ -112,7 +156,8 @@ def filter_requests(requests: DataFrame, department=None, stage=None, status=Non
 
 def list_requests(requests: DataFrame, role: str, department=None, page: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
     """One page of the requests a role may see, oldest first."""
-    return paginate(scope_requests(requests, role, department), [F.asc("created_at"), F.asc("id")], page, size)
+    order = [F.asc("created_at"), F.asc("id")]
+    return paginate(scope_requests(requests, role, department), order, page, size, "created_at", newest_first=False)
 
 
 def search_requests(requests: DataFrame, text: str) -> DataFrame:

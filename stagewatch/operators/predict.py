@@ -233,7 +233,7 @@ def delay_prediction(predictions: DataFrame) -> DataFrame:
 
 def prediction_cache_miss(requests: DataFrame, predictions: DataFrame) -> DataFrame:
     """Active requests without a fresh prediction: only these need scoring."""
-    fresh = predictions.where(~F.col("is_stale")).select(F.col("request_id").alias("id"))
+    fresh = predictions.where(~F.col("is_stale")).select(F.col("request_id").alias("id")).distinct()
     return active_requests(requests).join(fresh, "id", "left_anti")
 
 
@@ -268,4 +268,4 @@ def risk_alerts(predictions: DataFrame, open_alerts: DataFrame | None = None) ->
     if open_alerts is None:
         return rows
     held = open_alerts.where((F.col("lifecycle_state") != "Archived") & (F.col("alert_type") == S.CRITICAL_DELAY))
-    return rows.join(held.select("request_id"), "request_id", "left_anti").select(*rows.columns)
+    return rows.join(held.select("request_id").distinct(), "request_id", "left_anti").select(*rows.columns)

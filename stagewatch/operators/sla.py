@@ -110,7 +110,7 @@ def dedup_alerts(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     one = F.min_by(F.struct(*rest), F.struct("id", "message")).alias("_row")
     open_alerts = existing.where(F.col("lifecycle_state") != "Archived").select(
         "request_id", F.get_json_object("metadata", "$.journeyStage").alias("journey_stage"), "severity"
-    )
+    ).distinct()  # many open copies of one alert become one row before they are shuffled
     return (
         candidates.groupBy(*ALERT_KEY).agg(one).select(*ALERT_KEY, "_row.*").select(*candidates.columns)
         .join(open_alerts, ALERT_KEY, "left_anti")

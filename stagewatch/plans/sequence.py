@@ -94,7 +94,7 @@ def _chunk_borders(df: DataFrame, key: str, at: str, hot: dict, rows_per_chunk:
     return df.sparkSession.createDataFrame(data, kind)
 
 
-def _chunk_of(borders: Column, moment: Column) -> Column:
+def chunk_of(borders: Column, moment: Column) -> Column:
     """Number of borders at or before the moment, by binary search; 0 for keys that are not cut."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_CHUNKS.bit_length()))])
 
@@ -109,7 +109,7 @@ def _chunked(df, key, at, tie, want, hot, rows_per_chunk):
     borders = _chunk_borders(df, key, at, hot, rows_per_chunk)
     cut = (
         df.join(F.broadcast(borders), key, "left")
-        .withColumn("_chunk", _chunk_of(F.col("_borders"), F.unix_micros(at)))
+        .withColumn("_chunk", chunk_of(F.col("_borders"), F.unix_micros(at)))
         .withColumn("_hot", F.col("_borders").isNotNull())
         .drop("_borders")
     )

@@ -165,7 +165,11 @@ def fit_model(history: DataFrame, rounds: int = 5, depth: int = 3):
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     risk = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, seed=7)
     delay = GBTRegressor(labelCol="excess_hours", predictionCol="_delay", maxIter=rounds, maxDepth=depth, seed=7)
-    return Pipeline(stages=[assembler, risk, delay]).fit(history)
+    history = history.persist()  # the boosting passes read it again and again
+    try:
+        return Pipeline(stages=[assembler, risk, delay]).fit(history)
+    finally:
+        history.unpersist()
 
 
 def score(features: DataFrame, as_of, model=None) -> DataFrame:

@@ -1,10 +1,10 @@
 """Order-dependent columns per key that stay parallel when one key is huge.
 
 A window over a key sorts all rows of that key in one task. That is right for ordinary keys and
-wrong for a key that holds a large share of the table. ``hot_keys`` finds the latter with one
-mergeable sketch over a single column; ``sequence`` cuts only those keys into time chunks of equal
-size, runs the window per (key, chunk) and repairs the chunk borders from one small row per chunk.
-Which keys are cut changes the plan, never the result.
+wrong for a key that holds a large share of the table. ``hot_keys`` finds the latter from one
+column; ``sequence`` cuts only those keys into time chunks of about equal size, runs the window per
+(key, chunk) and repairs the chunk borders from one small row per chunk. Which keys are cut, and
+where, changes the plan, never the result.
 """
 
 from __future__ import annotations
@@ -13,27 +13,32 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-# A key is cut when it holds more than this share of the rows, and at least MIN_ROWS of them.
-HOT_SHARE = 0.001
-MIN_ROWS = 1_000_000
+MIN_ROWS = 1_000_000  # keys with fewer rows are never cut
+MAX_KEYS = 10_000  # any key beyond the largest ones holds less than 1/10,000 of the rows
+SAMPLE = 1 / 256
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 1024
-TRACKED = 10_000  # sketch size: the count error stays below a third of HOT_SHARE
+MAX_CHUNKS = 4096  # per key
+MAX_BORDERS = 50_000  # of all keys together, about
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS, share: float = HOT_SHARE) -> dict:
-    """Keys holding more than ``share`` of the rows, with their approximate row counts.
+def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS, fraction: float = SAMPLE) -> dict:
+    """The largest keys with about ``min_rows`` rows or more, and their estimated sizes.
 
-    At most ``1 / share`` keys can qualify, which bounds what reaches the driver.
+    Counted on a sample of one column, which costs a scan and a small shuffle. The sample only
+    steers the plan; ``MAX_KEYS`` bounds what reaches the driver.
     """
-    most = int(1 / share)
-    sketch = F.expr(f"approx_top_k(`{key}`, {most}, {max(TRACKED, 3 * most)})")
-    top = df.where(F.col(key).isNotNull()).select(key).agg(
-        F.count(F.lit(1)).alias("total"), sketch.alias("top")
+    rows = (
+        df.where(F.col(key).isNotNull())
+        .select(key)
+        .sample(fraction, seed=17)
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= min_rows * fraction)
+        .orderBy(F.desc("n"))
+        .limit(MAX_KEYS)
+        .collect()
     )
-    floor = F.greatest(F.lit(float(min_rows)), F.col("total") * F.lit(share))
-    hot = top.select(F.filter("top", lambda t: t["count"] >= floor).alias("hot")).first()["hot"]
-    return {row["item"]: row["count"] for row in hot or []}
+    return {row[key]: int(row["n"] / fraction) for row in rows}
 
 
 @dataclass
@@ -76,22 +81,33 @@ def _with_windows(df: DataFrame, window, want: Sequence) -> DataFrame:
 
 
 def _chunk_borders(df: DataFrame, key: str, at: str, hot: dict, rows_per_chunk: int) -> DataFrame:
-    """One row per hot key with its sorted chunk borders: at most 1/share x MAX_CHUNKS numbers."""
-    chunks = min(MAX_CHUNKS, max(2, -(-max(hot.values()) // rows_per_chunk)))
-    shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    """One row per hot key with its sorted chunk borders, MAX_BORDERS + MAX_KEYS numbers in all."""
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    size = max(rows_per_chunk, sum(hot.values()) // MAX_BORDERS)
+    chunks = {k: min(MAX_CHUNKS, max(2, -(-n // size))) for k, n in hot.items()}
+    most = max(chunks.values())
+    shares = ", ".join(f"{i / most!r}D" for i in range(1, most))
+    wanted = spark.createDataFrame(
+        list(chunks.items()), T.StructType([T.StructField(key, kind), T.StructField("_n", T.IntegerType())])
+    )
+    # All keys get the same quantiles; each keeps as many as it needs before they are collected.
     rows = (
-        df.where(F.col(key).isin(list(hot)))
+        df.select(key, at)
+        .join(F.broadcast(wanted), key)
         .groupBy(key)
-        .agg(F.percentile_approx(F.unix_micros(at), shares, F.lit(10_000)).alias("borders"))
+        .agg(F.expr(f"percentile_approx(unix_micros(`{at}`), array({shares}), 20000)").alias("q"), F.max("_n").alias("n"))
+        .select(
+            key,
+            F.transform(
+                F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.element_at("q", F.floor(i * most / F.col("n")).cast("int"))
+            ).alias("borders"),
+        )
         .collect()
     )
     # The collected numbers become literals, so that every use of the borders, also after a lost
     # executor, cuts the rows at the same places.
-    kind = T.StructType(
-        [T.StructField(key, df.schema[key].dataType), T.StructField("_borders", T.ArrayType(T.LongType()))]
-    )
-    data = [(r[key], sorted(set(r["borders"]))) for r in rows]
-    return df.sparkSession.createDataFrame(data, kind)
+    shape = T.StructType([T.StructField(key, kind), T.StructField("_borders", T.ArrayType(T.LongType()))])
+    return spark.createDataFrame([(r[key], sorted(set(r["borders"]))) for r in rows], shape)
 
 
 def chunk_of(borders: Column, moment: Column) -> Column:

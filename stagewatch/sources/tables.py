@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stagewatch import schema as S
 
@@ -44,16 +44,17 @@ def read_raw_events_kafka(spark: SparkSession, servers: str, topic: str) -> Data
     )
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, stream: str) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, stream: str, by: str | None = None) -> None:
     """Write one micro-batch as its own partition: a replayed batch replaces itself.
 
     Batch ids count from 0 per checkpoint, so a stream with a new checkpoint needs a new name.
+    ``by`` adds a leading partition column for readers that prune on it.
     """
     (
         df.withColumns({"stream": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("stream", "batch_id")
+        .partitionBy(*([by] if by else []), "stream", "batch_id")
         .parquet(path)
     )
 
@@ -63,15 +64,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def read_batches(spark: SparkSession, kind: T.StructType, path: str, besides: tuple[str, int] | None = None) -> DataFrame:
-    """Rows written by ``write_batch``, without those of the batch ``besides`` (stream, batch id)."""
-    whole = T.StructType([*kind.fields, T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())])
+def read_batches(spark: SparkSession, kind: T.StructType, path: str, where: Column | None = None) -> DataFrame:
+    """Rows written by ``write_batch``; ``where`` may test the partition columns."""
     if not exists(spark, path):
         return spark.createDataFrame([], kind)
-    df = spark.read.schema(whole).parquet(path)
-    if besides is not None:
-        df = df.where(~((F.col("stream") == besides[0]) & (F.col("batch_id") == besides[1])))
-    return df.drop("stream", "batch_id")
+    df = spark.read.schema(kind).parquet(path)
+    if where is not None:
+        df = df.where(where)
+    return df.select(*kind.names)
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:

@@ -66,7 +66,10 @@ def command_batch(commands: DataFrame, batch_id: int, alerts: DataFrame, store:
         named = commands.select(F.col("alert_id").alias("id")).distinct()
         if commands.count() <= MAX_BROADCAST_IDS:
             named = F.broadcast(named)
-        log = read_batches(spark, LOG, store.path("alert_log"), (store.stream, batch_id))
+        log = read_batches(
+            spark, LOG, store.path("alert_log"),
+            ~((F.col("stream") == store.stream) & (F.col("batch_id") == batch_id)),
+        )
         before = apply_log(alerts.join(named, "id", "left_semi"), log.join(named, "id", "left_semi"))
         after, rejects = lifecycle.apply_transitions(before, commands)
         store.write(log_rows(before, after), "alert_log", batch_id)

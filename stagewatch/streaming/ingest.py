@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stagewatch import schema as S
 from stagewatch.operators import broadcast, ingest, sla, timeline
@@ -35,14 +36,36 @@ class Store:
     def write(self, df: DataFrame, name: str, batch_id: int) -> None:
         write_batch(df, self.path(name), batch_id, self.stream)
 
-    def before(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
-        """A table as it was without the given batch."""
-        return read_batches(spark, S.TABLES[name], self.path(name), (self.stream, batch_id))
+    def write_events(self, events: DataFrame, batch_id: int) -> None:
+        """Events lie by day of arrival, so that recent ones are found without reading the rest."""
+        dated = events.withColumn("received_date", F.to_date("received_at"))
+        write_batch(dated, self.path("events"), batch_id, self.stream, by="received_date")
+
+    def _mine(self, batch_id: int) -> Column:
+        return (F.col("stream") == self.stream) & (F.col("batch_id") == batch_id)
+
+    def before(self, spark: SparkSession, name: str, batch_id: int, since: date | None = None) -> DataFrame:
+        """A table as it was without the given batch; events optionally from a day of arrival on."""
+        where = ~self._mine(batch_id)
+        if since is not None:
+            where = where & (F.col("received_date") >= F.lit(since))
+        return read_batches(spark, S.TABLES[name], self.path(name), where)
+
+    def of_batch(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
+        return read_batches(spark, S.TABLES[name], self.path(name), self._mine(batch_id))
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return read_batches(spark, S.TABLES[name], self.path(name))
 
 
+def first_day(batch: DataFrame, within_days: int | None) -> date | None:
+    """Day from which stored events matter to a batch, or None for all of them."""
+    if within_days is None:
+        return None
+    first = batch.agg(F.to_date(F.min("received_at"))).first()[0]
+    return first - timedelta(days=within_days) if first else None
+
+
 def known_ids(judged: DataFrame, stored: DataFrame, rows: int) -> DataFrame:
     """Stored ids that occur in the batch.
 
@@ -69,18 +92,21 @@ def fan_out(batch: DataFrame, batch_id: int, steps: dict[str, Step], attempts: i
     return failed
 
 
-def default_steps(spark: SparkSession, store: Store, rules: DataFrame) -> dict[str, Step]:
-    """The five steps after storing: timeline, SLA evaluation, alerts, messages, request volumes."""
+def default_steps(spark: SparkSession, store: Store, rules: DataFrame, within_days: int | None = None) -> dict[str, Step]:
+    """The five steps after storing: timeline, SLA evaluation, alerts, messages, event volumes.
+
+    SLA evaluation looks up the latest earlier event of the batch's requests, which reads four
+    columns of the store, or of its last ``within_days`` days. For short triggers on a large store
+    leave the step out and run ``sla_monitor_stream``, which keeps that event in its state.
+    """
 
     def timeline_step(batch: DataFrame, batch_id: int) -> None:
-        held = store.before(spark, "timelines", batch_id).join(
-            batch.select("request_id").distinct(), "request_id", "left_semi"
-        )
-        store.write(timeline.append_timeline(batch, held), "timelines", batch_id)
+        entries = batch.select("request_id", F.col("id").alias("event_id"), F.col("received_at").alias("appended_at"))
+        store.write(entries, "timeline_entries", batch_id)
 
     def candidates(batch: DataFrame, batch_id: int) -> DataFrame:
         """Alerts for the stages a batch ends: its events after the latest earlier one per request."""
-        earlier = store.before(spark, "events", batch_id).join(
+        earlier = store.before(spark, "events", batch_id, first_day(batch, within_days)).join(
             batch.select("request_id").distinct(), "request_id", "left_semi"
         )
         latest = timeline.current_stage(earlier).select(
@@ -100,10 +126,8 @@ def default_steps(spark: SparkSession, store: Store, rules: DataFrame) -> dict[s
         store.write(broadcast.create_alerts(candidates(batch, batch_id)), "alerts", batch_id)
 
     def alert_step(batch: DataFrame, batch_id: int) -> None:
-        mine = spark.read.parquet(store.path("alerts")).where(
-            (F.col("stream") == store.stream) & (F.col("batch_id") == batch_id)
-        )
-        payloads = broadcast.broadcast_payloads(mine.drop("stream", "batch_id"), batch.limit(0))
+        none = spark.createDataFrame([], S.TABLES["events"])
+        payloads = broadcast.broadcast_payloads(store.of_batch(spark, "alerts", batch_id), none)
         store.write(payloads, "alert_messages", batch_id)
 
     def broadcast_step(batch: DataFrame, batch_id: int) -> None:
@@ -123,17 +147,21 @@ def default_steps(spark: SparkSession, store: Store, rules: DataFrame) -> dict[s
 
 def ingest_batch(
     raw: DataFrame, batch_id: int, configs: DataFrame, store: Store, steps: dict[str, Step] | None = None,
-    default_missing_ts=None,
+    default_missing_ts=None, within_days: int | None = None,
 ) -> None:
-    """Process one micro-batch: judge, settle against the store, write, run the steps."""
+    """Process one micro-batch: judge, settle against the store, write, run the steps.
+
+    Duplicates are recognized for all time, at the cost of scanning the id column of the store; a
+    source that repeats events only within some days can say so by ``within_days``.
+    """
     spark = raw.sparkSession
     judged = ingest.judge(raw, configs, default_missing_ts).persist()
     try:
-        known = known_ids(judged, store.before(spark, "events", batch_id), judged.count())
-        outcome = ingest.settle(judged, known).persist()
+        stored = store.before(spark, "events", batch_id, first_day(judged, within_days))
+        outcome = ingest.settle(judged, known_ids(judged, stored, judged.count())).persist()
         try:
             accepted = ingest.accepted_events(outcome)
-            store.write(accepted, "events", batch_id)
+            store.write_events(accepted, batch_id)
             rejected = outcome.where(F.col("status") != "accepted").select(
                 "delivery_id", "raw", "id", "status", "http_code", "reasons", "received_at"
             )
@@ -153,23 +181,45 @@ def ingest_batch(
 
 def start_ingest(
     raw: DataFrame, configs: DataFrame, store: Store, checkpoint: str, steps: dict[str, Step] | None = None,
-    continuous: str | None = None, default_missing_ts=None,
+    continuous: str | None = None, default_missing_ts=None, within_days: int | None = None,
 ):
     """Start ingestion of a raw stream; one pass over what is there, or every ``continuous`` interval."""
     writer = raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: ingest_batch(batch, batch_id, configs, store, steps, default_missing_ts)
+        lambda batch, batch_id: ingest_batch(batch, batch_id, configs, store, steps, default_missing_ts, within_days)
     )
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
     return writer.start()
 
 
+STATUS = T.StructType(
+    [T.StructField("id", T.StringType()), T.StructField("pipeline_status", T.StringType()),
+     T.StructField("failed_steps", T.ArrayType(T.StringType()))]
+)
+ENTRY = T.StructType(
+    [T.StructField("request_id", T.StringType()), T.StructField("event_id", T.StringType()),
+     T.StructField("appended_at", T.TimestampType())]
+)
+
+
 def stored_events(spark: SparkSession, store: Store) -> DataFrame:
     """Stored events with the status their steps ended in."""
-    kind = "id string, pipeline_status string, failed_steps array<string>"
-    status = read_batches(spark, spark.createDataFrame([], kind).schema, store.path("event_status"))
+    status = read_batches(spark, STATUS, store.path("event_status"))
     return store.read(spark, "events").drop("pipeline_status", "failed_steps").join(status, "id", "left")
 
 
+def stored_timelines(spark: SparkSession, store: Store) -> DataFrame:
+    """Timeline entries with their positions, which follow from the order of arrival."""
+    entries = read_batches(spark, ENTRY, store.path("timeline_entries"))
+    return timeline.timeline_positions(
+        entries.select("request_id", F.col("event_id").alias("id"), F.col("appended_at").alias("received_at"))
+    )
+
+
+def drop_repeats(events: DataFrame, within: str) -> DataFrame:
+    """A stream of events without repeats of an id that arrive within the given time."""
+    return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark(["id"])
+
+
 def start_sync(source: DataFrame, configs: DataFrame, store: Store, checkpoint: str):
     """Incremental pull of canonical events from active sources; each run takes only what is new.
 
@@ -182,7 +232,7 @@ def start_sync(source: DataFrame, configs: DataFrame, store: Store, checkpoint:
         try:
             known = known_ids(batch, store.before(spark, "events", batch_id), batch.count())
             fresh, report = ingest.incremental_sync(batch, configs, known)
-            store.write(fresh.select(*ingest.EVENT_COLUMNS), "events", batch_id)
+            store.write_events(fresh.select(*ingest.EVENT_COLUMNS), batch_id)
             store.write(report, "sync_reports", batch_id)
         finally:
             batch.unpersist()

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stagewatch import schema as S
+from stagewatch.operators.broadcast import broadcast_payloads, create_alerts
+from stagewatch.operators.sla import dedup_alerts
+from stagewatch.streaming.ingest import Store
 
 RUN = "request_id string, start_at timestamp, end_at timestamp, event_id string, journey_stage string"
 ALERT = (
@@ -156,3 +159,26 @@ def alert_candidates(fired: DataFrame) -> DataFrame:
         "journey_stage",
         F.col("due_at").alias("created_at"),
     )
+
+
+def start_sla_monitor(events: DataFrame, rules: DataFrame, store: Store, checkpoint: str, lateness: str = "1 hour"):
+    """Write the alerts of an event stream, and their messages, unless an open copy is stored."""
+
+    def raise_alerts(fired: DataFrame, batch_id: int) -> None:
+        spark = fired.sparkSession
+        new = dedup_alerts(alert_candidates(fired), store.before(spark, "alerts", batch_id)).persist()
+        try:
+            alerts = create_alerts(new)
+            store.write(alerts, "alerts", batch_id)
+            none = spark.createDataFrame([], S.TABLES["events"])
+            store.write(broadcast_payloads(alerts, none), "alert_messages", batch_id)
+        finally:
+            new.unpersist()
+
+    return (
+        sla_monitor_stream(events, rules, lateness)
+        .writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(raise_alerts)
+        .trigger(availableNow=True)
+        .start()
+    )

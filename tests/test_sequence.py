@@ -22,15 +22,20 @@ def skewed(spark, rows=6000):
 
 
 def test_hot_keys_are_found(spark):
-    assert set(hot_keys(skewed(spark), "request_id", min_rows=500, share=0.2)) == {"hot"}
+    assert set(hot_keys(skewed(spark), "request_id", min_rows=500, fraction=1.0)) == {"hot"}
     assert hot_keys(skewed(spark), "request_id") == {}
 
 
+def test_hot_keys_by_sample(spark):
+    found = hot_keys(skewed(spark, 60_000), "request_id", min_rows=5_000, fraction=0.05)
+    assert set(found) == {"hot"} and 30_000 < found["hot"] < 50_000
+
+
 @pytest.mark.parametrize("rows_per_chunk", [100, 1000])
 def test_chunked_equals_windowed(spark, rows_per_chunk):
     df = skewed(spark)
     want = Sequence("pos", {"next_v": "v", "next_at": "at"}, {"prev_v": "v"})
-    hot = hot_keys(df, "request_id", min_rows=500, share=0.2)
+    hot = hot_keys(df, "request_id", min_rows=500, fraction=1.0)
     got = sequence(df, "request_id", "at", "id", want, hot, rows_per_chunk)
     w = Window.partitionBy("request_id").orderBy("at", "id")
     plain = df.withColumns(

@@ -52,7 +52,7 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert same(quarantine.select("delivery_id", "status", "http_code"), refused)
     status = stream.stored_events(spark, store).groupBy("pipeline_status").count().collect()
     assert [r[0] for r in status] == ["complete"]
-    entries = store.read(spark, "timelines")
+    entries = stream.stored_timelines(spark, store)
     places = entries.groupBy("request_id").agg(F.count("*").alias("n"), F.max("position").alias("m"), F.min("position").alias("l"))
     assert places.where("n <> m or l <> 1").count() == 0 and entries.count() == stored.count()
     assert spark.read.parquet(store.path("event_messages")).count() == stored.count()
@@ -63,7 +63,7 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     land(raw.withColumn("delivery_id", F.concat("delivery_id", F.lit("r"))), again)
     late = stream.Store(root, "second")
     source = tables.read_raw_events(spark, str(again))
-    stream.start_ingest(source, bulk.configs(spark), late, str(tmp_path / "ckpt2")).awaitTermination()
+    stream.start_ingest(source, bulk.configs(spark), late, str(tmp_path / "ckpt2"), within_days=60).awaitTermination()
     assert store.read(spark, "events").count() == stored.count() == stored.select("id").distinct().count()
 
 
@@ -76,6 +76,17 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert events.count() == events.select("id").distinct().count() > 0
 
 
+def test_repeats_within_a_window(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [("a", at), ("b", at), ("a", at + timedelta(minutes=5)), ("c", at + timedelta(minutes=6))]
+    events = spark.createDataFrame(rows, "id string, received_at timestamp")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    kept = stream.drop_repeats(source, "1 hour")
+    kept.writeStream.format("memory").queryName("kept").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.table("kept").collect()) == ["a", "b", "c"]
+
+
 def test_failing_step_is_recorded_and_the_rest_run(spark, tmp_path):
     store, calls = stream.Store(str(tmp_path / "store")), []
 
@@ -127,6 +138,20 @@ def test_sla_stream_equals_batch(spark, tmp_path):
     assert same(got, expected.unionByName(warned).distinct())
 
 
+def test_sla_monitor_sink(spark, tmp_path):
+    rows = [("e1", "r", datetime(2024, 1, 1), "Inquiry"), ("e2", "r", datetime(2024, 1, 3), "Completed"), ("beat", "beat", datetime(2024, 3, 1), "Completed")]
+    events = spark.createDataFrame(rows, "id string, request_id string, occurred_at timestamp, new_state string")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = stream.Store(str(tmp_path / "store"), "monitor")
+    for name in ("one", "two"):  # the second run starts over and finds its alerts stored
+        source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        again = stream.Store(store.root, name)
+        sla_monitor.start_sla_monitor(source, bulk.rules(spark), again, str(tmp_path / name)).awaitTermination()
+    alerts = {(r.severity, r.created_at) for r in store.read(spark, "alerts").collect()}
+    assert alerts == {("Warning", datetime(2024, 1, 1, 19, 12)), ("Critical", datetime(2024, 1, 2))}
+    assert store.read(spark, "alerts").count() == spark.read.parquet(store.path("alert_messages")).count() == 2
+
+
 HOURS = st.lists(st.floats(0, 400, allow_nan=False).map(lambda h: round(h, 2)), min_size=1, max_size=14)
 
 

@@ -251,7 +251,12 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(F.unix_millis("occurred_at") / 1000).cast("bigint").cast("string")
 
     def doc(template: str, *parts):
-        return F.format_string(template, *parts)
+        """The template with its %s replaced in turn."""
+        texts = template.split("%s")
+        pieces = [F.lit(texts[0])]
+        for part, text in zip(parts, texts[1:], strict=True):
+            pieces += [F.col(part) if isinstance(part, str) else part, F.lit(text)]
+        return F.concat(*pieces)
 
     crm = doc('{"crm_id":"%s","opportunity_id":"%s","activity_type":"%s","created_date":"%s","team":"Field","sourceSystem":"CRM"}',
               "id", rid, "event_type", plus3)

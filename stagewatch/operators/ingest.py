@@ -387,7 +387,9 @@ def incremental_sync(source: DataFrame, configs: DataFrame, existing: DataFrame)
     The report counts fetched and duplicate events per source and gives the next mark. ``source``
     holds canonical events. Settings are bounded by the six source systems, hence the broadcast.
     """
-    active = configs.where("is_active").select("source_system", "last_synced_at")
+    active = configs.where(F.col("is_active") & F.col("source_system").isin(S.SOURCES)).select(
+        "source_system", "last_synced_at"
+    )
     fetched = source.join(F.broadcast(active), "source_system").where(
         F.col("last_synced_at").isNull() | (F.col("occurred_at") > F.col("last_synced_at"))
     )
@@ -398,8 +400,7 @@ def incremental_sync(source: DataFrame, configs: DataFrame, existing: DataFrame)
         F.count("_stored").alias("duplicates"),
         F.max("occurred_at").alias("next_mark"),
     )
-    idle = F.broadcast(report)
-    marks = active.join(idle, "source_system", "left").select(
+    marks = active.join(report, "source_system", "left").select(
         "source_system",
         F.coalesce("processed", F.lit(0)).alias("processed"),
         F.coalesce("duplicates", F.lit(0)).alias("duplicates"),

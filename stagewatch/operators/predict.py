@@ -54,7 +54,7 @@ def prediction_features(requests: DataFrame, as_of, alerts: DataFrame | None = N
             .agg(F.count(F.lit(1)).alias("_warnings"))
         )
         rows = (
-            active.join(F.broadcast(backlog), "assigned_department", "left")  # one row per department
+            active.join(backlog, "assigned_department", "left")
             .join(warnings, "id", "left")
             .withColumns(
                 {
@@ -133,7 +133,7 @@ def training_rows(requests: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
     backlog = active_requests(requests).groupBy("assigned_department").agg(F.count(F.lit(1)).alias("_backlog"))
     finished = F.when(F.col("current_stage") == "Completed", F.col("updated_at")).otherwise(instant(as_of))
     return (
-        requests.join(F.broadcast(backlog), "assigned_department", "left")
+        requests.join(backlog, "assigned_department", "left")
         .join(warnings, "id", "left")
         .withColumns(
             {

@@ -41,7 +41,9 @@ def sla_evaluate(dwell: DataFrame, rules: DataFrame, keep_terminal: bool = False
     active = F.col("journey_stage").isin(S.ACTIVE_STAGES)
     if not keep_terminal:
         dwell = dwell.where(active)
-    limits = rules.select("journey_stage", F.col("threshold_hours").cast("double").alias("_limit"))
+    limits = rules.where(F.col("journey_stage").isin(S.STAGES)).select(
+        "journey_stage", F.col("threshold_hours").cast("double").alias("_limit")
+    )
     joined = dwell.join(F.broadcast(limits), "journey_stage", "left")
     limit, elapsed = F.col("_limit"), F.col("elapsed_hours")
     used = F.when(limit > 0, elapsed / limit).otherwise(F.lit(0.0))
@@ -131,7 +133,7 @@ def seed_rules(existing: DataFrame) -> DataFrame:
     spark = existing.sparkSession
     seed = spark.createDataFrame(S.SLA_SEED, "journey_stage string, threshold_hours string, description string")
     seed = seed.withColumn("threshold_hours", F.col("threshold_hours").cast("decimal(8,2)"))
-    missing = seed.join(F.broadcast(existing.select("journey_stage")), "journey_stage", "left_anti")
+    missing = seed.join(existing.select("journey_stage"), "journey_stage", "left_anti")
     return existing.unionByName(missing, allowMissingColumns=True)
 
 
@@ -171,7 +173,7 @@ def list_rules(rules: DataFrame, requests: DataFrame | None = None) -> DataFrame
     """Rules by stage name, with the number of active requests each one applies to."""
     if requests is None:
         return rules.orderBy("journey_stage")
-    counts = F.broadcast(active_by_stage(requests))  # one row per stage
+    counts = active_by_stage(requests)
     return (
         rules.join(counts, rules["journey_stage"] == counts["current_stage"], "left")
         .select(*rules.columns, F.coalesce("active_count", F.lit(0)).alias("active_count"))
@@ -264,7 +266,7 @@ def bottlenecks_heuristic(events: DataFrame, rules: DataFrame, n: int) -> DataFr
         F.min(F.struct("occurred_at", "id", "department"))["department"].alias("department"),
     )
     excess = F.col("threshold_hours").cast("double") * F.lit(0.2)
-    scored = stats.join(F.broadcast(rules.select("journey_stage", "threshold_hours")), "journey_stage").select(
+    scored = stats.join(rules.select("journey_stage", "threshold_hours"), "journey_stage").select(
         "journey_stage", "department", excess.alias("avg_excess_hours"), "occurrence_count"
     )
     order = [F.desc("avg_excess_hours"), F.asc("journey_stage")]

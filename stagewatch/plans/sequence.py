@@ -9,6 +9,7 @@ where, changes the plan, never the result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -19,6 +20,7 @@ SAMPLE = 1 / 256
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 4096  # per key
 MAX_BORDERS = 50_000  # of all keys together, about
+SAMPLES_PER_CHUNK = 4
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS, fraction: float = SAMPLE) -> dict:
@@ -80,52 +82,53 @@ def _with_windows(df: DataFrame, window, want: Sequence) -> DataFrame:
     return df.withColumns(columns)
 
 
-def _chunk_borders(df: DataFrame, key: str, at: str, hot: dict, rows_per_chunk: int) -> DataFrame:
-    """One row per hot key with its sorted chunk borders, MAX_BORDERS + MAX_KEYS numbers in all."""
-    spark, kind = df.sparkSession, df.schema[key].dataType
-    size = max(rows_per_chunk, sum(hot.values()) // MAX_BORDERS)
+def _chunk_borders(df: DataFrame, key: str, at: str, tie: str, hot: dict, rows_per_chunk: int) -> DataFrame:
+    """One row per hot key with the sorted (time, tie) pairs at which it is cut.
+
+    The borders are rows of a sample, about SAMPLES_PER_CHUNK for each chunk, so they also divide
+    rows of one instant. MAX_BORDERS and MAX_KEYS bound the sample.
+    """
+    spark, total = df.sparkSession, sum(hot.values())
+    size = max(rows_per_chunk, total // MAX_BORDERS)
     chunks = {k: min(MAX_CHUNKS, max(2, -(-n // size))) for k, n in hot.items()}
-    most = max(chunks.values())
-    shares = ", ".join(f"{i / most!r}D" for i in range(1, most))
-    wanted = spark.createDataFrame(
-        list(chunks.items()), T.StructType([T.StructField(key, kind), T.StructField("_n", T.IntegerType())])
-    )
-    # All keys get the same quantiles; each keeps as many as it needs before they are collected.
+    fraction = min(1.0, SAMPLES_PER_CHUNK * sum(chunks.values()) / total)
     rows = (
-        df.select(key, at)
-        .join(F.broadcast(wanted), key)
-        .groupBy(key)
-        .agg(F.expr(f"percentile_approx(unix_micros(`{at}`), array({shares}), 20000)").alias("q"), F.max("_n").alias("n"))
-        .select(
-            key,
-            F.transform(
-                F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.element_at("q", F.floor(i * most / F.col("n")).cast("int"))
-            ).alias("borders"),
-        )
+        df.where(F.col(key).isin(list(hot)))
+        .select(key, F.unix_micros(at).alias("at"), F.col(tie).alias("tie"))
+        .sample(fraction, seed=17)
         .collect()
     )
-    # The collected numbers become literals, so that every use of the borders, also after a lost
+    points: dict = defaultdict(list)
+    for row in rows:
+        points[row[key]].append((row["at"], row["tie"]))
+    # The collected pairs become literals, so that every use of the borders, also after a lost
     # executor, cuts the rows at the same places.
-    shape = T.StructType([T.StructField(key, kind), T.StructField("_borders", T.ArrayType(T.LongType()))])
-    return spark.createDataFrame([(r[key], sorted(set(r["borders"]))) for r in rows], shape)
+    data = []
+    for k, found in points.items():
+        found.sort()
+        data.append((k, sorted({found[i * len(found) // chunks[k]] for i in range(1, chunks[k])})))
+    pair = T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", df.schema[tie].dataType)])
+    shape = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("_borders", T.ArrayType(pair))])
+    return spark.createDataFrame(data, shape)
 
 
-def chunk_of(borders: Column, moment: Column) -> Column:
-    """Number of borders at or before the moment, by binary search; 0 for keys that are not cut."""
+def chunk_of(borders: Column, value: Column) -> Column:
+    """Number of sorted borders at or below the value, by binary search; 0 without borders."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_CHUNKS.bit_length()))])
 
     def advance(found: Column, step: Column) -> Column:
-        fits = F.get(borders, found + step - F.lit(1)) <= moment
+        fits = F.get(borders, found + step - F.lit(1)) <= value
         return F.when(fits, found + step).otherwise(found)
 
     return F.when(borders.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), advance))
 
 
 def _chunked(df, key, at, tie, want, hot, rows_per_chunk):
-    borders = _chunk_borders(df, key, at, hot, rows_per_chunk)
+    borders = _chunk_borders(df, key, at, tie, hot, rows_per_chunk)
+    place = F.struct(F.unix_micros(at).alias("at"), F.col(tie).alias("tie"))
     cut = (
         df.join(F.broadcast(borders), key, "left")
-        .withColumn("_chunk", chunk_of(F.col("_borders"), F.unix_micros(at)))
+        .withColumn("_chunk", chunk_of(F.col("_borders"), place))
         .withColumn("_hot", F.col("_borders").isNotNull())
         .drop("_borders")
     )

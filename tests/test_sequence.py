@@ -46,6 +46,16 @@ def test_chunked_equals_windowed(spark, rows_per_chunk):
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
+def test_one_instant_is_cut_too(spark):
+    df = skewed(spark).withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    hot = {"hot": 4000}
+    got = sequence(df, "request_id", "at", "id", Sequence("pos", {"next_v": "v"}), hot, 200)
+    w = Window.partitionBy("request_id").orderBy("at", "id")
+    plain = df.withColumns({"pos": F.row_number().over(w).cast("bigint"), "next_v": F.lead("v").over(w)})
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    assert "_chunk" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_numbers_of_a_hot_year(spark):
     new = spark.range(3000).select(
         F.col("id").cast("string").alias("id"),

@@ -7,6 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, functions as F
 
 MICROS_PER_HOUR = 3_600_000_000
+MAX_SHIFT_HOURS = 1e7
+MAX_EPOCH_MILLIS = 8.64e15  # the range of dates in the payload format
 
 
 def instant(value: datetime | str | Column) -> Column:
@@ -26,9 +28,13 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def plus_hours(start: Column, hours: Column) -> Column:
-    """``start`` moved by a (fractional) number of hours, to the microsecond."""
-    shift = F.floor(hours.cast("double") * F.lit(float(MICROS_PER_HOUR)) + F.lit(0.5))
-    return F.timestamp_micros(F.unix_micros(start) + shift.cast("bigint"))
+    """``start`` moved by a (fractional) number of hours, to the microsecond.
+
+    Null beyond MAX_SHIFT_HOURS, where the sum would leave the range of timestamps.
+    """
+    hours = hours.cast("double")
+    shift = F.floor(hours * F.lit(float(MICROS_PER_HOUR)) + F.lit(0.5)).cast("bigint")
+    return F.when(F.abs(hours) <= MAX_SHIFT_HOURS, F.timestamp_micros(F.unix_micros(start) + shift))
 
 
 def minus_days(moment: Column, days: int) -> Column:
@@ -45,8 +51,11 @@ def to_utc(text: Column, json_type: Column | None = None, as_of: Column | None =
     is_text = F.lit(True) if json_type is None else json_type == "STRING"
     number = text.try_cast("double")
     iso = F.when(text.rlike(r"^\s*[+-]?\d{4}(-|\s*$)"), F.try_to_timestamp(text))
-    millis = F.timestamp_millis(F.floor(number).cast("bigint"))
-    seconds = F.timestamp_millis(F.floor(number * F.lit(1000.0)).cast("bigint"))
+
+    def epoch(millis: Column) -> Column:
+        return F.when(F.abs(millis) <= MAX_EPOCH_MILLIS, F.timestamp_millis(F.floor(millis).cast("bigint")))
+
+    millis, seconds = epoch(number), epoch(number * F.lit(1000.0))
     moment = F.when(is_number, millis).when(is_text, F.coalesce(iso, seconds))
     moment = F.date_trunc("MILLISECOND", moment)
     return moment if as_of is None else F.coalesce(moment, as_of)

@@ -61,10 +61,13 @@ def parse(df: DataFrame, configs: DataFrame | None = None) -> DataFrame:
         if layer is None:
             layers.append(layer := {})
         layer[name.lower()] = name
+    raw = F.col("raw")
+    if "too_large" in df.columns:
+        raw = F.when(~F.col("too_large"), raw)
     columns = {}
     for i, layer in enumerate(layers):
         members = [f"`{n}` VARIANT" for n in layer.values()] + ([f"{_BAD} STRING"] if i == 0 else [])
-        columns[f"{_DOC}{i}"] = F.from_json("raw", ", ".join(members), {"columnNameOfCorruptRecord": _BAD})
+        columns[f"{_DOC}{i}"] = F.from_json(raw, ", ".join(members), {"columnNameOfCorruptRecord": _BAD})
     # Also keeps the optimizer from parsing anew for every member that is read.
     parsed = once(df, columns)
     return parsed.withColumn("is_json", F.col(f"{_DOC}0").isNotNull() & F.col(f"{_DOC}0.{_BAD}").isNull())

@@ -209,7 +209,7 @@ def prediction_rows(scored: DataFrame, as_of) -> DataFrame:
         F.col("risk_score").cast("decimal(4,3)").alias("risk_score"),
         "risk_label",
         clamp_factors(F.col("contributing_factors")).alias("contributing_factors"),
-        F.col("predicted_delay_hours").cast("decimal(8,2)").alias("predicted_delay_hours"),
+        F.col("predicted_delay_hours").try_cast("decimal(8,2)").alias("predicted_delay_hours"),
         F.col("delay_confidence").cast("decimal(4,3)").alias("delay_confidence"),
         "predicted_completion_at",
         F.lit(False).alias("is_stale"),

@@ -80,6 +80,7 @@ def test_missing_time_can_default(spark):
         ("2024-01-15", datetime(2024, 1, 15)),
         ("2024-01-15T10:00:00.123456Z", datetime(2024, 1, 15, 10, 0, 0, 123000)),
         (True, None), (None, None), ({"a": 1}, None), ("soon", None),
+        (1e300, None), (-1e17, None), ("1e300", None), ("NaN", None), ("Infinity", None), (1705312800000.7, datetime(2024, 1, 15, 10)),
     ],
 )
 def test_times(spark, value, expected):
@@ -154,6 +155,11 @@ def test_payload_size(spark):
     assert [r.too_large for r in ingest.guard_payload_size(df).collect()] == [False, True, False]
 
 
+def test_too_large_payload_is_refused_unparsed(spark):
+    row = outcome(spark, GOOD | {"metadata": {"x": "y" * 1_100_000}})[0]
+    assert (row.status, row.http_code, row.is_json) == ("invalid", 413, False)
+
+
 def test_pipeline_status(spark):
     rows = [("a", s, True) for s in S.PIPELINE_STEPS] + [("b", s, s != "analytics-update") for s in S.PIPELINE_STEPS] + [("c", "timeline-update", True)]
     got = {r.id: (r.pipeline_status, r.failed_steps) for r in ingest.pipeline_status(spark.createDataFrame(rows, "id string, step string, ok boolean")).collect()}

@@ -43,6 +43,11 @@ def test_zero_history_and_order(spark):
     assert [f.factor for f in zero.contributing_factors][1:] == ["elapsed_time_ratio", "prior_sla_warnings"]
 
 
+def test_absurd_history_gives_no_completion_time(spark):
+    row = scores(spark, (5000.0, 5e-324, 0, 0))[0]
+    assert row.risk_label == "Critical" and row.predicted_completion_at is None
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.floats(0, 5000), st.floats(0, 500), st.integers(0, 300), st.integers(0, 20)), min_size=1, max_size=40))
 def test_scores_stay_in_range(spark, rows):

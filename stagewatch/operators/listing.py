@@ -112,8 +112,12 @@ def list_events(events: DataFrame, page: int = 1, size: int = DEFAULT_PAGE, **fi
     return paginate(filter_events(events, **filters), [F.desc("occurred_at"), F.asc("id")], page, size, "occurred_at")
 
 
-def filter_alerts(alerts: DataFrame, severity=None, alert_type=None, lifecycle_state=None, start=None, end=None) -> DataFrame:
-    equal = {"severity": severity, "alert_type": alert_type, "lifecycle_state": lifecycle_state}
+def filter_alerts(
+    alerts: DataFrame, severity=None, alert_type=None, lifecycle_state=None, start=None, end=None, request_id=None
+) -> DataFrame:
+    equal = {
+        "severity": severity, "alert_type": alert_type, "lifecycle_state": lifecycle_state, "request_id": request_id,
+    }
     return _where(alerts, equal, "created_at", start, end)
 
 

@@ -44,6 +44,13 @@ def read_raw_events_kafka(spark: SparkSession, servers: str, topic: str) -> Data
     )
 
 
+PARTITIONS = [
+    T.StructField("received_date", T.DateType()),
+    T.StructField("stream", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+]
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, stream: str, by: str | None = None) -> None:
     """Write one micro-batch as its own partition: a replayed batch replaces itself.
 
@@ -65,10 +72,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_batches(spark: SparkSession, kind: T.StructType, path: str, where: Column | None = None) -> DataFrame:
-    """Rows written by ``write_batch``; ``where`` may test the partition columns."""
+    """Rows written by ``write_batch``; ``where`` may test the partition columns.
+
+    These are declared, as a table to which only empty batches were written has no partitions yet.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], kind)
-    df = spark.read.schema(kind).parquet(path)
+    df = spark.read.schema(T.StructType([*kind.fields, *PARTITIONS])).parquet(path)
     if where is not None:
         df = df.where(where)
     return df.select(*kind.names)

@@ -160,12 +160,13 @@ def ingest_batch(
         stored = store.before(spark, "events", batch_id, first_day(judged, within_days))
         outcome = ingest.settle(judged, known_ids(judged, stored, judged.count())).persist()
         try:
-            accepted = ingest.accepted_events(outcome)
-            store.write_events(accepted, batch_id)
             rejected = outcome.where(F.col("status") != "accepted").select(
                 "delivery_id", "raw", "id", "status", "http_code", "reasons", "received_at"
             )
             store.write(rejected, "quarantine", batch_id)
+            store.write_events(ingest.accepted_events(outcome), batch_id)
+            # Read back: writing into the store drops cached frames that were computed from it.
+            accepted = store.of_batch(spark, "events", batch_id)
             failed = fan_out(accepted, batch_id, steps or {})
             status = accepted.select(
                 "id",

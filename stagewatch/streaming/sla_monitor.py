@@ -166,14 +166,12 @@ def start_sla_monitor(events: DataFrame, rules: DataFrame, store: Store, checkpo
 
     def raise_alerts(fired: DataFrame, batch_id: int) -> None:
         spark = fired.sparkSession
-        new = dedup_alerts(alert_candidates(fired), store.before(spark, "alerts", batch_id)).persist()
-        try:
-            alerts = create_alerts(new)
-            store.write(alerts, "alerts", batch_id)
-            none = spark.createDataFrame([], S.TABLES["events"])
-            store.write(broadcast_payloads(alerts, none), "alert_messages", batch_id)
-        finally:
-            new.unpersist()
+        new = dedup_alerts(alert_candidates(fired), store.before(spark, "alerts", batch_id))
+        store.write(create_alerts(new), "alerts", batch_id)
+        # Read back, as the stateful frame of a micro-batch must be computed only once.
+        none = spark.createDataFrame([], S.TABLES["events"])
+        payloads = broadcast_payloads(store.of_batch(spark, "alerts", batch_id), none)
+        store.write(payloads, "alert_messages", batch_id)
 
     return (
         sla_monitor_stream(events, rules, lateness)

@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagewatch.llm.common import slices, table, texts
+from stagewatch.llm.common import Recent, slices, table, texts
 from stagewatch.llm.registry import query
 
 #: Of each cache's newer generation; the older one has as many.
@@ -198,28 +198,6 @@ def _little(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-class Recent(dict):
-    """A bounded cache of two generations: what is asked for again is carried over, the rest goes."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def missing(self, wanted: set) -> list:
-        """Members of ``wanted`` in neither generation; the others are in this one now."""
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        out = []
-        for x in wanted.difference(self):
-            found = self.older.get(x)
-            if found is None:
-                out.append(x)
-            else:
-                self[x] = found
-        return out
-
-
 class TrieEncoder:
     """Encodes and decodes texts; one per worker."""
 

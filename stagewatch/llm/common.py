@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -47,6 +47,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(small: DataFrame) -> DataFrame:
+    """``small`` marked for broadcast if its rows, counted, are few enough; else as it is, to be joined by shuffle."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,3 +73,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column as text, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+class Recent(dict):
+    """A bounded cache of two generations: what is asked for again is carried over, the rest goes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, wanted: set) -> list:
+        """Members of ``wanted`` in neither generation; the others are in this one now."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for x in wanted.difference(self):
+            found = self.older.get(x)
+            if found is None:
+                out.append(x)
+            else:
+                self[x] = found
+        return out

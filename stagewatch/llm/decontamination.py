@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stagewatch.llm.common import BROADCAST_ROWS, stored, table
+from stagewatch.llm.common import bounded, stored, table
 from stagewatch.llm.registry import query
 
 SHINGLE = 5
@@ -79,11 +79,6 @@ def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.withColumn("minimum", rank <= sketch)
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    """``small`` marked for broadcast if its rows, counted, are few enough."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
-
-
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) where the document contains ``threshold`` of the item's shingles."""
     bench = stored(item_shingles(items, threshold), "benchmark-shingles")
@@ -91,18 +86,18 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     texts = docs.select("doc_id", "text")
 
     # Shingles are at least as many as distinct ones, so the size test loses nothing.
-    found = _hashed(shingles(texts, "doc_id")).join(_bounded(minima), "h")
+    found = _hashed(shingles(texts, "doc_id")).join(bounded(minima), "h")
     found = found.where((F.col("n_words") - (SHINGLE - 1) >= F.col("need")) | (F.col("n_words") < SHINGLE))
     candidates = stored(found.select("doc_id", "item_id").distinct(), "contained-candidates")
 
-    suspects = _bounded(candidates.select("doc_id").distinct())
+    suspects = bounded(candidates.select("doc_id").distinct())
     exact = _hashed(shingles(texts.join(suspects, "doc_id", "left_semi"), "doc_id"))
     names = [*WORDS, "h"]
     same = bench.select("item_id", "n_item", "need", *[F.col(n).alias(f"b_{n}") for n in names])
     equal = F.col("h") == F.col("b_h")
     for w in WORDS:
         equal = equal & F.col(w).eqNullSafe(F.col(f"b_{w}"))
-    shared = exact.join(_bounded(same), equal).join(_bounded(candidates), ["doc_id", "item_id"], "left_semi")
+    shared = exact.join(bounded(same), equal).join(bounded(candidates), ["doc_id", "item_id"], "left_semi")
     counted = shared.select("doc_id", "item_id", "n_item", "need", "h").distinct().groupBy("doc_id", "item_id", "n_item", "need").agg(
         F.count("*").alias("n_shared")
     )
@@ -112,7 +107,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item; a null doc_id is kept, as it names no document."""
     leaks = contained_items(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(_bounded(stored(leaks, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(stored(leaks, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op2_decontamination", ORACLE)

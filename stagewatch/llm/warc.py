@@ -6,8 +6,8 @@ checksum. After a failed check it searches for the next version line or member h
 them; the bytes between become a gap row (file, start, end, reason), and reading goes on behind it.
 
 Files are written by Spark's text writer, whose record separator is WARC's (two CRLF), so the commit
-protocol covers them and any file system Spark knows can hold them. Each file is about ``FILE_BYTES`` long,
-as a reading task holds one file at a time.
+protocol covers them and any file system Spark knows can hold them. A file gets as many records as make up
+``FILE_BYTES`` on average, as a reading task holds one file at a time.
 
 Defined cases: a null payload is empty; payloads below ``REVISIT_BYTES`` never make revisits; rows with
 equal payload and the same largest page_id are all responses; a null page_id is written as such, comes
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from stagewatch.llm.common import shared_folder, table
+from stagewatch.llm.common import bounded, shared_folder, stored, table
 from stagewatch.llm.registry import query
 
 FILE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
+HEAD_LENGTH = 600  # a header block and HTTP headers, about
 HEAD_BYTES = 1 << 16  # a header block longer than this is taken for damage
 
 EOL, END = "\r\n", "\r\n\r\n"
@@ -57,10 +58,10 @@ def revisits(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, path: str) -> None:
     """One record per row of (page_id, url, html) below ``path``; equal payloads of size become revisits."""
     pages = pages.select("page_id", "url", "html")
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
-    # Joined by page_id, not by digest: a payload that a third of all pages share stays spread out.
-    rows = pages.repartition(files, "page_id").join(revisits(pages).repartition(files, "page_id"), "page_id", "left")
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    # Joined by page_id, not by digest: a payload that a third of all pages share stays spread out. Pages are
+    # moved only where the revisits are too many to be sent to them.
+    rows = pages.join(bounded(stored(revisits(pages), "revisits")), "page_id", "left")
 
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     again = F.col("refers_to").isNotNull()
@@ -83,7 +84,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
         field("Content-Length", F.octet_length("block").cast("string")),
     )
     record = F.concat(F.concat(head, F.lit(END)).cast("binary"), F.col("block"))
-    rows.withColumn("block", block).select(record.cast("string").alias("value")).write.option("lineSep", END).text(path)
+    rows.withColumn("block", block).select(record.cast("string").alias("value")).write.options(
+        lineSep=END, maxRecordsPerFile=max(1, int(FILE_BYTES // (mean + HEAD_LENGTH)))
+    ).text(path)
 
 
 class Damaged(Exception):

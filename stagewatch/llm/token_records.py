@@ -3,7 +3,8 @@
 A record is: length of the body (8 bytes), masked checksum of those 8 bytes (4), the body, masked checksum
 of the body (4), a line feed; all numbers little-endian. The checksum is CRC-32; the mask rotates it by
 15 bits and adds a constant, so that a checksum of data that holds checksums is no trivial value. The
-body is the document's doc_id (8 bytes signed) and its token ids (4 bytes unsigned each).
+body is the document's doc_id (8 bytes signed), the width of an id (1 byte: 2 or 4) and its token ids, unsigned, in
+the width that the largest of them needs.
 
 Files hold ascending doc_id ranges, in the order of their numbers, and are written by Spark's text writer
 with the line feed as separator, so its commit protocol covers them. The index is a table of its own:
@@ -65,8 +66,19 @@ def unframe(data: bytes, at: int) -> tuple[int, bytes]:
     return end + 5, body
 
 
+def body_of(doc_id: int | None, ids: np.ndarray) -> bytes:
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return struct.pack("<qB", NO_ID if doc_id is None else doc_id, width) + ids.astype(f"<u{width}").tobytes()
+
+
+def ids_of(body: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids, as 32-bit numbers, of a record's body."""
+    doc_id, width = struct.unpack_from("<qB", body)
+    return None if doc_id == NO_ID else doc_id, np.frombuffer(body, f"<u{width}", offset=9).astype("<u4")
+
+
 class ByteEncoder:
-    """Ids of a text as bytes, as the tokenizers library gives them for the same vocabulary."""
+    """Ids of a text as the tokenizers library gives them for the same vocabulary."""
 
     def __init__(self, ranks_path: str, pattern: str, special_id: int):
         import tiktoken
@@ -76,8 +88,8 @@ class ByteEncoder:
         special = {END_OF_TEXT: special_id}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+    def __call__(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
 
 
 def byte_encoder(ranks: str | None = None) -> Callable[[], ByteEncoder]:
@@ -93,21 +105,16 @@ def byte_encoder(ranks: str | None = None) -> Callable[[], ByteEncoder]:
     return make
 
 
-def write_records(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], bytes]], end_id: int = 0) -> None:
+def write_records(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], np.ndarray]], end_id: int = 0) -> None:
     """Encode (doc_id, text), end each sequence with ``end_id`` and write the records in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES))
-    end = struct.pack("<I", end_id)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = encoder()
         for part in slices(batches, "text"):
             ids = part.column("doc_id").to_pylist()
-            out = [
-                frame(struct.pack("<q", NO_ID if i is None else i) + encoded(text) + end)
-                for i, text in zip(ids, texts(part, "text"), strict=True)
-            ]
+            out = [frame(body_of(i, np.append(encoded(text), end_id))) for i, text in zip(ids, texts(part, "text"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     # The text is dealt out before it is encoded, so that finding the ranges does not encode it too.
@@ -138,10 +145,9 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
                 rows, at, before, held = [], 0, 0, 0
                 while at < len(data):
                     after, body = unframe(data, at)
-                    (doc_id,) = struct.unpack_from("<q", body)
-                    ids = body[8:]
-                    n = len(ids) // 4
-                    rows.append((file, part, at, after - at, None if doc_id == NO_ID else doc_id, n, before, zlib.crc32(ids), ids if with_ids else None))
+                    doc_id, numbers = ids_of(body)
+                    ids, n = numbers.tobytes(), len(numbers)
+                    rows.append((file, part, at, after - at, doc_id, n, before, zlib.crc32(ids), ids if with_ids else None))
                     at, before, held = after, before + n, held + 100 + len(ids) * with_ids
                     if held > 4 << 20:
                         yield _batch(rows)
@@ -173,7 +179,7 @@ def offset_index(spark: SparkSession, path: str) -> DataFrame:
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids as array) of the index rows ``wanted``, in any order: a shuffled read by file and offset.
 
-    Rows are grouped by ``SPREAD`` ranges of a file, so a file that holds most of them is read by many tasks.
+    What is gathered for a file is bounded by the records it holds.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     places = wanted.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
@@ -181,10 +187,9 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [unframe(x, 0)[1] for x in batch.column(0).to_pylist()]
-            ids = [struct.unpack_from("<q", b)[0] for b in bodies]
-            arrays = [pa.array([None if i == NO_ID else i for i in ids], pa.int64())]
-            arrays.append(pa.array([np.frombuffer(b[8:], "<u4").astype("i8") for b in bodies], pa.list_(pa.int64())))
+            found = [ids_of(unframe(x, 0)[1]) for x in batch.column(0).to_pylist()]
+            arrays = [pa.array([i for i, _ in found], pa.int64())]
+            arrays.append(pa.array([ids.astype("i8") for _, ids in found], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids"])
 
     cut = files.join(places, "file").select("content", record.alias("p"))

@@ -158,15 +158,16 @@ def token_counts(labelled: DataFrame) -> DataFrame:
 
 def log_odds(counts: DataFrame) -> DataFrame:
     """(token, toxic, clean, score) of the tokens whose log-odds are significant either way."""
+    counts = stored(counts, "token-counts")
+    totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    n_toxic, n_clean = totals["toxic"] or 0, totals["clean"] or 0
     t, c = F.col("toxic"), F.col("clean")
-    n = counts.agg(F.sum("toxic").alias("n_toxic"), F.sum("clean").alias("n_clean"))
     prior = F.lit(PRIOR_SHARE) * (t + c)
-    whole = F.lit(PRIOR_SHARE) * (F.col("n_toxic") + F.col("n_clean"))
-    odds = lambda k, of: F.log((k + prior) / (of + whole - k - prior))
-    delta = odds(t, F.col("n_toxic")) - odds(c, F.col("n_clean"))
+    whole = PRIOR_SHARE * (n_toxic + n_clean)
+    odds = lambda k, of: F.log((k + prior) / (F.lit(of + whole) - k - prior))
+    delta = odds(t, n_toxic) - odds(c, n_clean)
     z = delta / F.sqrt(1 / (t + prior) + 1 / (c + prior))
-    # One row of totals beside every token.
-    scored = counts.join(F.broadcast(n)).where("n_toxic > 0 AND n_clean > 0").withColumn("score", delta).withColumn("z", z)
+    scored = counts.where(F.lit(bool(n_toxic and n_clean))).withColumn("score", delta).withColumn("z", z).withColumn("n_clean", F.lit(n_clean))
     return scored.where(F.abs("z") >= F.when(F.col("token").endswith("*"), LEAST_STEM_Z).otherwise(LEAST_Z)).select("token", "toxic", "clean", "n_clean", "score")
 
 

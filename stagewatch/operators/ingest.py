@@ -122,8 +122,15 @@ def resolve_source(df: DataFrame) -> DataFrame:
 
 
 def settings(configs: DataFrame) -> list:
-    """Integration settings as rows; the source system is unique, so six rows at most."""
-    return configs.limit(len(S.SOURCES) + 1).collect()
+    """Settings of the known sources as rows; a source that occurs twice is refused.
+
+    Settings of other sources are left out first, and no more rows are fetched than show a source twice.
+    """
+    known = configs.where(F.col("source_system").isin(S.SOURCES))
+    twice = known.groupBy("source_system").count().where("count > 1").select("source_system").collect()
+    if twice:
+        raise ValueError(f"settings given twice: {sorted(r['source_system'] for r in twice)}")
+    return known.collect()
 
 
 def verify_signatures(df: DataFrame, configs: DataFrame) -> DataFrame:

@@ -29,14 +29,15 @@ def _skip(df: DataFrame, at: str, newest_first: bool, offset: int, size: int) ->
     """The time slices that hold the rows offset..offset+size, and the offset left within them.
 
     A thousand slices of about equal size are counted, so a page far back does not make every task
-    and the driver keep all rows before it. The counts are exact, whatever the borders are.
+    and the driver keep all rows before it. The counts are exact, whatever the borders are. Rows without a
+    time are a slice of their own, before all others in ascending order as Spark sorts them.
     """
     micros = F.unix_micros(at)
     shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
     borders = sorted(set(df.agg(F.percentile_approx(micros, shares, F.lit(10_000))).first()[0] or []))
     if not borders:
         return df, offset
-    place = chunk_of(F.array(*[F.lit(b) for b in borders]), micros)
+    place = F.when(micros.isNull(), F.lit(-1)).otherwise(chunk_of(F.array(*[F.lit(b) for b in borders]), micros))
     counts = {r["s"]: r["n"] for r in df.groupBy(place.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(counts, reverse=newest_first)
     before, wanted = 0, []
@@ -50,11 +51,13 @@ def _skip(df: DataFrame, at: str, newest_first: bool, offset: int, size: int) ->
     if not wanted:
         return df.where(F.lit(False)), 0
     low, high = min(wanted), max(wanted)
+    inside = F.col(at).isNotNull() if high >= 0 else F.lit(False)
     if low > 0:
-        df = df.where(F.col(at) >= F.timestamp_micros(F.lit(borders[low - 1])))
-    if high < len(borders):
-        df = df.where(F.col(at) < F.timestamp_micros(F.lit(borders[high])))
-    return df, offset - before
+        inside = inside & (F.col(at) >= F.timestamp_micros(F.lit(borders[low - 1])))
+    if 0 <= high < len(borders):
+        inside = inside & (F.col(at) < F.timestamp_micros(F.lit(borders[high])))
+    # Beside other slices the rows without a time matter only if theirs is among the wanted.
+    return df.where(F.coalesce(inside, F.lit(False)) | F.col(at).isNull() if low < 0 else inside), offset - before
 
 
 def paginate(

@@ -119,10 +119,15 @@ def dedup_alerts(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def apply_breach(requests: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """Set the breach flag of requests with a breached stage; once set it stays."""
+def apply_breach(requests: DataFrame, evaluated: DataFrame, at=None) -> DataFrame:
+    """Set the breach flag of requests with a breached stage; once set it stays.
+
+    With ``at``, the time of the evaluation, it becomes the ``updated_at`` of every request with a breach.
+    """
     hits = evaluated.groupBy("request_id").agg(F.bool_or("breached").alias("_hit"))
     flagged = requests.join(hits, requests["id"] == hits["request_id"], "left").drop(hits["request_id"])
+    if at is not None:
+        flagged = flagged.withColumn("updated_at", F.when(F.col("_hit"), instant(at)).otherwise(F.col("updated_at")))
     return flagged.withColumn(
         "sla_breached", F.coalesce("sla_breached", F.lit(False)) | F.coalesce("_hit", F.lit(False))
     ).drop("_hit")
@@ -138,14 +143,17 @@ def seed_rules(existing: DataFrame) -> DataFrame:
 
 
 def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rules after changed thresholds; changes out of range or for unknown stages are ignored.
+    """Rules after changed thresholds; changes out of range or for stages without rules are ignored.
 
-    Both sides are keyed by the stage enumeration. A new threshold counts from the next evaluation.
+    Of several changes to a stage the latest by ``changed_at`` counts, or the greatest threshold where there is
+    no such column or a tie. Both sides are keyed by the stage enumeration. A new threshold counts from the next
+    evaluation.
     """
     limit = F.col("threshold_hours")
-    good = changes.where(
-        F.col("journey_stage").isin(S.STAGES) & (limit > 0) & (limit <= S.MAX_THRESHOLD_HOURS)
-    )
+    good = changes.where(F.col("journey_stage").isin(S.ACTIVE_STAGES) & (limit > 0) & (limit <= S.MAX_THRESHOLD_HOURS))
+    order = [F.col(c) for c in ("changed_at", "threshold_hours", "description") if c in good.columns]
+    latest = F.max(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in good.columns])).alias("last")
+    good = good.groupBy("journey_stage").agg(latest).select(*[F.col(f"last._{c}").alias(c) for c in good.columns])
     new = good.select(
         "journey_stage",
         limit.alias("_new"),

@@ -107,8 +107,11 @@ def sla_monitor_stream(events: DataFrame, rules: DataFrame, lateness: str = "1 h
     travel with the tasks. Append the result, or pass it through ``dedup_alerts`` where archived
     alerts may be raised again.
     """
-    limits = {r["journey_stage"]: float(r["threshold_hours"]) for r in rules.limit(len(S.STAGES)).collect()}
-    limits = {stage: hours for stage, hours in limits.items() if stage not in S.TERMINAL_STAGES}
+    known = rules.where(F.col("journey_stage").isin(S.ACTIVE_STAGES)).groupBy("journey_stage")
+    rows = known.agg(F.count(F.lit(1)).alias("n"), F.max("threshold_hours").alias("threshold_hours")).collect()
+    if twice := sorted(r["journey_stage"] for r in rows if r["n"] > 1):
+        raise ValueError(f"rules given twice: {twice}")
+    limits = {r["journey_stage"]: float(r["threshold_hours"]) for r in rows}
 
     def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -179,3 +179,11 @@ def test_archived_events_stay_readable(spark):
     old = ingest.archive_older_than(events, datetime(2024, 1, 2))
     assert [r.id for r in old.collect()] == ["a"]
     assert ingest.with_archive(events, old).count() == 3
+
+
+def test_settings_of_other_sources_do_not_crowd_out(spark):
+    rows = [(f"Retired {k}", "x") for k in range(50)] + [("CRM", "secret")]
+    configs = spark.createDataFrame(rows, "source_system string, webhook_secret string")
+    assert [r.webhook_secret for r in ingest.settings(configs)] == ["secret"]
+    with pytest.raises(ValueError):
+        ingest.settings(configs.union(configs))

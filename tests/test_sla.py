@@ -87,8 +87,13 @@ def test_rule_seed_and_upsert(spark):
         "journey_stage string, threshold_hours double",
     )
     after = {r.journey_stage: float(r.threshold_hours) for r in sla.upsert_rules(rules, changes).collect()}
-    assert after["Inquiry"] == 12.5 and after["Delivery"] == 96 and after["Approval"] == 24 and after["Cancelled"] == 1
-    assert "Lunch" not in after and len(after) == 8
+    assert after["Inquiry"] == 12.5 and after["Delivery"] == 96 and after["Approval"] == 24
+    assert "Lunch" not in after and "Cancelled" not in after and len(after) == 7
+    twice = spark.createDataFrame(
+        [("Inquiry", 30.0, 1), ("Inquiry", 20.0, 3), ("Inquiry", 25.0, 2)], "journey_stage string, threshold_hours double, changed_at int"
+    )
+    after = {r.journey_stage: float(r.threshold_hours) for r in sla.upsert_rules(rules, twice).collect()}
+    assert after["Inquiry"] == 20 and len(after) == 7
 
 
 def requests(spark, rows):

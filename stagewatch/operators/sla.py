@@ -106,16 +106,24 @@ ALERT_KEY = ["request_id", "journey_stage", "severity"]
 def dedup_alerts(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates without a non-archived alert of the same request, stage and severity.
 
-    Within the batch one candidate per key is kept: the one with the smallest id.
+    Within the batch one candidate per key is kept: the one with the smallest id. ``existing`` holds all alerts in
+    their present state, archived ones too: an alert that is raised again gets the number of the raise at the end
+    of its id, so that it has a life of its own. A replayed batch counts the same alerts and gives the same id.
     """
     rest = [c for c in candidates.columns if c not in ALERT_KEY]
     one = F.min_by(F.struct(*rest), F.struct("id", "message")).alias("_row")
-    open_alerts = existing.where(F.col("lifecycle_state") != "Archived").select(
-        "request_id", F.get_json_object("metadata", "$.journeyStage").alias("journey_stage"), "severity"
-    ).distinct()  # many open copies of one alert become one row before they are shuffled
+    # Many copies of one alert become one row before they are shuffled.
+    raised = existing.select(
+        "request_id", F.get_json_object("metadata", "$.journeyStage").alias("journey_stage"), "severity",
+        (F.col("lifecycle_state") != "Archived").alias("_is_open"),
+    ).groupBy(*ALERT_KEY).agg(F.bool_or("_is_open").alias("_open"), F.count(F.lit(1)).alias("_raised"))
+    again = F.concat_ws("|", "id", (F.col("_raised") + 1).cast("string"))
     return (
-        candidates.groupBy(*ALERT_KEY).agg(one).select(*ALERT_KEY, "_row.*").select(*candidates.columns)
-        .join(open_alerts, ALERT_KEY, "left_anti")
+        candidates.groupBy(*ALERT_KEY).agg(one).select(*ALERT_KEY, "_row.*")
+        .join(raised, ALERT_KEY, "left")
+        .where(~F.coalesce("_open", F.lit(False)))
+        .withColumn("id", F.when(F.col("_raised").isNull(), F.col("id")).otherwise(again))
+        .select(*candidates.columns)
     )
 
 

@@ -124,7 +124,7 @@ def sla_alerts(spark, d):
     return candidates.select("id", "request_id", "alert_type", "severity", "message")
 
 
-@query("sla_alerts_dedup", "SELECT id, request_id, journey_stage, severity FROM alerts WHERE lifecycle_state = 'Archived'")
+@query("sla_alerts_dedup", "SELECT id || '|2' AS id, request_id, journey_stage, severity FROM alerts WHERE lifecycle_state = 'Archived'")
 def sla_alerts_dedup(spark, d):
     """Evaluating again raises only the alerts whose earlier copy was archived."""
     candidates = sla.sla_alert_candidates(_evaluated(spark, d))
@@ -132,6 +132,25 @@ def sla_alerts_dedup(spark, d):
     return sla.dedup_alerts(again, bulk.alerts(spark, d)).select("id", "request_id", "journey_stage", "severity")
 
 
+@query(
+    "alert_reraise",
+    """SELECT request_id, journey_stage, severity, CAST(1 + (lifecycle_state = 'Archived')::INT AS BIGINT) AS alerts,
+    CAST(1 + (lifecycle_state = 'Archived')::INT AS BIGINT) AS ids, CAST(1 AS BIGINT) AS open_alerts FROM alerts""",
+)
+def alert_reraise(spark, d):
+    """After another evaluation every breach and warning has one open alert, of its own id."""
+    stored = bulk.alerts(spark, d)
+    stage = F.get_json_object("metadata", "$.journeyStage").alias("journey_stage")
+    new = sla.dedup_alerts(sla.sla_alert_candidates(_evaluated(spark, d)), stored)
+    kept = ["id", "request_id", "severity", "lifecycle_state", stage]
+    every = stored.select(*kept).unionByName(new.select(*kept))
+    return every.groupBy("request_id", "journey_stage", "severity").agg(
+        F.count(F.lit(1)).alias("alerts"),
+        F.countDistinct("id").alias("ids"),
+        F.count_if(F.col("lifecycle_state") != "Archived").alias("open_alerts"),
+    )
+
+
 @query(
     "breach_flags",
     f"""SELECT id, coalesce(assigned_department = 'Sales', false) OR sla_breached AS sla_breached,

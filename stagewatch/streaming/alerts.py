@@ -7,36 +7,13 @@ the log grows by the accepted transitions and nothing is rewritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stagewatch import schema as S
 from stagewatch.operators import lifecycle
+from stagewatch.operators.lifecycle import STAMPS, apply_log
 from stagewatch.sources.tables import read_batches
-from stagewatch.streaming.ingest import MAX_BROADCAST_IDS, Store
-
-LOG = T.StructType(
-    [T.StructField("id", T.StringType()), T.StructField("state", T.StringType()),
-     T.StructField("by", T.StringType()), T.StructField("at", T.TimestampType())]
-)
-STAMPS = {
-    "Acknowledged": ("acknowledged_by", "acknowledged_at"),
-    "Resolved": ("resolved_by", "resolved_at"),
-    "Archived": (None, "archived_at"),
-}
-
-
-def apply_log(alerts: DataFrame, log: DataFrame) -> DataFrame:
-    """Alerts after the transitions of the log, which holds each state of an alert once."""
-    facts = [F.max(F.when(F.col("state") == s, F.struct("at", "by"))).alias(f"_{s}") for s in STAMPS]
-    joined = alerts.join(log.groupBy("id").agg(*facts), "id", "left")
-    state = F.col("lifecycle_state")
-    changes = {}
-    for name, (by, at) in STAMPS.items():
-        state = F.when(F.col(f"_{name}").isNotNull(), F.lit(name)).otherwise(state)
-        changes[at] = F.coalesce(F.col(f"_{name}.at"), at)
-        if by:
-            changes[by] = F.coalesce(F.col(f"_{name}.by"), by)
-    return joined.withColumns({**changes, "lifecycle_state": state}).select(*alerts.columns)
+from stagewatch.streaming.ingest import LOG, MAX_BROADCAST_IDS, Store
 
 
 def log_rows(before: DataFrame, after: DataFrame) -> DataFrame:

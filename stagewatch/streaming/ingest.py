@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from stagewatch import schema as S
 from stagewatch.operators import broadcast, ingest, sla, timeline
+from stagewatch.operators.lifecycle import apply_log
 from stagewatch.sources.tables import read_batches, write_batch
 
 # Ids of a batch are broadcast against the store up to this many (about 64 MB of text).
 MAX_BROADCAST_IDS = 1_000_000
 ATTEMPTS = 3
+LOG = T.StructType(
+    [T.StructField("id", T.StringType()), T.StructField("state", T.StringType()),
+     T.StructField("by", T.StringType()), T.StructField("at", T.TimestampType())]
+)
 
 Step = Callable[[DataFrame, int], None]
 
@@ -51,6 +56,10 @@ class Store:
             where = where & (F.col("received_date") >= F.lit(since))
         return read_batches(spark, S.TABLES[name], self.path(name), where)
 
+    def alerts_before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """All alerts without those of the given batch, in their present state by the log of commands."""
+        return apply_log(self.before(spark, "alerts", batch_id), read_batches(spark, LOG, self.path("alert_log")))
+
     def of_batch(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
         return read_batches(spark, S.TABLES[name], self.path(name), self._mine(batch_id))
 
@@ -118,7 +127,7 @@ def default_steps(spark: SparkSession, store: Store, rules: DataFrame, within_da
         as_of = batch.agg(F.max("received_at")).first()[0]
         dwell = sla.stage_dwell(latest.unionByName(moves), F.lit(as_of).cast("timestamp"))
         found = sla.sla_alert_candidates(sla.sla_evaluate(dwell, rules))
-        return sla.dedup_alerts(found, store.before(spark, "alerts", batch_id)).withColumn(
+        return sla.dedup_alerts(found, store.alerts_before(spark, batch_id)).withColumn(
             "created_at", F.lit(as_of).cast("timestamp")
         )
 

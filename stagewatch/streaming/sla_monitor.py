@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stagewatch import schema as S
+from stagewatch.functions.times import hours_between
 from stagewatch.operators.broadcast import broadcast_payloads, create_alerts
-from stagewatch.operators.sla import dedup_alerts
+from stagewatch.operators.sla import dedup_alerts, sla_alert_candidates
 from stagewatch.streaming.ingest import Store
 
 RUN = "request_id string, start_at timestamp, end_at timestamp, event_id string, journey_stage string"
@@ -71,13 +72,14 @@ def watch(runs: list[list], emitted: set, watermark: int, limits: dict[str, floa
     """Advance one request to the watermark (microseconds): (alerts, runs to keep, next due time).
 
     The last event of a run enters a stage that ends when the next run starts. A run whose end is
-    known and behind the watermark is finished; the open one stays.
+    known and behind the watermark is finished; the open one stays. ``emitted`` remembers what the
+    kept runs have raised, by their events: entering a stage again can alert again.
     """
     alerts, keep, due = [], [], []
 
     def emit(stage, severity, kind, event, entered, at, limit):
-        if (stage, severity) not in emitted:
-            emitted.add((stage, severity))
+        if (stage, severity, event) not in emitted:
+            emitted.add((stage, severity, event))
             alerts.append((stage, severity, kind, event, entered, at, limit))
 
     for _, t, event, stage in runs:
@@ -93,19 +95,20 @@ def watch(runs: list[list], emitted: set, watermark: int, limits: dict[str, floa
                     continue
                 if at <= watermark:
                     emit(stage, severity, S.SLA_BREACH, event, t, at, limits[stage])
-                elif (stage, severity) not in emitted:
+                elif (stage, severity, event) not in emitted:
                     due.append(at)
         if over is None or over > watermark:
             keep.append([start, t, event, stage])
+    held = {event for _, _, event, _ in keep}
+    emitted.intersection_update([e for e in emitted if e[2] in held])
     return alerts, keep, min(due, default=None)
 
 
 def sla_monitor_stream(events: DataFrame, rules: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Alerts of a stream of canonical events, each (request, stage, severity) once.
+    """Alerts of a stream of canonical events, each severity once per entry into a stage.
 
     Events may come in any order within ``lateness``. ``rules`` has one row per stage; its thresholds
-    travel with the tasks. Append the result, or pass it through ``dedup_alerts`` where archived
-    alerts may be raised again.
+    travel with the tasks. ``dedup_alerts`` leaves out those of which an open copy is stored.
     """
     known = rules.where(F.col("journey_stage").isin(S.ACTIVE_STAGES)).groupBy("journey_stage")
     rows = known.agg(F.count(F.lit(1)).alias("n"), F.max("threshold_hours").alias("threshold_hours")).collect()
@@ -152,16 +155,16 @@ def sla_monitor_stream(events: DataFrame, rules: DataFrame, lateness: str = "1 h
 
 
 def alert_candidates(fired: DataFrame) -> DataFrame:
-    """Fired alerts as candidates for the alert sink."""
-    stage, rid = F.col("journey_stage"), F.col("request_id")
-    return fired.select(
-        F.concat_ws("|", rid, stage, F.col("severity")).alias("id"),
-        "request_id", "alert_type", "severity",
-        F.format_string('%s for request %s at stage "%s".', F.col("severity"), rid, stage).alias("message"),
-        F.to_json(F.struct(stage.alias("journeyStage"), F.col("threshold_hours").alias("thresholdHours"))).alias("metadata"),
-        "journey_stage",
+    """Fired alerts as candidates for the alert sink, as an evaluation at their due time gives them."""
+    share = F.when(F.col("severity") == "Critical", S.BREACH_SHARE).when(F.col("severity") == "Warning", S.WARNING_SHARE)
+    evaluated = fired.select(
+        "request_id", "journey_stage", "threshold_hours",
+        hours_between(F.col("entered_at"), F.col("due_at")).alias("elapsed_hours"),
+        F.coalesce(share, F.lit(0.0)).alias("percent_used"),
+        (F.col("severity") != "Info").alias("has_rule"),
         F.col("due_at").alias("created_at"),
     )
+    return sla_alert_candidates(evaluated, carry=["created_at"])
 
 
 def start_sla_monitor(events: DataFrame, rules: DataFrame, store: Store, checkpoint: str, lateness: str = "1 hour"):
@@ -169,7 +172,7 @@ def start_sla_monitor(events: DataFrame, rules: DataFrame, store: Store, checkpo
 
     def raise_alerts(fired: DataFrame, batch_id: int) -> None:
         spark = fired.sparkSession
-        new = dedup_alerts(alert_candidates(fired), store.before(spark, "alerts", batch_id))
+        new = dedup_alerts(alert_candidates(fired), store.alerts_before(spark, batch_id))
         store.write(create_alerts(new), "alerts", batch_id)
         # Read back, as the stateful frame of a micro-batch must be computed only once.
         none = spark.createDataFrame([], S.TABLES["events"])

@@ -64,12 +64,13 @@ def test_dedup_against_open_and_archived_alerts(spark):
     done = evaluate(spark, [("a", 0, "Inquiry"), ("b", 0, "Inquiry"), ("c", 0, "Inquiry")], at(30))
     meta = '{"journeyStage":"Inquiry"}'
     old = spark.createDataFrame(
-        [("a", "Critical", "Resolved", meta), ("b", "Critical", "Archived", meta), ("c", "Warning", "Created", meta)],
+        [("a", "Critical", "Resolved", meta), ("b", "Critical", "Archived", meta), ("c", "Warning", "Created", meta)]
+        + [("b", "Critical", "Archived", meta)],
         "request_id string, severity string, lifecycle_state string, metadata string",
     )
     candidates = sla.sla_alert_candidates(done)
     new = sla.dedup_alerts(candidates.unionByName(candidates), old)
-    assert sorted(r.request_id for r in new.collect()) == ["b", "c"]
+    assert {r.request_id: r.id for r in new.collect()} == {"b": "b|Inquiry|Critical|3", "c": "c|Inquiry|Critical"}
 
 
 def test_breach_flag_is_sticky(spark):

@@ -152,6 +152,38 @@ def test_sla_monitor_sink(spark, tmp_path):
     assert store.read(spark, "alerts").count() == spark.read.parquet(store.path("alert_messages")).count() == 2
 
 
+def test_archived_alert_is_raised_again(spark, tmp_path):
+    """Archive, enter the stage again: a second alert with an id and a state of its own."""
+    store = stream.Store(str(tmp_path / "store"), "monitor")
+    schema = "id string, request_id string, occurred_at timestamp, new_state string"
+    first = [("e1", "r", datetime(2024, 1, 1), "Inquiry"), ("e2", "r", datetime(2024, 1, 3), "Sales Review"), ("t", "beat", datetime(2024, 1, 4), "Completed")]
+    second = [("e3", "r", datetime(2024, 2, 1), "Inquiry"), ("e4", "r", datetime(2024, 2, 3), "Completed"), ("u", "beat", datetime(2024, 3, 1), "Completed")]
+
+    def monitor(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        sla_monitor.start_sla_monitor(source, bulk.rules(spark), store, str(tmp_path / "ckpt")).awaitTermination()
+
+    def present():
+        rows = alert_stream.current_alerts(spark, store.read(spark, "alerts"), store).collect()
+        return {r.id: r.lifecycle_state for r in rows if "Inquiry|Critical" in r.id}
+
+    monitor(first, "one")
+    assert present() == {"r|Inquiry|Critical": "Created"}
+    at = datetime(2024, 1, 5)
+    plan = enumerate(("acknowledge", "resolve", "archive"))
+    commands = [(f"c{i}", "r|Inquiry|Critical", action, "u1", at + timedelta(hours=i)) for i, action in plan]
+    alert_stream.command_batch(spark.createDataFrame(commands, S.TABLES["alert_commands"]), 0, store.read(spark, "alerts"), stream.Store(store.root, "commands"))
+    assert present() == {"r|Inquiry|Critical": "Archived"}
+    monitor(second, "two")
+    assert present() == {"r|Inquiry|Critical": "Archived", "r|Inquiry|Critical|2": "Created"}
+    raised = store.read(spark, "alerts")
+    assert raised.count() == raised.select("id").distinct().count()
+    text = raised.where("id = 'r|Inquiry|Critical|2'").first()
+    assert text.message == 'SLA breached for request r at stage "Inquiry". Elapsed: 24.00h / Threshold: 24h.'
+    assert '"percentUsed":1.0' in text.metadata and '"elapsedHours":24.0' in text.metadata
+
+
 HOURS = st.lists(st.floats(0, 400, allow_nan=False).map(lambda h: round(h, 2)), min_size=1, max_size=14)
 
 

@@ -13,7 +13,8 @@ the rule that an element within a dropped one is dropped; elements that hold no
 style, forms and the like) are dropped by definition. So no paragraph outlives the sidebar around it, and no
 menu within an article stays for being in an article.
 
-The sample is the ``TRAIN_PAGES`` pages of least hash of page_id; the driver holds their elements' features only.
+The sample is the ``TRAIN_PAGES`` pages of least hash of page_id, those without an id left out; the driver holds
+their elements' features only.
 Every whole page is read where it lies.
 
 Defined cases: null and empty pages give the empty text; unclosed and stray tags are closed where HTML closes
@@ -311,6 +312,8 @@ FRAMES = [
     ('<div role="banner">', "</div>"),
     ("<footer><p>", "</p></footer>"),
 ]
+#: Pages are dealt to this many ways of making variants: all pairings of first frame and content name come up.
+VARIANTS = 1260
 CONTENT_NAMES = [("article", "article"), ("main", "main"), ('div class="post-content"', "div"), ('div id="content"', "div"), ("div", "div"), ('section class="entry"', "section")]
 _SENTENCE = re.compile(r"<p>([^<]{20,400})")
 
@@ -461,7 +464,7 @@ def fit(pages: DataFrame) -> Forest | None:
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             out, named, weight = [], [], []
-            for number, source in enumerate(texts(part, "html")):
+            for number, source in zip(part.column("number").to_pylist(), texts(part, "html"), strict=True):
                 for page in map(parse, variants(source, number)):
                     rows = features(page)
                     labels = plain_labels(page, rows)
@@ -472,7 +475,12 @@ def fit(pages: DataFrame) -> Forest | None:
             arrays = [pa.array(out, pa.list_(pa.float64())), pa.array(named, pa.int32()), pa.array(weight, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["features", "label", "weight"])
 
-    sample = pages.where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES).select("html")
+    # The ids are picked first, so that the task that merges the picks of all partitions sees no pages.
+    usable = pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id", "html")
+    picked = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES)
+    # At most TRAIN_PAGES ids are broadcast; of pages with the same id the least in order counts.
+    sample = usable.join(F.broadcast(picked), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    sample = sample.select("html", F.pmod(F.xxhash64("page_id"), F.lit(VARIANTS)).alias("number"))
     merged = sample.mapInArrow(rows_of, "features array<double>, label int, weight double")
     # Alike elements are one row with their summed weight; order makes the trees the same each time.
     found = merged.groupBy("features", "label").agg(F.sum("weight").alias("weight")).orderBy("features", "label").collect()

@@ -157,6 +157,7 @@ def assign_request_numbers(new: DataFrame, existing: DataFrame, hot: dict | None
     numbered = sequence(dated, "_year", "created_at", "id", Sequence(position="_place"), hot, **cut)
     number = F.coalesce("_taken", F.lit(0)) + F.col("_place")
     text = F.concat_ws("-", F.lit("SR"), F.col("_year").cast("string"), pad_number(number, 5))
+    taken = F.broadcast(taken)  # four digits of year: 10,000 rows at most
     return numbered.join(taken, "_year", "left").withColumn("request_number", text).select(*new.columns, "request_number")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stagewatch import schema as S
 from stagewatch.functions.signing import hmac_sha256, key_blocks
+from stagewatch.functions.times import to_utc
 from stagewatch.operators import ingest
 
 RID = "123e4567-e89b-12d3-a456-426614174000"
@@ -187,3 +188,23 @@ def test_settings_of_other_sources_do_not_crowd_out(spark):
     assert [r.webhook_secret for r in ingest.settings(configs)] == ["secret"]
     with pytest.raises(ValueError):
         ingest.settings(configs.union(configs))
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("2024/01/10 08:00:00", datetime(2024, 1, 10, 8)),
+        ("2024/1/10", datetime(2024, 1, 10)),
+        ("1/10/2024 8:30", datetime(2024, 1, 10, 8, 30)),
+        ("Wed, 10 Jan 2024 08:00:00 GMT", datetime(2024, 1, 10, 8)),
+        ("Wed Jan 10 2024 08:00:00 GMT+0300 (Moscow Standard Time)", datetime(2024, 1, 10, 5)),
+        ("Jan 10, 2024", datetime(2024, 1, 10)),
+        ("10 January 2024 23:59", datetime(2024, 1, 10, 23, 59)),
+        ("2024-01-10T08:00:00+03:00", datetime(2024, 1, 10, 5)),
+        ("1704873600", datetime(2024, 1, 10, 8)),
+        ("13/45/2024", None), ("yesterday 2024", None), ("Foo 10 2024", None), ("", None), ("10", datetime(1970, 1, 1, 0, 0, 10)),
+    ],
+)
+def test_written_dates(spark, text, expected):
+    row = spark.createDataFrame([(text,)], "t string").select(to_utc(F.col("t")).cast("timestamp_ntz").alias("v")).first()
+    assert row.v == expected

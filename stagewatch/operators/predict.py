@@ -22,19 +22,60 @@ MAX_DELAY_HOURS = 8760.0
 MODEL_CONFIDENCE = 0.75
 
 
+MAX_DEPARTMENTS = 10_000
+
+
+def _backlog(requests: DataFrame) -> DataFrame:
+    """Active requests per department, as a broadcast table of rows in hand while there are MAX_DEPARTMENTS at most.
+
+    Departments are few keys with very many requests each; so requests needn't be shuffled by them. Beyond
+    that number the counts stay a distributed table and the join is an ordinary one.
+    """
+    counted = active_requests(requests).groupBy("assigned_department").agg(F.count(F.lit(1)).alias("_backlog"))
+    rows = counted.limit(MAX_DEPARTMENTS + 1).collect()
+    if len(rows) > MAX_DEPARTMENTS:
+        return counted
+    return F.broadcast(requests.sparkSession.createDataFrame(rows, counted.schema))
+
+
+def _timed(rows: DataFrame, at: Column) -> DataFrame:
+    """Features of the time ``at`` at which a request is, or was, judged."""
+    return rows.withColumns(
+        {
+            "elapsed_hours": hours_between(F.col("created_at"), at),
+            "day_of_week": (F.dayofweek(at) - 1).cast("int"),
+            "hour_of_day": F.hour(at),
+        }
+    )
+
+
+def _measured(rows: DataFrame, requests: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Features measured on all requests and alerts: usual time, backlog of the department, warnings of the request."""
+    history = requests.where(F.col("current_stage") == "Completed").agg(
+        F.avg(hours_between(F.col("created_at"), F.col("updated_at")))
+    )
+    warnings = (
+        alerts.where(F.col("severity") == "Warning")
+        .groupBy(F.col("request_id").alias("id"))
+        .agg(F.count(F.lit(1)).alias("_warnings"))
+    )
+    joined = rows.join(warnings, "id", "left").join(_backlog(requests), "assigned_department", "left")
+    return joined.withColumns(
+        {
+            "historical_avg_hours": F.coalesce(history.scalar(), F.lit(S.DEFAULT_HISTORY_HOURS)),
+            "dept_backlog": F.coalesce("_backlog", F.lit(0)),
+            "prior_sla_warnings": F.coalesce("_warnings", F.lit(0)),
+        }
+    )
+
+
 def prediction_features(requests: DataFrame, as_of, alerts: DataFrame | None = None) -> DataFrame:
     """Feature row of every active request.
 
     Without ``alerts`` history, backlog and warnings are the fixed defaults. With it they are
     computed: mean completion time, active requests of the department, warnings of the request.
     """
-    now = instant(as_of)
     active = active_requests(requests)
-    timed = {
-        "elapsed_hours": hours_between(F.col("created_at"), now),
-        "day_of_week": (F.dayofweek(now) - 1).cast("int"),
-        "hour_of_day": F.hour(now),
-    }
     if alerts is None:
         rows = active.withColumns(
             {
@@ -44,27 +85,9 @@ def prediction_features(requests: DataFrame, as_of, alerts: DataFrame | None = N
             }
         )
     else:
-        history = requests.where(F.col("current_stage") == "Completed").agg(
-            F.avg(hours_between(F.col("created_at"), F.col("updated_at")))
-        )
-        backlog = active.groupBy("assigned_department").agg(F.count(F.lit(1)).alias("_backlog"))
-        warnings = (
-            alerts.where(F.col("severity") == "Warning")
-            .groupBy(F.col("request_id").alias("id"))
-            .agg(F.count(F.lit(1)).alias("_warnings"))
-        )
-        rows = (
-            active.join(backlog, "assigned_department", "left")
-            .join(warnings, "id", "left")
-            .withColumns(
-                {
-                    "historical_avg_hours": F.coalesce(history.scalar(), F.lit(S.DEFAULT_HISTORY_HOURS)),
-                    "dept_backlog": F.coalesce("_backlog", F.lit(0)),
-                    "prior_sla_warnings": F.coalesce("_warnings", F.lit(0)),
-                }
-            )
-        )
-    return rows.withColumns(timed).select(F.col("id").alias("request_id"), "current_stage", "assigned_department", *FEATURES)
+        rows = _measured(active, requests, alerts)
+    timed = _timed(rows, instant(as_of))
+    return timed.select(F.col("id").alias("request_id"), "current_stage", "assigned_department", *FEATURES)
 
 
 def _clip(value: Column, low: float, high: float) -> Column:
@@ -123,36 +146,17 @@ def score_heuristic(features: DataFrame, as_of) -> DataFrame:
 
 
 def training_rows(requests: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
-    """Features of all requests with their outcome: breached, and hours beyond the usual time."""
-    history = requests.where(F.col("current_stage") == "Completed").agg(
-        F.avg(hours_between(F.col("created_at"), F.col("updated_at")))
-    )
-    warnings = alerts.where(F.col("severity") == "Warning").groupBy(F.col("request_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("_warnings")
-    )
-    backlog = active_requests(requests).groupBy("assigned_department").agg(F.count(F.lit(1)).alias("_backlog"))
-    finished = F.when(F.col("current_stage") == "Completed", F.col("updated_at")).otherwise(instant(as_of))
-    return (
-        requests.join(backlog, "assigned_department", "left")
-        .join(warnings, "id", "left")
-        .withColumns(
-            {
-                "elapsed_hours": hours_between(F.col("created_at"), finished),
-                "historical_avg_hours": F.coalesce(history.scalar(), F.lit(S.DEFAULT_HISTORY_HOURS)),
-                "dept_backlog": F.coalesce("_backlog", F.lit(0)).cast("double"),
-                "prior_sla_warnings": F.coalesce("_warnings", F.lit(0)).cast("double"),
-                "day_of_week": (F.dayofweek("created_at") - 1).cast("double"),
-                "hour_of_day": F.hour("created_at").cast("double"),
-            }
-        )
-        .withColumns(
-            {
-                "label": F.col("sla_breached").cast("double"),
-                "excess_hours": F.greatest(F.col("elapsed_hours") - F.col("historical_avg_hours"), F.lit(0.0)),
-            }
-        )
-        .select(F.col("id").alias("request_id"), *FEATURES, "label", "excess_hours")
-    )
+    """Features of all requests with their outcome: breached, and hours beyond the usual time.
+
+    The same features as for scoring, at the time of completion or, for open requests, now.
+    """
+    at = F.when(F.col("current_stage") == "Completed", F.col("updated_at")).otherwise(instant(as_of))
+    outcome = {
+        "label": F.col("sla_breached").cast("double"),
+        "excess_hours": F.greatest(F.col("elapsed_hours") - F.col("historical_avg_hours"), F.lit(0.0)),
+    }
+    rows = _timed(_measured(requests, requests, alerts), at).withColumns(outcome)
+    return rows.select(F.col("id").alias("request_id"), *FEATURES, *outcome)
 
 
 def fit_model(history: DataFrame, rounds: int = 5, depth: int = 3):

@@ -59,6 +59,56 @@ def prediction_features(spark, d):
     return _features(spark, d).withColumns({n: half_up(F.col(n), 6) for n in ("elapsed_hours", "historical_avg_hours")})
 
 
+_JUDGED_AT = f"CASE WHEN current_stage = 'Completed' THEN updated_at ELSE {AS_OF_SQL} END"
+
+
+@query(
+    "training_features",
+    f"""SELECT a.id AS request_id, {r6('e')} AS elapsed_hours, {r6('h')} AS historical_avg_hours, CAST(coalesce(b.n, 0) AS BIGINT) AS dept_backlog,
+    CAST(coalesce(w.n, 0) AS BIGINT) AS prior_sla_warnings, CAST(dayofweek(judged_at) AS BIGINT) AS day_of_week, CAST(hour(judged_at) AS BIGINT) AS hour_of_day,
+    CAST(CASE WHEN sla_breached THEN 1 ELSE 0 END AS DOUBLE) AS label, {r6('greatest(e-h, 0e0)')} AS excess_hours
+    FROM (SELECT *, {hours('created_at', 'judged_at')} AS e, (SELECT avg({hours('created_at', 'updated_at')}) FROM reqs WHERE current_stage = 'Completed') AS h
+      FROM (SELECT *, {_JUDGED_AT} AS judged_at FROM reqs)) a
+    LEFT JOIN (SELECT assigned_department AS dep, count(*) AS n FROM ({_ACTIVE}) GROUP BY 1) b ON b.dep = a.assigned_department
+    LEFT JOIN (SELECT request_id, count(*) AS n FROM alerts WHERE severity = 'Warning' GROUP BY 1) w ON w.request_id = a.id""",
+)
+def training_features(spark, d):
+    rows = predict.training_rows(bulk.requests(spark, d), bulk.alerts(spark, d), bulk.AS_OF)
+    return rows.withColumns({n: half_up(F.col(n), 6) for n in ("elapsed_hours", "historical_avg_hours", "excess_hours")})
+
+
+@query(
+    "prediction_rows",
+    f"""SELECT request_id, {rn('score', 3)} AS risk_score, {_label('score')} AS risk_label, 3 AS n_factors, false AS is_stale,
+    {AS_OF_SQL} AS last_computed_at FROM {_SCORED}""",
+)
+def prediction_rows(spark, d):
+    """Rows for the prediction log, with their factors counted."""
+    rows = predict.prediction_rows(predict.score(_features(spark, d), bulk.AS_OF), bulk.AS_OF)
+    return rows.select(
+        "request_id", "risk_score", "risk_label", F.size("contributing_factors").alias("n_factors"), "is_stale", "last_computed_at"
+    )
+
+
+@query(
+    "factor_clamp",
+    """SELECT id, CAST(greatest(least(k%8, 5), 1) AS BIGINT) AS n_factors, CASE WHEN k%8 = 0 THEN 'elapsed_time' ELSE 'f1' END AS first_factor,
+    CASE WHEN k%8 = 0 THEN 0e0 ELSE 1e0/least(k%8, 5) END AS last_influence FROM ev""",
+)
+def factor_clamp(spark, d):
+    """Zero to seven factors per event, of falling influence."""
+    n = (F.col("k") % 8).cast("int")
+    made = F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: i <= n),
+        lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("factor"), (F.lit(1.0) / i).alias("influence")),
+    )
+    clamped = bulk.plain_events(spark, d).select("id", predict.clamp_factors(made).alias("f"))
+    return clamped.select(
+        "id", F.size("f").alias("n_factors"), F.get("f", F.lit(0))["factor"].alias("first_factor"),
+        F.element_at("f", -1)["influence"].alias("last_influence"),
+    )
+
+
 _DELAY = "CASE WHEN ratio > 1 THEN (ratio-1.0)*historical_avg_hours END"
 
 

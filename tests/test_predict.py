@@ -93,3 +93,27 @@ def test_model_scores(spark):
     assert got[0].risk_label == "Low" and got[1].risk_label == "Critical"
     assert got[1].predicted_delay_hours > 20 and got[1].delay_confidence == 0.75
     assert len(got[1].contributing_factors) == 5 and got[1].contributing_factors[0].factor == "elapsed_hours"
+
+
+def test_fit_and_score_see_the_same_features(spark):
+    made = datetime(2024, 1, 30, 4)
+    kind = ("id string, current_stage string, assigned_department string, sla_breached boolean, created_at timestamp, updated_at timestamp")
+    rows = [(f"r{i}", "Inquiry", None if i == 3 else "Sales", i == 1, made, made) for i in range(4)]
+    requests = spark.createDataFrame([*rows, ("done", "Completed", "Sales", False, made, datetime(2024, 1, 30, 8))], kind)
+    alerts = spark.createDataFrame([("r0", "Warning"), ("r0", "Critical")], "request_id string, severity string")
+    scored = {r.request_id: r for r in predict.prediction_features(requests, NOW, alerts).collect()}
+    learned = {r.request_id: r for r in predict.training_rows(requests, alerts, NOW).collect()}
+    assert set(learned) == {*scored, "done"}
+    for key, row in scored.items():
+        assert [row[f] for f in predict.FEATURES] == [learned[key][f] for f in predict.FEATURES]
+    assert (scored["r0"].dept_backlog, scored["r3"].dept_backlog, scored["r0"].prior_sla_warnings) == (3, 0, 1)
+    assert (learned["done"].elapsed_hours, learned["done"].hour_of_day, learned["r1"].label) == (4.0, 8, 1.0)
+
+
+def test_more_departments_than_are_broadcast(spark, monkeypatch):
+    kind = "id string, current_stage string, assigned_department string, sla_breached boolean, created_at timestamp, updated_at timestamp"
+    requests = spark.createDataFrame([(f"r{i}", "Inquiry", f"d{i % 5}", False, NOW, NOW) for i in range(10)], kind)
+    alerts = spark.createDataFrame([], "request_id string, severity string")
+    few = sorted(predict.prediction_features(requests, NOW, alerts).collect())
+    monkeypatch.setattr(predict, "MAX_DEPARTMENTS", 3)
+    assert sorted(predict.prediction_features(requests, NOW, alerts).collect()) == few and few[0].dept_backlog == 2

@@ -45,12 +45,14 @@ def request_timeline(events: DataFrame, timelines: DataFrame, users: DataFrame)
         "source_system", "previous_state", "new_state", "metadata",
     )
     joined = timelines.select("request_id", "event_id", "position").join(what, "event_id")
+    # Events without a user meet nobody; a key of their own keeps them from sharing one task.
+    key = F.coalesce("triggered_by_user", F.concat(F.lit("\0"), "event_id"))
     user = F.when(
         F.col("_email").isNotNull(),
         F.struct(F.col("triggered_by_user").alias("id"), F.col("_email").alias("email")),
     )
     return (
-        joined.join(who, F.col("triggered_by_user") == F.col("_user"), "left")
+        joined.join(who, key == F.col("_user"), "left")
         .withColumn("triggered_by", user)
         .drop("_user", "_email", "triggered_by_user")
     )

@@ -148,11 +148,7 @@ _RATES = ["sla_compliance_rate", "avg_completion_time", "completion_rate"]
 )
 def snapshot_periods(spark, d):
     """All four kinds of period."""
-    requests = bulk.requests(spark, d)
-    frames = [analytics.snapshot_periods(requests, kind) for kind in S.SNAPSHOT_TYPES]
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
+    whole = analytics.snapshot_all_periods(bulk.requests(spark, d))
     return whole.withColumns({k: r(k) for k in _RATES})
 
 

@@ -391,30 +391,34 @@ def pipeline_status(step_results: DataFrame) -> DataFrame:
     )
 
 
-def incremental_sync(source: DataFrame, configs: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def incremental_sync(
+    source: DataFrame, configs: DataFrame, existing: DataFrame, by_mark: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Pull what active sources have since their mark: (new events, sync report).
 
-    The report counts fetched and duplicate events per source and gives the next mark. ``source``
-    holds canonical events. Settings are bounded by the six source systems, hence the broadcast.
+    The mark is a time of arrival, so an event that occurred long before it arrived is still pulled. Without
+    ``by_mark`` every event of ``source`` is new to the caller, as in a stream whose checkpoint knows what was read.
+    The report counts fetched and duplicate events per source and gives the next mark, which never goes back.
+    ``source`` holds canonical events. Settings are bounded by the six source systems, hence the broadcast.
     """
     active = configs.where(F.col("is_active") & F.col("source_system").isin(S.SOURCES)).select(
         "source_system", "last_synced_at"
     )
-    fetched = source.join(F.broadcast(active), "source_system").where(
-        F.col("last_synced_at").isNull() | (F.col("occurred_at") > F.col("last_synced_at"))
-    )
+    fetched = source.join(F.broadcast(active), "source_system")
+    if by_mark:
+        fetched = fetched.where(F.col("last_synced_at").isNull() | (F.col("received_at") > F.col("last_synced_at")))
     stored = existing.select(F.col("id").alias("_stored"))  # unique by the append contract
     marked = fetched.join(stored, F.col("id") == F.col("_stored"), "left")
     report = marked.groupBy("source_system").agg(
         F.count(F.lit(1)).alias("processed"),
         F.count("_stored").alias("duplicates"),
-        F.max("occurred_at").alias("next_mark"),
+        F.max("received_at").alias("next_mark"),
     )
     marks = active.join(report, "source_system", "left").select(
         "source_system",
         F.coalesce("processed", F.lit(0)).alias("processed"),
         F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
-        F.coalesce("next_mark", "last_synced_at").alias("last_synced_at"),
+        F.greatest("next_mark", "last_synced_at").alias("last_synced_at"),
     )
     fresh = append_events(fetched.drop("last_synced_at"), existing)
     return fresh, marks

@@ -248,12 +248,13 @@ def pipeline_status(spark, d):
     return status.withColumn("failed_steps", F.array_join("failed_steps", ","))
 
 
+_ACTIVE_SOURCES = """(VALUES ('CRM', TIMESTAMP '2024-01-10'), ('ERP', TIMESTAMP '2024-01-20'),
+      ('Engineering Software', NULL), ('Logistics Platform', TIMESTAMP '2024-01-20')) c(source_system, mark)"""
+_PULLED = "e.source_system = c.source_system AND (c.mark IS NULL OR e.received_at > c.mark)"
 _SYNC = f"""SELECT c.source_system, CAST(count(e.id) AS BIGINT) AS processed,
     CAST(coalesce(sum(CASE WHEN e.received_at < TIMESTAMP '{STORED_BEFORE}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS duplicates,
-    coalesce(max(e.occurred_at), max(c.mark)) AS last_synced_at
-    FROM (VALUES ('CRM', TIMESTAMP '2024-01-10'), ('ERP', TIMESTAMP '2024-01-20'),
-      ('Engineering Software', NULL), ('Logistics Platform', TIMESTAMP '2024-01-20')) c(source_system, mark)
-    LEFT JOIN ev e ON e.source_system = c.source_system AND (c.mark IS NULL OR e.occurred_at > c.mark)
+    coalesce(max(e.received_at), max(c.mark)) AS last_synced_at
+    FROM {_ACTIVE_SOURCES} LEFT JOIN ev e ON {_PULLED}
     GROUP BY c.source_system"""
 
 
@@ -263,6 +264,30 @@ def incremental_sync(spark, d):
     return report
 
 
+@query(
+    "sync_events",
+    f"""SELECT e.id, e.source_system, e.received_at FROM {_ACTIVE_SOURCES} JOIN ev e ON {_PULLED}
+    WHERE e.received_at >= TIMESTAMP '{STORED_BEFORE}'""",
+)
+def sync_events(spark, d):
+    """The events that the pull adds to the store."""
+    fresh, _ = ingest.incremental_sync(bulk.plain_events(spark, d), bulk.configs(spark), _stored(spark, d))
+    return fresh.select("id", "source_system", "received_at")
+
+
+@query(
+    "archived_union",
+    f"""SELECT id, request_id, occurred_at, occurred_at < TIMESTAMP '{STORED_BEFORE}' AND received_at < TIMESTAMP '{STORED_BEFORE}' AS cold
+    FROM ev WHERE received_at >= TIMESTAMP '{STORED_BEFORE}' OR occurred_at < TIMESTAMP '{STORED_BEFORE}'""",
+)
+def archived_union(spark, d):
+    """Old events are read from the archive, also those which are still in the store; ``cold`` marks the others."""
+    events = bulk.plain_events(spark, d)
+    live = events.where(F.col("received_at") >= instant(STORED_BEFORE))
+    both = ingest.with_archive(live, ingest.archive_older_than(events, STORED_BEFORE))
+    return both.select("id", "request_id", "occurred_at", (F.col("received_at") < instant(STORED_BEFORE)).alias("cold"))
+
+
 @query(
     "archive_eligible",
     f"SELECT CAST(date_trunc('day', occurred_at) AS TIMESTAMP) AS day, CAST(count(*) AS BIGINT) AS archived_count FROM ev WHERE occurred_at < TIMESTAMP '{STORED_BEFORE}' GROUP BY 1",

@@ -13,7 +13,7 @@ from stagewatch import schema as S
 from stagewatch.operators import lifecycle
 from stagewatch.operators.lifecycle import STAMPS, apply_log
 from stagewatch.sources.tables import read_batches
-from stagewatch.streaming.ingest import LOG, MAX_BROADCAST_IDS, Store
+from stagewatch.streaming.ingest import LOG, Store, batch_ids
 
 
 def log_rows(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -40,9 +40,7 @@ def command_batch(commands: DataFrame, batch_id: int, alerts: DataFrame, store:
     spark = commands.sparkSession
     commands = commands.persist()
     try:
-        named = commands.select(F.col("alert_id").alias("id")).distinct()
-        if commands.count() <= MAX_BROADCAST_IDS:
-            named = F.broadcast(named)
+        named = batch_ids(commands.select(F.col("alert_id").alias("id")))
         log = read_batches(
             spark, LOG, store.path("alert_log"),
             ~((F.col("stream") == store.stream) & (F.col("batch_id") == batch_id)),

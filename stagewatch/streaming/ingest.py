@@ -6,6 +6,8 @@ replaces what it wrote before and the result is the same as if it had run once.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -17,9 +19,11 @@ from stagewatch.operators import broadcast, ingest, sla, timeline
 from stagewatch.operators.lifecycle import apply_log
 from stagewatch.sources.tables import read_batches, write_batch
 
-# Ids of a batch are broadcast against the store up to this many (about 64 MB of text).
-MAX_BROADCAST_IDS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20  # of a batch's ids, which meet the store
+ID_OVERHEAD = 40  # bytes of a broadcast row besides its id
 ATTEMPTS = 3
+PAUSE_SECONDS = 0.2  # before a failed step is tried again, doubled each time
+_log = logging.getLogger(__name__)
 LOG = T.StructType(
     [T.StructField("id", T.StringType()), T.StructField("state", T.StringType()),
      T.StructField("by", T.StringType()), T.StructField("at", T.TimestampType())]
@@ -75,16 +79,20 @@ def first_day(batch: DataFrame, within_days: int | None) -> date | None:
     return first - timedelta(days=within_days) if first else None
 
 
-def known_ids(judged: DataFrame, stored: DataFrame, rows: int) -> DataFrame:
+def batch_ids(ids: DataFrame) -> DataFrame:
+    """The distinct ids of a cached batch, broadcast while their bytes are at most MAX_BROADCAST_BYTES."""
+    ids = ids.select("id").distinct()
+    size = ids.agg(F.sum(F.octet_length("id") + ID_OVERHEAD)).first()[0] or 0
+    return F.broadcast(ids) if size <= MAX_BROADCAST_BYTES else ids
+
+
+def known_ids(judged: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored ids that occur in the batch.
 
-    The batch is the small side: broadcast while its counted size allows, the store is only scanned
-    for its id column and not shuffled. A larger batch joins by shuffle.
+    Where the batch is small the store is only scanned for its id column and not shuffled. A larger batch
+    joins by shuffle.
     """
-    ids = judged.select("id").distinct()
-    if rows <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return stored.select("id").join(ids, "id", "left_semi")
+    return stored.select("id").join(batch_ids(judged), "id", "left_semi")
 
 
 def fan_out(batch: DataFrame, batch_id: int, steps: dict[str, Step], attempts: int = ATTEMPTS) -> list[str]:
@@ -95,9 +103,12 @@ def fan_out(batch: DataFrame, batch_id: int, steps: dict[str, Step], attempts: i
             try:
                 step(batch, batch_id)
                 break
-            except Exception:  # one step must not stop the others
+            except Exception as error:  # one step must not stop the others
+                _log.warning("batch %s, step %s, attempt %s: %s: %s", batch_id, name, attempt, type(error).__name__, error)
                 if attempt == attempts:
                     failed.append(name)
+                else:
+                    time.sleep(PAUSE_SECONDS * 2 ** (attempt - 1))
     return failed
 
 
@@ -167,7 +178,7 @@ def ingest_batch(
     judged = ingest.judge(raw, configs, default_missing_ts).persist()
     try:
         stored = store.before(spark, "events", batch_id, first_day(judged, within_days))
-        outcome = ingest.settle(judged, known_ids(judged, stored, judged.count())).persist()
+        outcome = ingest.settle(judged, known_ids(judged, stored)).persist()
         try:
             rejected = outcome.where(F.col("status") != "accepted").select(
                 "delivery_id", "raw", "id", "status", "http_code", "reasons", "received_at"
@@ -230,18 +241,38 @@ def drop_repeats(events: DataFrame, within: str) -> DataFrame:
     return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark(["id"])
 
 
+REPORT = T.StructType(
+    [T.StructField("source_system", T.StringType()), T.StructField("processed", T.LongType()),
+     T.StructField("duplicates", T.LongType()), T.StructField("last_synced_at", T.TimestampType())]
+)
+
+
+def with_marks(spark: SparkSession, store: Store, configs: DataFrame, before: int | None = None) -> DataFrame:
+    """The settings with the marks that the reports of the store have reached, or had before a batch."""
+    where = None if before is None else ~store._mine(before)
+    reports = read_batches(spark, REPORT, store.path("sync_reports"), where)
+    marks = reports.groupBy("source_system").agg(F.max("last_synced_at").alias("_mark"))
+    joined = configs.join(F.broadcast(marks.where(F.col("source_system").isin(S.SOURCES))), "source_system", "left")
+    return joined.withColumn("last_synced_at", F.greatest("last_synced_at", "_mark")).select(*configs.columns)
+
+
 def start_sync(source: DataFrame, configs: DataFrame, store: Store, checkpoint: str):
     """Incremental pull of canonical events from active sources; each run takes only what is new.
 
-    The checkpoint remembers the files taken; events that are stored already count as success.
+    The checkpoint remembers the files taken, so events that arrive late are taken too; events that are stored
+    already count as success, invalid ones go to ``sync_quarantine``. Marks advance on storage: see ``with_marks``.
     """
 
     def pull(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            known = known_ids(batch, store.before(spark, "events", batch_id), batch.count())
-            fresh, report = ingest.incremental_sync(batch, configs, known)
+            checked = ingest.validate_events(batch)
+            valid = checked.where(F.size("errors") == 0).drop("errors")
+            known = known_ids(valid, store.before(spark, "events", batch_id))
+            marked = with_marks(spark, store, configs, before=batch_id)
+            fresh, report = ingest.incremental_sync(valid, marked, known, by_mark=False)
+            store.write(checked.where(F.size("errors") > 0), "sync_quarantine", batch_id)
             store.write_events(fresh.select(*ingest.EVENT_COLUMNS), batch_id)
             store.write(report, "sync_reports", batch_id)
         finally:

@@ -110,10 +110,22 @@ def test_sync_stream_takes_each_file_once(spark, tmp_path):
     source = spark.readStream.schema(S.TABLES["events"]).parquet(str(landing))
     for _ in range(2):
         stream.start_sync(source, bulk.configs(spark), store, str(tmp_path / "ckpt")).awaitTermination()
-    fresh, report = ingest.incremental_sync(events, bulk.configs(spark), spark.createDataFrame([], "id string"))
+    none = spark.createDataFrame([], "id string")
+    fresh, report = ingest.incremental_sync(events, bulk.configs(spark), none, by_mark=False)
     assert same(store.read(spark, "events").select("id"), fresh.select("id"))
     assert spark.read.parquet(store.path("sync_reports")).agg(F.sum("processed")).first()[0] == report.agg(F.sum("processed")).first()[0]
 
+    # The marks stand at the last arrival; an event that arrived before them in a file read later, and a bad one.
+    marks = {r.source_system: r.last_synced_at for r in stream.with_marks(spark, store, bulk.configs(spark)).collect()}
+    assert all(marks[r.source_system] == r.last_synced_at for r in report.collect())
+    late = events.where("source_system = 'CRM'").orderBy("received_at").limit(1)
+    late = late.withColumn("id", F.lit("late")).unionByName(late.withColumns({"id": F.lit("bad"), "request_id": F.lit("x")}))
+    late.write.mode("append").parquet(str(landing))
+    stream.start_sync(source, bulk.configs(spark), store, str(tmp_path / "ckpt")).awaitTermination()
+    assert store.read(spark, "events").where("id IN ('late', 'bad')").select("id").first().id == "late"
+    assert [r.id for r in spark.read.parquet(store.path("sync_quarantine")).where("id = 'bad'").collect()] == ["bad"]
+    assert {r.source_system: r.last_synced_at for r in stream.with_marks(spark, store, bulk.configs(spark)).collect()} == marks
+
 
 def test_sla_stream_equals_batch(spark, tmp_path):
     landing = tmp_path / "events"

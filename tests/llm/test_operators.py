@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -87,6 +88,43 @@ def test_jaccard_join(spark, odd):
     assert seen == [(0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 19996, 5), (6, 19996, 5), (7, 1, 4), (8, 2, 8), (8, 2, 8)]
 
 
+def linked(rows):
+    """doc_id to the least doc_id it is linked with, by comparing all pairs of different sets."""
+    sets = {}
+    for i, text, _, _ in rows:
+        w = text.split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(i)
+    parent = {s: s for s in sets}
+
+    def find(s):
+        return s if parent[s] == s else find(parent[s])
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(a & b) >= 80 * len(a | b):
+            x, y = sorted((find(a), find(b)), key=lambda s: min(sets[s]))
+            parent[y] = x
+    return {i: min(sets[find(s)]) for s, ids in sets.items() for i in ids}
+
+
+@pytest.mark.parametrize("counts", [None, 40])
+def test_jaccard_join_of_uneven_match_numbers(spark, monkeypatch, counts):
+    """A set that asks for more matches than its partner: appended and truncated copies, sketch cells full, many copies of one side."""
+    rng = random.Random(11)
+    texts = []
+    for n in range(4, 101, 2):
+        words = [f"n{n}k{k}" for k in range(n + 4)]
+        added = [f"n{n}a{k}" for k in range(rng.randint(1, n // 4 or 1))]
+        texts += [words, words + added if n % 4 else words[: len(words) - len(added)]]
+    if counts:  # what the pairs share is frequent
+        real = jaccard_join.frequencies
+        monkeypatch.setattr(jaccard_join, "frequencies", lambda docs: np.where(real(docs) > 1, counts, 1).astype(np.uint16))
+    else:
+        texts += [texts[40]] * 1000 + [texts[81]] * 1000
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs_of(spark, rows)).collect()}
+    assert got == linked(rows)
+
+
 def test_shingles_ignore_batch_borders():
     import pyarrow as pa
 

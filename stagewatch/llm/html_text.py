@@ -82,7 +82,8 @@ POSITIVE = frozenset("article content post entry story main text body prose".spl
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute whole: its name, then its value quoted or bare.
+_ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -180,11 +181,21 @@ def parse(source: str) -> Page:
     return Page(nodes, pieces)
 
 
+def _attributes(source: str) -> Iterator[tuple[str, str]]:
+    """(name, value) of each attribute, the first of a name; values are never searched for names."""
+    given = set()
+    for m in _ATTRIBUTE.finditer(source):
+        name = m[1].lower()
+        if name not in given:
+            given.add(name)
+            yield name, m[2] or m[3] or m[4] or ""
+
+
 def _unseen(attributes: str) -> bool:
     if not attributes:
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for name, value in _attributes(attributes):
+        value = value.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -196,8 +207,9 @@ def _named(node: Node) -> tuple[int, int, int]:
     """Numbers of negative and positive words in class and id, and whether the role is of a page part."""
     bad = good = role = 0
     if node.attributes:
-        for m in _ATTRIBUTE.finditer(node.attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        for name, value in _attributes(node.attributes):
+            if name not in ("class", "id", "role"):
+                continue
             words = {w.lower() for w in _WORDS.findall(value)}
             if name == "role":
                 role = -1 if words & ROLES_OUT else int("main" in words or "article" in words)

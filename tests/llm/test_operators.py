@@ -310,3 +310,15 @@ def test_page_text(spark, small):
     odd = spark.createDataFrame([(1, None, None), (2, "u", "<p>unclosed <b>bold")], "page_id long, url string, html string")
     assert [r["text"] for r in html_text.main_text(odd, forest).orderBy("page_id").collect()] == ["", "unclosed bold"]
     assert html_text.main_text(odd.limit(0), html_text.fit(odd.limit(0))).count() == 0
+
+
+def test_attribute_values_are_not_names():
+    seen = ('<a href="/stories/hidden/1">one</a>', "<a href=/hidden>two</a>", '<a title="A hidden gem">three</a>', '<div data-hidden="false">four</div>', '<p data-style="display:none" title=\'hidden class="ad"\'>five</p>', '<p alt=x"y hidden" aria-hidden=false>six</p>')
+    for source in seen:
+        node = html_text.parse(source).nodes[1]
+        assert not node.hidden and html_text._named(node) == (0, 0, 0)
+        assert html_text.extract([source], None) == [re.sub("<[^>]*>", "", source)]
+    for source in ("<p HIDDEN>x", '<p title="a" hidden>x', "<p hidden=''>x", "<p class=a style='Display : none'>x", '<p aria-hidden = "true">x', "<p a=1 hidden/>x"):
+        assert html_text.parse(source).nodes[1].hidden
+    assert html_text._named(html_text.parse('<a href="/a?id=menu" class="x" role=main>x').nodes[1]) == (0, 0, 1)
+    assert html_text._named(html_text.parse('<div title="id=main" id="side-menu" class=\'post\'>x').nodes[1]) == (2, 1, 0)

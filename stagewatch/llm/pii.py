@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,8 +45,8 @@ LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z]{2,24}\b", re.I),
     "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"),
     "secret": re.compile(
-        r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,255}\b"
-        r"|\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,255}[\"']?",
+        r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}+\b"
+        r"|\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,}+[\"']?",
         re.I,
     ),
 }
@@ -116,17 +116,22 @@ HINTS = {"email": re.compile(r"[\[(]\s?at\s?[\])]", re.I), "phone": re.compile("
 
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further candidates that overlap no base span."""
+    """Further candidates that overlap no base span; a secret may hold some, as its value goes whole."""
     found = []
     for kind, pattern in LOOSE.items():
         if HINTS[kind].search(text):
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
-    ends = [b for _, b in taken]
+    starts, ends = [a for a, _ in taken], [b for _, b in taken]
     out = []
     for kind, a, b in found:
         k = bisect_right(ends, a)  # the first base span that ends behind a; base spans may overlap each other
-        if not any(x < b and y > a for x, y in taken[max(0, k - len(BASE)) : k + len(BASE)]):
+        if kind == "secret":
+            last = bisect_left(starts, b)  # the first base span that starts behind the secret
+            clash = any(y > a and not (x >= a and y <= b) for x, y in taken[max(0, k - len(BASE)) : last])
+        else:
+            clash = any(x < b and y > a for x, y in taken[max(0, k - len(BASE)) : k + len(BASE)])
+        if not clash:
             out.append((kind, a, b))
     return out
 

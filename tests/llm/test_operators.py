@@ -246,6 +246,22 @@ def test_pii_adds_and_redacts(spark, odd):
     assert pii.find(odd.limit(0), pii.fit(odd.limit(0))).count() == 0
 
 
+def test_pii_spans_whole_secrets():
+    class Sure(pii.Model):
+        def probability(self, row):
+            return 1.0
+
+    body = "".join(random.Random(4).choice("abcdefXYZ_-.") + "7k" for _ in range(667))[:2000]
+    for text, want in (
+        (f"token = {body} end", "[SECRET] end"),
+        (f'api_key: "{body}", next', "[SECRET], next"),
+        ("see ghp_" + "aB3" * 700 + " end", "see [SECRET] end"),
+        (f"password={body}+me@mail.example.com/{body} end", "[SECRET] end"),
+        (f"password={body} me@mail.example.com", "[SECRET] [EMAIL]"),
+    ):
+        assert pii.redact(text, Sure()) == want
+
+
 def test_segments_equal_recursion():
     """All maximal segments by definition: the best one, then the same on either side of it."""
 

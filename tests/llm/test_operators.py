@@ -125,6 +125,17 @@ def test_jaccard_join_of_uneven_match_numbers(spark, monkeypatch, counts):
     assert got == linked(rows)
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """A class is verified on a text of its own, whichever text of its doc_id is read first."""
+    rows = []
+    for i in range(8):
+        text = [f"d{i}w{k}" for k in range(40)]
+        both = [(i, " ".join(text), "en", "a"), (i, f"d{i} has another text of other words", "en", "a")]
+        rows += [*both[:: 1 if i % 2 else -1], (100 + i, " ".join([*text, "more"]), "en", "a")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_components(docs_of(spark, rows).coalesce(1)).collect()}
+    assert got == {(j, i) for i in range(8) for j in (i, 100 + i)}
+
+
 def test_shingles_ignore_batch_borders():
     import pyarrow as pa
 

@@ -26,15 +26,21 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagewatch.llm.common import Recent, slices, table, texts
+from stagewatch.llm.common import Recent, slices, table, texts, tidy
 from stagewatch.llm.registry import query
 
-#: Of each cache's newer generation; the older one has as many.
-CACHE_ENTRIES = 200_000
+#: Of each cache's newer generation, entries and about so many bytes; the older one has as many.
+CACHE_ENTRIES = 100_000
+CACHE_BYTES = 12 << 20
+#: Longer pieces are encoded each time they occur.
+CACHED_CHARACTERS = 100
+ENTRY_BYTES = 150  # of an entry besides its texts
+NEIGHBOURS = 1 << 18  # pairs remembered
 
 # Fixed values of the vocabulary's splitter: its pattern, for the characters of PLAIN, and names of bytes
 # that have no character of their own.
@@ -74,7 +80,7 @@ class Vocabulary:
         self.mark: str = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.names = {i: t.encode() for t, i in [*self.ids.items(), *self.special.items()]}
         self.splitter = Tokenizer.from_file(path)
         self.merge: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -116,7 +122,7 @@ class Neighbours(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, pair: tuple[int, int]) -> bool:
-        if len(self) > 2_000_000:
+        if len(self) > NEIGHBOURS:
             self.clear()
         found = self[pair] = self.vocabulary.holds(*pair, float("inf"))
         return found
@@ -199,13 +205,13 @@ def _little(ids: list[int]) -> bytes:
 
 
 class TrieEncoder:
-    """Encodes and decodes texts; one per worker."""
+    """Encodes and decodes texts; see ``encoder_of``."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
-        self.pieces = Recent(CACHE_ENTRIES)  # piece: ids as bytes, their names
-        self.words = Recent(CACHE_ENTRIES)
+        self.pieces = Recent(CACHE_ENTRIES, CACHE_BYTES)  # piece: ids and their names, both as bytes
+        self.words = Recent(CACHE_ENTRIES, CACHE_BYTES)
 
     def _words(self, piece: str) -> list:
         """Words of a piece, in the alphabet of bytes, and ids of special tokens."""
@@ -222,30 +228,49 @@ class TrieEncoder:
                 found.extend([w for w, _ in splitter.pre_tokenizer.pre_tokenize_str(normal)])
         return found
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not in the cache yet: the trie holds all of their new words."""
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Encode pieces that are not in the cache yet: the trie holds all of their new words. Returns the long ones."""
         names = self.vocabulary.names
         parts = [self._words(piece) for piece in pieces]
         words = {w for found in parts for w in found if w.__class__ is str}
-        self.words.update(encode_words(self.vocabulary, self.words.missing(words)))
-        known = self.words
+        new = encode_words(self.vocabulary, self.words.missing(words))
+        known = {w: self.words[w] for w in words if w in self.words} | new
+        for w, ids in new.items():
+            if len(w) <= CACHED_CHARACTERS:
+                self.words.keep(w, ids, ENTRY_BYTES + 10 * len(w))
+        long = {}
         for piece, found in zip(pieces, parts, strict=True):
-            own = known[found[0]] if len(found) == 1 and found[0] in known else [i for w in found for i in (known[w] if w.__class__ is str else (w,))]
-            self.pieces[piece] = (_little(own), " ".join([names[i] for i in own]))
+            if len(found) == 1 and found[0].__class__ is str:
+                own = known[found[0]]
+            else:
+                own = [i for w in found for i in (known[w] if w.__class__ is str else (w,))]
+            entry = (_little(own), b" ".join([names[i] for i in own]))
+            if len(piece) <= CACHED_CHARACTERS:
+                self.pieces.keep(piece, entry, ENTRY_BYTES + 2 * len(piece) + len(entry[0]) + len(entry[1]))
+            else:
+                long[piece] = entry
+        return long
 
-    def encode(self, batch: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text the ids as little-endian 32-bit numbers, and the text they decode to."""
+    def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text the ids as little-endian 32-bit numbers, and the text they decode to, in UTF-8."""
         split = [text.split(" ") for text in batch]
-        self._learn(self.pieces.missing(set().union(*split)))
+        long = self._learn(self.pieces.missing(set().union(*split)))
+        known = self.pieces if not long else {**self.pieces, **long}
         out = []
         for pieces in split:
-            found = [self.pieces[x] for x in pieces]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
+            found = [known[x] for x in pieces]
+            out.append((b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """Names of the tokens, one space between."""
-        return " ".join([self.vocabulary.names[i] for i in ids])
+        return b" ".join([self.vocabulary.names[i] for i in ids]).decode()
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> TrieEncoder:
+    """The worker's encoder: built once per process, its caches serve the tasks that follow."""
+    return TrieEncoder(path)
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, keep_text: bool = False) -> DataFrame:
@@ -257,10 +282,10 @@ def bpe_encode(docs: DataFrame, path: str | None = None, keep_text: bool = False
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers as public
 
-        encoder = TrieEncoder(path or public.path("word_bpe_49k.json"))
+        encoder = encoder_of(str(path or public.path("word_bpe_49k.json")))
         for part in slices(batches, "text", 2 << 20):
             found = encoder.encode(texts(part, "text"))
-            decoded = [text.encode() for _, text in found]
+            decoded = [text for _, text in found]
             arrays = [
                 part.column("doc_id"),
                 pa.array([ids for ids, _ in found], pa.binary()),
@@ -269,12 +294,12 @@ def bpe_encode(docs: DataFrame, path: str | None = None, keep_text: bool = False
             ]
             names = ["doc_id", "ids", "n_tokens", "decoded_sha256"]
             if keep_text:
-                arrays.append(pa.array([text for _, text in found], pa.string()))
+                arrays.append(pa.array([text.decode() for text in decoded], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, ids binary, n_tokens long, decoded_sha256 string" + ", decoded string" * keep_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode), schema)
 
 
 @query("op3_trie_bpe")

@@ -7,7 +7,7 @@ them; the bytes between become a gap row (file, start, end, reason), and reading
 
 Files are written by Spark's text writer, whose record separator is WARC's (two CRLF), so the commit
 protocol covers them and any file system Spark knows can hold them. A file gets as many records as make up
-``FILE_BYTES`` on average, as a reading task holds one file at a time.
+``FILE_BYTES`` on average and stay below ``LARGEST_FILE`` at their longest, as a reading task holds one file at a time.
 
 Defined cases: a null payload is empty; payloads below ``REVISIT_BYTES`` never make revisits; rows with
 equal payload and the same largest page_id are all responses; a null page_id is written as such, comes
@@ -16,6 +16,7 @@ back as null and neither makes nor is a revisit; a null url is left out; an empt
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -30,7 +31,7 @@ from stagewatch.llm.registry import query
 FILE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
 HEAD_LENGTH = 600  # a header block and HTTP headers, about
-HEAD_BYTES = 1 << 16  # a header block longer than this is taken for damage
+LARGEST_FILE = 1 << 30  # if all of a file's records were as long as the longest; Spark hands over files below 2 GB
 
 EOL, END = "\r\n", "\r\n\r\n"
 HTTP_HEAD = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{END}"
@@ -58,7 +59,9 @@ def revisits(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, path: str) -> None:
     """One record per row of (page_id, url, html) below ``path``; equal payloads of size become revisits."""
     pages = pages.select("page_id", "url", "html")
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_LENGTH
+    mean, longest = pages.agg(F.avg(size), F.max(size)).first()
+    per_file = 1 if mean is None else max(1, min(int(FILE_BYTES // mean), LARGEST_FILE // longest))
     # Joined by page_id, not by digest: a payload that a third of all pages share stays spread out. Pages are
     # moved only where the revisits are too many to be sent to them.
     rows = pages.join(bounded(stored(revisits(pages), "revisits")), "page_id", "left")
@@ -85,7 +88,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     )
     record = F.concat(F.concat(head, F.lit(END)).cast("binary"), F.col("block"))
     rows.withColumn("block", block).select(record.cast("string").alias("value")).write.options(
-        lineSep=END, maxRecordsPerFile=max(1, int(FILE_BYTES // (mean + HEAD_LENGTH)))
+        lineSep=END, maxRecordsPerFile=per_file
     ).text(path)
 
 
@@ -97,23 +100,31 @@ _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 _CANDIDATE = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
+def _digest_holds(digest: str, block: bytes) -> bool:
+    """A SHA-1 digest, in hex or base32, is the block's; others are not checked."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() == "sha1" and len(value) == 40:
+        return hashlib.sha1(block).hexdigest() == value.lower()
+    if kind.lower() == "sha1" and len(value) == 32:
+        return base64.b32encode(hashlib.sha1(block).digest()).decode() == value.upper()
+    return True
+
+
 def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """End, fields and block of the record at ``at``."""
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
-    if head_end < 0:
-        raise Damaged("header block without end")
+    # Line by line: a header block may be as long as it likes, and one without end stops at the first line that is none.
     fields, k = {}, at + 10
-    while k < head_end + 2:
-        m = _FIELD.match(data, k, head_end + 2)
+    while not data.startswith(b"\r\n", k):
+        m = _FIELD.match(data, k)
         if not m:
-            raise Damaged("malformed header line")
+            raise Damaged("malformed header line" if data.find(b"\r\n", k) >= 0 else "header block without end")
         fields[m[1].decode("ascii").lower()] = m[2].decode("utf-8", "replace")
         k = m.end()
     if not re.fullmatch(r"[0-9]{1,18}", fields.get("content-length", "")):
         raise Damaged("no valid Content-Length")
-    start = head_end + 4
+    start = k + 2
     end = start + int(fields["content-length"])
     if end > len(data):
         raise Damaged("block cut off")
@@ -121,7 +132,7 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
         raise Damaged("no blank lines behind the block")
     block = data[start:end]
     digest = fields.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and len(digest) == 45 and hashlib.sha1(block).hexdigest() != digest[5:].lower():
+    if not _digest_holds(digest, block):
         raise Damaged("block digest differs")
     return end + 4, fields, block
 
@@ -261,7 +272,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    return records(read_warc(spark, path, with_payload=False)).select(
+    scanned = read_warc(spark, path, with_payload=False)
+    # An archive just written has no gaps; if it had, a page would be missing.
+    broken = F.raise_error(F.concat(F.lit("gap in an archive just written: "), F.col("file"), F.lit(", "), F.col("gap"))).cast("boolean")
+    whole = scanned.where(F.when(F.col("gap").isNotNull(), broken).otherwise(F.lit(True)))
+    return whole.select(
         number("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",

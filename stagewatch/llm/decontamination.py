@@ -9,7 +9,8 @@ document is a candidate for an item if it contains one of these minima and has s
 partition; the candidates' containment is then counted exactly on the shingles' words. Nothing is missed.
 
 Words are runs of letters and digits, lower-cased; shingles are five words, or the whole text where it has
-fewer. Documents are scanned with column functions only; a shingle never becomes a shuffled row unless
+fewer; so that an item of one to four words is found inside a longer document, documents also have shingles of
+each such length that occurs among the items. Documents are scanned with column functions only; a shingle never becomes a shuffled row unless
 it equals one of the benchmark's, as long as the benchmark's shingles are at most ``BROADCAST_ROWS``.
 Beyond that they are joined by shuffle.
 
@@ -35,9 +36,12 @@ WITH both_sides AS (
 worded AS (
   SELECT side, id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
   FROM both_sides WHERE text IS NOT NULL),
+lengths AS (SELECT DISTINCT len(ws) AS l FROM worded WHERE side = 'b' AND len(ws) BETWEEN 1 AND 4),
 shingled AS (
   SELECT DISTINCT side, id, array_to_string(ws[i:i+4], ' ') AS s
-  FROM (SELECT side, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM worded WHERE len(ws) > 0)),
+  FROM (SELECT side, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM worded WHERE len(ws) > 0)
+  UNION SELECT side, id, array_to_string(ws[i:i+l-1], ' ')
+  FROM (SELECT side, id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM worded, lengths WHERE side = 'd' AND len(ws) >= l)),
 items AS (SELECT id, count(*) AS n FROM shingled WHERE side = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(i.n) AS n_item
 FROM shingled d JOIN shingled b ON d.side = 'd' AND b.side = 'b' AND d.s = b.s JOIN items i ON i.id = b.id
@@ -45,18 +49,37 @@ GROUP BY ALL HAVING 10 * count(*) >= 8 * any_value(i.n)
 """
 
 
-def shingles(df: DataFrame, key: str) -> DataFrame:
-    """A row for each shingle of each text: ``key``, its words w0..w4 (null beyond a short text's end), n_words."""
+def shingles(df: DataFrame, key: str, short: tuple[int, ...] = ()) -> DataFrame:
+    """A row for each shingle of each text: ``key``, its words w0..w4 (null beyond a short text's end), n_words.
+
+    ``short`` are lengths below ``SHINGLE`` of which each text gives shingles too.
+    """
     split = df.select(
         F.col(key).alias(key),
         F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "").alias("words"),
     ).where(F.size("words") > 0)
-    length = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1))
-    windows = F.arrays_zip(*[F.slice("words", k + 1, length).alias(w) for k, w in enumerate(WORDS)])
-    rows = split.select(key, F.size("words").alias("n_words"), F.explode(windows).alias("s"))
+
+    def windows(of: int) -> Column:
+        """As many windows as ``of`` words fit in the text, one at least; words beyond ``of`` are null."""
+        length = F.greatest(F.size("words") - (of - 1), F.lit(1))
+        none = F.array_repeat(F.lit(None).cast("string"), length)
+        return F.arrays_zip(*[(F.slice("words", k + 1, length) if k < of else none).alias(w) for k, w in enumerate(WORDS)])
+
+    found = windows(SHINGLE)
+    for n in short:
+        none = F.filter(windows(n), lambda s: F.lit(False))
+        found = F.concat(found, F.when(F.size("words") >= n, windows(n)).otherwise(none))
+    rows = split.select(key, F.size("words").alias("n_words"), F.explode(found).alias("s"))
     return rows.select(key, "n_words", *[F.col("s").getField(w).alias(w) for w in WORDS])
 
 
+def short_lengths(bench: DataFrame) -> tuple[int, ...]:
+    """Numbers of words, below ``SHINGLE``, of the items that have so few."""
+    given = sum((F.col(w).isNotNull().cast("int") for w in WORDS), F.lit(0))
+    found = bench.select(given.alias("n")).where(F.col("n") < SHINGLE).distinct().collect()
+    return tuple(sorted(r["n"] for r in found))
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64(*WORDS))
 
@@ -83,15 +106,15 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """(doc_id, item_id, n_shared, n_item) where the document contains ``threshold`` of the item's shingles."""
     bench = stored(item_shingles(items, threshold), "benchmark-shingles")
     minima = bench.where("minimum").select("item_id", "need", "h")
-    texts = docs.select("doc_id", "text")
+    texts, short = docs.select("doc_id", "text"), short_lengths(bench)
 
     # Shingles are at least as many as distinct ones, so the size test loses nothing.
-    found = _hashed(shingles(texts, "doc_id")).join(bounded(minima), "h")
+    found = _hashed(shingles(texts, "doc_id", short)).join(bounded(minima), "h")
     found = found.where((F.col("n_words") - (SHINGLE - 1) >= F.col("need")) | (F.col("n_words") < SHINGLE))
     candidates = stored(found.select("doc_id", "item_id").distinct(), "contained-candidates")
 
     suspects = bounded(candidates.select("doc_id").distinct())
-    exact = _hashed(shingles(texts.join(suspects, "doc_id", "left_semi"), "doc_id"))
+    exact = _hashed(shingles(texts.join(suspects, "doc_id", "left_semi"), "doc_id", short))
     names = [*WORDS, "h"]
     same = bench.select("item_id", "n_item", "need", *[F.col(n).alias(f"b_{n}") for n in names])
     equal = F.col("h") == F.col("b_h")

@@ -1,8 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 A page becomes a tree of elements. Each element has features: its own and its subtree's text and links per tag,
-depth, place and share among its siblings, which group its tag belongs to, and which groups of words its
-class, id and role attributes hold. Boosted trees give each element the log-odds of being main text. They are
+depth, place and share among its siblings, which group its tag belongs to, and how far the words of its
+class, id and role attributes name a part of the frame or content; an element with most of the page's prose isn't named away. Boosted trees give each element the log-odds of being main text. They are
 trained on elements of a bounded sample of pages that page authors have named plainly, by tag or attribute:
 those names make the labels, and the trees carry them over to elements by shape and surroundings. As the pages of one
 site look alike, each is also learnt from in variants: its own sentences stand in sidebars, notices, adverts
@@ -27,7 +27,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ TREES, DEPTH, RATE, SPLITS = 30, 3, 0.3, 32
 # HTML's elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-HIDDEN = RAW | frozenset("head form button select option input svg math canvas object audio video dialog menu datalist fieldset label".split())
+HIDDEN = RAW | frozenset("head form button select option input svg canvas object audio video dialog menu datalist fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -81,7 +82,9 @@ NEGATIVE = frozenset(
 POSITIVE = frozenset("article content post entry story main text body prose".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")  # attributes, quoted values whole
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 #: One attribute whole: its name, then its value quoted or bare.
 _ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -98,6 +101,10 @@ class Node:
     hidden: bool
     own: int = 0  # characters of text directly within
     children: int = 0
+    begin: int = 0  # offsets of its opening markup, of its inside, and of its closing markup
+    inner: int = 0
+    end: int = 0
+    after: int = 0
 
 
 @dataclass(slots=True)
@@ -106,78 +113,125 @@ class Page:
     pieces: list[tuple[int, str | None]]  # text with its node, None where a block begins or ends
 
 
+class Stack:
+    """Open elements, with the depths at which each tag stands open, so that none is looked for in vain."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.open, self.depths = nodes, [0], {}
+
+    def push(self, k: int) -> None:
+        self.depths.setdefault(self.nodes[k].tag, []).append(len(self.open))
+        self.open.append(k)
+
+    def pop(self) -> Node:
+        node = self.nodes[self.open.pop()]
+        self.depths[node.tag].pop()
+        return node
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open element among ``tags``, 0 if none is."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def first_above(self, tags: Iterable[str], border: int) -> int | None:
+        """Depth of the outermost open element among ``tags`` that stands above ``border``."""
+        found = [d[k] for t in tags if (d := self.depths.get(t)) and (k := bisect_right(d, border)) < len(d)]
+        return min(found, default=None)
+
+
+def _markup(source: str, loose: bool) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of each tag from the point that was sent, and of other markup with no tag.
+
+    A tag whose quotes never close would swallow the page: from there on tags end at the first ``>``, quoted or not.
+    """
+    at = source.find("<")
+    while at >= 0:
+        m, sent = _TAG.match(source, at), None
+        if m:
+            end = m.end()
+            if not loose:
+                end = _INSIDE.match(source, end).end()
+                loose = end >= len(source)
+            if loose:
+                end = source.find(">", m.end())
+                if end < 0:
+                    return  # no tag ends any more
+            sent = yield at, end + 1, m[1], m[2].lower(), source[m.end() : end]
+            at = end + 1
+        elif m := _MARK.match(source, at):
+            sent = yield at, m.end(), "", "", ""
+            at = m.end()
+        else:
+            at += 1
+        at = source.find("<", at if sent is None else sent)
+
+
 def parse(source: str) -> Page:
-    """Elements in page order and the text between their borders."""
+    """Elements in page order and the text between their borders; the time it takes grows with the page's length only."""
     nodes = [Node("", -1, 0, 0, "", False)]
     pieces: list[tuple[int, str | None]] = []
-    stack, at = [0], 0
+    stack, at = Stack(nodes), 0
 
     def add(text: str) -> None:
-        node = nodes[stack[-1]]
         if text:
-            node.own += len(text.strip())
-            pieces.append((stack[-1], text))
-
-    def close(to: int) -> None:
-        while len(stack) > to:
-            if nodes[stack.pop()].tag in BLOCKS:
-                pieces.append((stack[-1], None))
-
-    def open_until(tags: set[str] | frozenset[str], border: set[str] | frozenset[str]) -> int | None:
-        """Depth of the outermost open element among ``tags`` above the nearest ``border``."""
-        found = None
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in border:
-                break
-            if tag in tags:
-                found = k
-        return found
-
-    while m := _TOKEN.search(source, at):
-        add(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            nodes[stack.open[-1]].own += len(text.strip())
+            pieces.append((stack.open[-1], text))
+
+    def close(to: int, end: int, after: int) -> None:
+        """Close the elements from a depth on; the outermost one's closing markup is given."""
+        while len(stack.open) > to:
+            node = stack.pop()
+            node.end, node.after = end, (after if len(stack.open) == to else end)
+            if node.tag in BLOCKS:
+                pieces.append((stack.open[-1], None))
+
+    markup, go_on = _markup(source, False), None
+    while True:
+        try:
+            start, end, slash, tag, attributes = markup.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        add(source[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
-                if nodes[stack[k]].tag in ("table", "body") and tag not in ("body", "html"):
-                    break
+        if slash:
+            border = 0 if tag in ("body", "html") else stack.last(("table", "body"))
+            k = stack.last((tag,))
+            if k and k >= border:
+                close(k, start, end)
             if tag == "p" or tag in BLOCKS:
-                pieces.append((stack[-1], None))
+                pieces.append((stack.open[-1], None))
             continue
         if tag in ENDS_P:
-            k = open_until({"p"}, {"table", "button", "object"})
+            k = stack.first_above(("p",), stack.last(("table", "button", "object")))
             if k:
                 # Inline elements opened within end with the paragraph.
-                close(k)
+                close(k, start, start)
         if tag in CLOSES_OWN:
-            k = open_until(*CLOSES_OWN[tag])
+            own, borders = CLOSES_OWN[tag]
+            k = stack.first_above(own, stack.last(borders))
             if k:
-                close(k)
+                close(k, start, start)
         if tag in BLOCKS or tag in ("br", "hr"):
             # A line break is white space inside a block; a block ends where another begins.
-            pieces.append((stack[-1], "\n" if tag == "br" else None))
+            pieces.append((stack.open[-1], "\n" if tag == "br" else None))
         if tag in VOID:
             continue
-        up = nodes[stack[-1]]
+        up = nodes[stack.open[-1]]
         up.children += 1
-        attributes = m[3] or ""
-        node = Node(tag, stack[-1], up.depth + 1, up.children, attributes, tag in HIDDEN or _unseen(attributes))
+        node = Node(tag, stack.open[-1], up.depth + 1, up.children, attributes, tag in HIDDEN or _unseen(attributes), begin=start, inner=end, end=end, after=end)
         nodes.append(node)
         if tag in RAW:  # its text is no markup and not shown
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(source, at)
-            at = end.end()
+            closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)|\Z", re.I).search(source, at)
+            node.end, node.after = closing.span()
+            at = go_on = closing.end()
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in TAG_GROUP:
             continue
-        stack.append(len(nodes) - 1)
+        stack.push(len(nodes) - 1)
     add(source[at:])
-    close(1)
+    close(1, len(source), len(source))
     return Page(nodes, pieces)
 
 
@@ -203,20 +257,31 @@ def _unseen(attributes: str) -> bool:
     return False
 
 
-def _named(node: Node) -> tuple[int, int, int]:
-    """Numbers of negative and positive words in class and id, and whether the role is of a page part."""
-    bad = good = role = 0
+#: Share of a name's words from which it names a part of the frame.
+PLAINLY = 0.5
+
+
+def _named(node: Node) -> tuple[float, float, int]:
+    """How far class and id name a part of the page's frame, and content, and whether the role is of a frame part.
+
+    A name is a class or an id; of its words the share that is in the list counts, of several names the greatest
+    share. A frame is named plainly or not at all: ``comment-list`` names one by half of its words,
+    ``news-about-comments`` none.
+    """
+    bad = good = 0.0
+    role = 0
     if node.attributes:
         for name, value in _attributes(node.attributes):
-            if name not in ("class", "id", "role"):
-                continue
-            words = {w.lower() for w in _WORDS.findall(value)}
             if name == "role":
+                words = {w.lower() for w in _WORDS.findall(value)}
                 role = -1 if words & ROLES_OUT else int("main" in words or "article" in words)
             elif name in ("class", "id"):
-                bad += len(words & NEGATIVE)
-                good += len(words & POSITIVE)
-    return bad, good, role
+                for one in value.split():
+                    words = [w.lower() for w in _WORDS.findall(one)]
+                    if words:
+                        bad = max(bad, sum(w in NEGATIVE for w in words) / len(words))
+                        good = max(good, sum(w in POSITIVE for w in words) / len(words))
+    return (bad if bad >= PLAINLY else 0.0), good, role
 
 
 FEATURES = (
@@ -241,53 +306,57 @@ FEATURES = (
 )
 
 
+#: A part that holds so much of the page's unlinked text isn't named away.
+PROSE_SHARE = 0.5
+
+
 def features(page: Page) -> np.ndarray:
     """A row of ``FEATURES`` for each element, the unnamed root first."""
-    n = len(page.nodes)
-    text, linked, elements, paragraphs = np.zeros(n), np.zeros(n), np.ones(n), np.zeros(n)
-    parent = np.array([x.parent for x in page.nodes])
-    for k, node in enumerate(page.nodes):
-        if not node.hidden:
-            text[k] = node.own
-        linked[k] = text[k] if node.tag == "a" else 0
-        paragraphs[k] = node.tag == "p"
+    nodes = page.nodes
+    n = len(nodes)
+    parent = [x.parent for x in nodes]
+    text = [0 if x.hidden else x.own for x in nodes]
+    linked, elements, paragraphs = [0] * n, [1] * n, [int(x.tag == "p") for x in nodes]
     for k in range(n - 1, 0, -1):  # children stand behind their parents
-        if page.nodes[k].tag == "a":
+        up = parent[k]
+        if nodes[k].tag == "a":
             linked[k] = text[k]
-        text[parent[k]] += text[k]
-        linked[parent[k]] += linked[k]
-        elements[parent[k]] += elements[k]
-        paragraphs[parent[k]] += paragraphs[k]
-    out = np.zeros((n, len(FEATURES)))
-    total = max(1.0, text[0])
-    for k, node in enumerate(page.nodes):
+        text[up] += text[k]
+        linked[up] += linked[k]
+        elements[up] += elements[k]
+        paragraphs[up] += paragraphs[k]
+    total, prose = max(1, text[0]), max(1, text[0] - linked[0])
+    up_bad, up_frame, up_content, up_role, up_good = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n, [0.0] * n
+    own: list[tuple[float, float, int]] = []
+    group = [0] * n
+    for k, node in enumerate(nodes):
         bad, good, role = _named(node)
-        up = out[parent[k]] if k else np.zeros(len(FEATURES))
-        above = page.nodes[parent[k]].tag if k else ""
-        content = max(up[5], float(above in ("article", "main"))) if k else 0.0
-        group = TAG_GROUP.get(node.tag, "other")
-        if node.tag == "header" and content:  # an article's own heading
-            group = "container"
-        out[k, :17] = (
-            bad,
-            good,
-            role,
-            up[3] + up[0] if k else 0,
-            max(up[4], float(above in ("nav", "footer", "aside") or above == "header" and not up[5])) if k else 0,
-            content,
-            (up[6] or up[2]) if k else 0,
-            up[7] + (up[1] > up[0]) if k else 0,
-            node.depth,
-            node.place,
-            page.nodes[parent[k]].children if k else 1,
-            np.log1p(text[k]),
-            text[k] / total,
-            np.log1p(text[k] / elements[k]),
-            linked[k] / max(1.0, text[k]),
-            text[k] / max(1.0, text[parent[k]]) if k else 1,
-            np.log1p(paragraphs[k]),
-        )
-        out[k, 17 + GROUPS.index(group)] = 1
+        if bad and (text[k] - linked[k]) > PROSE_SHARE * prose:
+            bad = 0.0
+        own.append((bad, good, role))
+        kind = TAG_GROUP.get(node.tag, "other")
+        if k:
+            up = parent[k]
+            above = nodes[up].tag
+            up_bad[k] = up_bad[up] + own[up][0]
+            up_frame[k] = max(up_frame[up], float(above in ("nav", "footer", "aside") or above == "header" and not up_content[up]))
+            up_content[k] = max(up_content[up], float(above in ("article", "main")))
+            up_role[k] = up_role[up] or own[up][2]
+            up_good[k] = up_good[up] + (own[up][1] > own[up][0])
+            if node.tag == "header" and up_content[k]:  # an article's own heading
+                kind = "container"
+        group[k] = GROUPS.index(kind)
+    text_, up_ = np.array(text, float), np.array([0, *parent[1:]])
+    children, paragraphs_ = np.array([x.children for x in nodes], float), np.array(paragraphs, float)
+    siblings, of_parent = children[up_], text_ / np.maximum(1.0, text_[up_])
+    siblings[0], of_parent[0] = 1, 1
+    columns = [
+        *np.array(own, float).T, up_bad, up_frame, up_content, up_role, up_good, [x.depth for x in nodes], [x.place for x in nodes], siblings,
+        np.log1p(text_), text_ / total, np.log1p(text_ / np.array(elements)), np.array(linked) / np.maximum(1.0, text_), of_parent, np.log1p(paragraphs_),
+    ]
+    out = np.zeros((n, len(FEATURES)))
+    out[:, : len(columns)] = np.array(columns, float).T
+    out[np.arange(n), len(columns) + np.array(group)] = 1
     return out
 
 
@@ -325,23 +394,51 @@ FRAMES = [
     ("<footer><p>", "</p></footer>"),
 ]
 #: Pages are dealt to this many ways of making variants: all pairings of first frame and content name come up.
-VARIANTS = 1260
-CONTENT_NAMES = [("article", "article"), ("main", "main"), ('div class="post-content"', "div"), ('div id="content"', "div"), ("div", "div"), ('section class="entry"', "section")]
-_SENTENCE = re.compile(r"<p>([^<]{20,400})")
+VARIANTS = 2520
+CONTENT_NAMES = [
+    ("article", "article"), ("main", "main"), ('div class="post-content"', "div"), ('div id="content"', "div"), ("div", "div"), ('section class="entry"', "section"),
+    ('article class="notes-about-the-comments"', "article"), ('div class="text-on-menu-and-search"', "div"),
+]
+#: Names of parts of an article; a word of theirs may be that of a frame.
+PART_NAMES = ["<div>", '<div class="day-of-the-menu">', '<section id="results-of-our-search">', '<div class="part">']
+
+
+def content_of(page: Page) -> int | None:
+    """The element that an author has named as the page's content, with the most text."""
+    text = [0 if x.hidden else x.own for x in page.nodes]
+    for k in range(len(text) - 1, 0, -1):
+        text[page.nodes[k].parent] += text[k]
+    best = None
+    for k, node in enumerate(page.nodes):
+        if k and node.tag not in ("html", "body") and not node.hidden:
+            bad, good, role = _named(node)
+            if (node.tag in ("article", "main") or role > 0 or good > bad) and (best is None or text[k] > text[best]):
+                best = k
+    return best
 
 
 def variants(source: str, number: int) -> list[str]:
-    """The page, and two versions with further parts in and around the article."""
+    """The page, and two versions with further parts in and around its content, which is named in another way."""
+    page = parse(source)
+    found = content_of(page)
+    if found is None:
+        return [source]
+    node = page.nodes[found]
+    sentences = [s for k, t in page.pieces if t and page.nodes[k].tag == "p" for s in [t.strip()[:400]] if len(s) >= 20] or ["Text."]
     out = [source]
-    sentences = _SENTENCE.findall(source) or ["Text."]
     for v in range(2):
         k = 2 * number + v
         opening, closing = CONTENT_NAMES[k % len(CONTENT_NAMES)]
         part = [FRAMES[(k * 5 + j * 7) % len(FRAMES)] for j in range(4)]
         made = [a + sentences[(k + j) % len(sentences)] + b.format(sentences[(k + j + 1) % len(sentences)]) for j, (a, b) in enumerate(part)]
-        page = source.replace("<article>", f"{made[0]}<{opening}>{'' if k % 3 else made[1]}")
-        page = page.replace("</article>", f"{made[2] if k % 2 else ''}</{closing}>{made[3]}")
-        out.append(page)
+        own = PART_NAMES[k % len(PART_NAMES)]
+        inside = source[node.inner : node.end]
+        if k % 5 == 0:  # the content's parts have a wrapper of their own
+            inside = own + inside + ("</section>" if own.startswith("<section") else "</div>")
+        out.append(
+            f"{source[: node.begin]}{made[0]}<{opening}>{'' if k % 3 else made[1]}{inside}"
+            f"{made[2] if k % 2 else ''}</{closing}>{made[3]}{source[node.after :]}"
+        )
     return out
 
 

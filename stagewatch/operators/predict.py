@@ -9,6 +9,7 @@ from stagewatch.functions.ladders import risk_label
 from stagewatch.functions.numbers import fixed_text, half_up
 from stagewatch.functions.times import hours_between, instant, plus_hours
 from stagewatch.operators.sla import active_requests
+from stagewatch.plans.sequence import Sequence, sequence
 
 FEATURES = [
     "elapsed_hours",
@@ -145,18 +146,78 @@ def score_heuristic(features: DataFrame, as_of) -> DataFrame:
     ).drop("_elapsed", "_backlog", "_warned", "_delay", "_score")
 
 
-def training_rows(requests: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
-    """Features of all requests with their outcome: breached, and hours beyond the usual time.
+def _up_to(moments: DataFrame, facts: DataFrame, key: str, amounts: list[str], hot: dict | None = None, **cut) -> DataFrame:
+    """Moments (``key``, ``at``, ``moment``, ...) with the sums of the facts' amounts of their key up to their time.
 
-    The same features as for scoring, at the time of completion or, for open requests, now.
+    Facts and moments are put in one order per key and the amounts run along; a fact at the very time counts. Hot keys
+    are cut into chunks by ``sequence``.
     """
-    at = F.when(F.col("current_stage") == "Completed", F.col("updated_at")).otherwise(instant(as_of))
-    outcome = {
-        "label": F.col("sla_breached").cast("double"),
-        "excess_hours": F.greatest(F.col("elapsed_hours") - F.col("historical_avg_hours"), F.lit(0.0)),
-    }
-    rows = _timed(_measured(requests, requests, alerts), at).withColumns(outcome)
-    return rows.select(F.col("id").alias("request_id"), *FEATURES, *outcome)
+    steps = facts.withColumn("_tie", F.lit("0")).unionByName(
+        moments.withColumn("_tie", F.concat(F.lit("1"), F.col("moment"))), allowMissingColumns=True
+    )
+    want = Sequence(running={f"_{a}": a for a in amounts})
+    run = sequence(steps, key, "at", "_tie", want, hot, **cut).where(F.col("moment").isNotNull())
+    return run.select(*moments.columns, *[F.col(f"_{a}").alias(a) for a in amounts])
+
+
+def features_at(moments: DataFrame, requests: DataFrame, alerts: DataFrame, hot: dict | None = None, **cut) -> DataFrame:
+    """Features of requests as they stood at given moments, unmoved by anything later.
+
+    ``moments(moment, request_id, at, ...)`` are named uniquely by ``moment``. The backlog of a department is a running sum of
+    requests that opened and closed, the usual time one of completed requests and their hours, warnings one of the
+    request's alerts.
+    """
+    known = requests.select(F.col("id").alias("request_id"), "assigned_department", "created_at")
+    rows = moments.join(known, "request_id")
+    closed = requests.where(F.col("current_stage").isin(S.TERMINAL_STAGES))
+    moves = [(requests, "created_at", 1), (closed, "updated_at", -1)]
+    opened, left = (
+        r.where(F.col("assigned_department").isNotNull()).select(
+            F.col("assigned_department").alias("_of"), F.col(at).alias("at"), F.lit(n).cast("bigint").alias("_open")
+        )
+        for r, at, n in moves
+    )
+    # Moments without a department have no backlog; keys of their own spread them.
+    rows = rows.withColumn("_of", F.coalesce("assigned_department", F.concat(F.lit("\0"), "moment")))
+    rows = _up_to(rows, opened.unionByName(left), "_of", ["_open"], hot, **cut)
+    took = F.unix_micros("updated_at") - F.unix_micros("created_at")
+    done = requests.where(F.col("current_stage") == "Completed").select(
+        F.lit("").alias("_all"), F.col("updated_at").alias("at"), F.lit(1).cast("bigint").alias("_done"), took.alias("_took")
+    )
+    rows = _up_to(rows.withColumn("_all", F.lit("")), done, "_all", ["_done", "_took"], hot, **cut)
+    warned = alerts.where(F.col("severity") == "Warning").select("request_id", F.col("created_at").alias("at"), F.lit(1).cast("bigint").alias("_warned"))
+    rows = _up_to(rows, warned, "request_id", ["_warned"], hot, **cut)
+    usual = F.when(F.col("_done") > 0, F.col("_took") / 3.6e9 / F.col("_done"))
+    return _timed(rows, F.col("at")).withColumns(
+        {
+            "historical_avg_hours": F.coalesce(usual, F.lit(S.DEFAULT_HISTORY_HOURS)),
+            "dept_backlog": F.col("_open"),
+            "prior_sla_warnings": F.col("_warned"),
+        }
+    ).drop("_all", "_of", "_open", "_done", "_took", "_warned")
+
+
+def training_rows(requests: DataFrame, alerts: DataFrame, evaluated: DataFrame, as_of, hot: dict | None = None, **cut) -> DataFrame:
+    """What was known when a request entered a stage, and what came of it, of requests completed by ``as_of``.
+
+    ``evaluated`` is ``sla_evaluate`` of all stays. A row's features are those of the moment, ``label`` says whether a breach
+    came after it, and ``excess_hours`` by how much the whole request outlasted what was usual then. Open requests have
+    no outcome yet and give no rows.
+    """
+    ended = requests.where((F.col("current_stage") == "Completed") & (F.col("updated_at") <= instant(as_of)))
+    moments = evaluated.where(F.col("journey_stage").isin(S.ACTIVE_STAGES)).select(
+        F.col("id").alias("moment"), "request_id", "journey_stage", F.col("entered_at").alias("at")
+    )
+    due = F.when(F.col("breached"), plus_hours(F.col("entered_at"), F.col("threshold_hours")))
+    breaches = evaluated.groupBy("request_id").agg(F.max(due).alias("_breach"))
+    total = hours_between(F.col("created_at"), F.col("updated_at"))
+    outcome = ended.select(F.col("id").alias("request_id"), total.alias("_total")).join(breaches, "request_id", "left")
+    rows = features_at(moments.join(ended.select(F.col("id").alias("request_id")), "request_id", "left_semi"), requests, alerts, hot, **cut)
+    return rows.join(outcome, "request_id").select(
+        "request_id", "journey_stage", F.col("at").alias("judged_at"), *FEATURES,
+        F.coalesce(F.col("_breach") > F.col("at"), F.lit(False)).cast("double").alias("label"),
+        F.greatest(F.col("_total") - F.col("historical_avg_hours"), F.lit(0.0)).alias("excess_hours"),
+    )
 
 
 def fit_model(history: DataFrame, rounds: int = 5, depth: int = 3):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stagewatch.functions.ladders import risk_label as label_of
 from stagewatch.functions.numbers import half_up
 from stagewatch.operators import lifecycle, predict
+from stagewatch.operators.sla import sla_evaluate
 from stagewatch.plans.catalog import AS_OF_SQL, fixed, hours, query, r6, rn
 from stagewatch.sources import bulk
 
@@ -59,24 +60,34 @@ def prediction_features(spark, d):
     return _features(spark, d).withColumns({n: half_up(F.col(n), 6) for n in ("elapsed_hours", "historical_avg_hours")})
 
 
-_JUDGED_AT = f"CASE WHEN current_stage = 'Completed' THEN updated_at ELSE {AS_OF_SQL} END"
+_DONE = "SELECT * FROM reqs WHERE current_stage = 'Completed'"
+_RECOUNTED = f"""(SELECT d.request_id, d.journey_stage, d.entered_at AS t, r.created_at, r.updated_at,
+      coalesce((SELECT avg({hours('c.created_at', 'c.updated_at')}) FROM ({_DONE}) c WHERE c.updated_at <= d.entered_at), 72.0e0) AS h,
+      (SELECT count(*) FROM reqs b WHERE b.assigned_department = r.assigned_department AND b.created_at <= d.entered_at
+        AND NOT (b.current_stage IN ('Completed', 'Cancelled') AND b.updated_at <= d.entered_at)) AS backlog,
+      (SELECT count(*) FROM alerts w WHERE w.request_id = d.request_id AND w.severity = 'Warning' AND w.created_at <= d.entered_at) AS warnings,
+      (SELECT count(*) FROM evald e WHERE e.request_id = d.request_id AND e.breached AND e.entered_at + to_hours(CAST(e.threshold_hours AS BIGINT)) > d.entered_at) AS later
+    FROM dwell d JOIN ({_DONE}) r ON r.id = d.request_id WHERE d.journey_stage NOT IN ('Completed', 'Cancelled') AND r.updated_at <= {AS_OF_SQL})"""
 
 
 @query(
     "training_features",
-    f"""SELECT a.id AS request_id, {r6('e')} AS elapsed_hours, {r6('h')} AS historical_avg_hours, CAST(coalesce(b.n, 0) AS BIGINT) AS dept_backlog,
-    CAST(coalesce(w.n, 0) AS BIGINT) AS prior_sla_warnings, CAST(dayofweek(judged_at) AS BIGINT) AS day_of_week, CAST(hour(judged_at) AS BIGINT) AS hour_of_day,
-    CAST(CASE WHEN sla_breached THEN 1 ELSE 0 END AS DOUBLE) AS label, {r6('greatest(e-h, 0e0)')} AS excess_hours
-    FROM (SELECT *, {hours('created_at', 'judged_at')} AS e, (SELECT avg({hours('created_at', 'updated_at')}) FROM reqs WHERE current_stage = 'Completed') AS h
-      FROM (SELECT *, {_JUDGED_AT} AS judged_at FROM reqs)) a
-    LEFT JOIN (SELECT assigned_department AS dep, count(*) AS n FROM ({_ACTIVE}) GROUP BY 1) b ON b.dep = a.assigned_department
-    LEFT JOIN (SELECT request_id, count(*) AS n FROM alerts WHERE severity = 'Warning' GROUP BY 1) w ON w.request_id = a.id""",
+    f"""SELECT request_id, journey_stage, t AS judged_at, {r6(hours('created_at', 't'))} AS elapsed_hours, {r6('h')} AS historical_avg_hours,
+    CAST(backlog AS BIGINT) AS dept_backlog, CAST(warnings AS BIGINT) AS prior_sla_warnings, CAST(dayofweek(t) AS BIGINT) AS day_of_week,
+    CAST(hour(t) AS BIGINT) AS hour_of_day, CASE WHEN later > 0 THEN 1e0 ELSE 0e0 END AS label,
+    {r6(f"greatest({hours('created_at', 'updated_at')}-h, 0e0)")} AS excess_hours FROM {_RECOUNTED}""",
 )
 def training_features(spark, d):
-    rows = predict.training_rows(bulk.requests(spark, d), bulk.alerts(spark, d), bulk.AS_OF)
+    """Features at each stage entry of the completed requests; the oracle recounts them at each moment."""
+    rows = _training(spark, d)
     return rows.withColumns({n: half_up(F.col(n), 6) for n in ("elapsed_hours", "historical_avg_hours", "excess_hours")})
 
 
+def _training(spark, d):
+    evaluated = sla_evaluate(bulk.dwell(spark, d), bulk.rules(spark), keep_terminal=True)
+    return predict.training_rows(bulk.requests(spark, d), bulk.alerts(spark, d), evaluated, bulk.AS_OF)
+
+
 @query(
     "prediction_rows",
     f"""SELECT request_id, {rn('score', 3)} AS risk_score, {_label('score')} AS risk_label, 3 AS n_factors, false AS is_stale,
@@ -203,9 +214,9 @@ def risk_alerts(spark, d):
 
 @query("model_scores")
 def model_scores(spark, d):
-    """Boosted trees fitted on all requests, scoring the active ones."""
+    """Boosted trees fitted on the stage entries of completed requests, scoring the active ones."""
     requests, alerts = bulk.requests(spark, d), bulk.alerts(spark, d)
-    model = predict.fit_model(predict.training_rows(requests, alerts, bulk.AS_OF))
+    model = predict.fit_model(_training(spark, d))
     scored = predict.score(predict.prediction_features(requests, bulk.AS_OF, alerts), bulk.AS_OF, model)
     names = F.array_join(F.transform("contributing_factors", lambda f: f["factor"]), ",")
     return scored.select("request_id", "risk_score", "risk_label", "predicted_delay_hours", "delay_confidence", names.alias("factors"))

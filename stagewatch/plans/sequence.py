@@ -45,11 +45,15 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS, fraction: float
 
 @dataclass
 class Sequence:
-    """Columns to derive: 1-based position, next value and previous value within the key."""
+    """Columns to derive: 1-based position, next and previous value and running sum within the key.
+
+    A running sum takes in the row's own value.
+    """
 
     position: str | None = None
     lead: dict[str, str] = field(default_factory=dict)
     lag: dict[str, str] = field(default_factory=dict)
+    running: dict[str, str] = field(default_factory=dict)
 
 
 def sequence(
@@ -79,6 +83,8 @@ def _with_windows(df: DataFrame, window, want: Sequence) -> DataFrame:
         columns[want.position] = F.row_number().over(window).cast("bigint")
     columns.update({out: F.lead(c).over(window) for out, c in want.lead.items()})
     columns.update({out: F.lag(c).over(window) for out, c in want.lag.items()})
+    so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns.update({out: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for out, c in want.running.items()})
     return df.withColumns(columns)
 
 
@@ -137,15 +143,18 @@ def _chunked(df, key, at, tie, want, hot, rows_per_chunk):
     facts = {"_rows": F.count(F.lit(1))}
     facts.update({f"_head_{c}": F.min_by(F.struct(c), order) for c in set(want.lead.values())})
     facts.update({f"_tail_{c}": F.max_by(F.struct(c), order) for c in set(want.lag.values())})
+    facts.update({f"_sum_{c}": F.coalesce(F.sum(c), F.lit(0)) for c in set(want.running.values())})
     chunks = cut.where("_hot").groupBy(key, "_chunk").agg(*[e.alias(n) for n, e in facts.items()])
     along = Window.partitionBy(key).orderBy("_chunk")
-    before = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("_rows").over(earlier)
     ends = chunks.select(
         key,
         "_chunk",
         F.coalesce(before, F.lit(0)).alias("_before"),
         *[F.lead(f"_head_{c}").over(along).alias(f"_next_{c}") for c in set(want.lead.values())],
         *[F.lag(f"_tail_{c}").over(along).alias(f"_prev_{c}") for c in set(want.lag.values())],
+        *[F.sum(f"_sum_{c}").over(earlier).alias(f"_so_far_{c}") for c in set(want.running.values())],
     )
     window = Window.partitionBy(key, "_chunk").orderBy(at, tie)
     edge = {"_first": F.row_number().over(window) == 1, "_last": F.lead(F.lit(1)).over(window).isNull()}
@@ -159,5 +168,7 @@ def _chunked(df, key, at, tie, want, hot, rows_per_chunk):
         fixed[out] = F.when(F.col("_last"), F.col(f"_next_{c}")[c]).otherwise(F.col(out))
     for out, c in want.lag.items():
         fixed[out] = F.when(F.col("_first"), F.col(f"_prev_{c}")[c]).otherwise(F.col(out))
-    added = [n for n in (want.position, *want.lead, *want.lag) if n]
+    for out, c in want.running.items():
+        fixed[out] = F.col(out) + F.coalesce(f"_so_far_{c}", F.lit(0))
+    added = [n for n in (want.position, *want.lead, *want.lag, *want.running) if n]
     return joined.withColumns(fixed).select(*df.columns, *added)

@@ -95,19 +95,71 @@ def test_model_scores(spark):
     assert len(got[1].contributing_factors) == 5 and got[1].contributing_factors[0].factor == "elapsed_hours"
 
 
+KIND = "id string, current_stage string, assigned_department string, sla_breached boolean, created_at timestamp, updated_at timestamp"
+
+
 def test_fit_and_score_see_the_same_features(spark):
+    """Features at the present moment are those that scoring sees."""
     made = datetime(2024, 1, 30, 4)
-    kind = ("id string, current_stage string, assigned_department string, sla_breached boolean, created_at timestamp, updated_at timestamp")
     rows = [(f"r{i}", "Inquiry", None if i == 3 else "Sales", i == 1, made, made) for i in range(4)]
-    requests = spark.createDataFrame([*rows, ("done", "Completed", "Sales", False, made, datetime(2024, 1, 30, 8))], kind)
-    alerts = spark.createDataFrame([("r0", "Warning"), ("r0", "Critical")], "request_id string, severity string")
+    requests = spark.createDataFrame([*rows, ("done", "Completed", "Sales", False, made, datetime(2024, 1, 30, 8))], KIND)
+    alerts = spark.createDataFrame([("r0", "Warning", made), ("r0", "Critical", made)], "request_id string, severity string, created_at timestamp")
     scored = {r.request_id: r for r in predict.prediction_features(requests, NOW, alerts).collect()}
-    learned = {r.request_id: r for r in predict.training_rows(requests, alerts, NOW).collect()}
-    assert set(learned) == {*scored, "done"}
+    moments = requests.select(F.col("id").alias("moment"), F.col("id").alias("request_id"), F.lit(NOW).cast("timestamp").alias("at"))
+    learned = {r.request_id: r for r in predict.features_at(moments, requests, alerts).collect()}
     for key, row in scored.items():
         assert [row[f] for f in predict.FEATURES] == [learned[key][f] for f in predict.FEATURES]
     assert (scored["r0"].dept_backlog, scored["r3"].dept_backlog, scored["r0"].prior_sla_warnings) == (3, 0, 1)
-    assert (learned["done"].elapsed_hours, learned["done"].hour_of_day, learned["r1"].label) == (4.0, 8, 1.0)
+
+
+def _stays(spark, requests):
+    """Each completed request enters Inquiry, then a breached Quotation after ten hours, then ends."""
+    stays = []
+    for r in requests.where("current_stage = 'Completed'").collect():
+        later = r.created_at + timedelta(hours=10)
+        stays += [(f"{r.id}-1", r.id, "Inquiry", r.created_at, False, 24.0), (f"{r.id}-2", r.id, "Quotation", later, True, 48.0), (f"{r.id}-3", r.id, "Completed", r.updated_at, None, None)]
+    return spark.createDataFrame(stays, "id string, request_id string, journey_stage string, entered_at timestamp, breached boolean, threshold_hours double")
+
+
+def test_training_rows_know_nothing_later(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(f"r{i}", "Completed" if i % 2 else "Inquiry", "Sales", False, start + timedelta(hours=7 * i), start + timedelta(hours=7 * i + 90)) for i in range(10)]
+    requests = spark.createDataFrame(rows, KIND)
+    warned = [("r1", "Warning", start + timedelta(hours=12)), ("r1", "Critical", start), ("r3", "Warning", start + timedelta(hours=40))]
+    shape = "request_id string, severity string, created_at timestamp"
+    stays = _stays(spark, requests)
+
+    def train(requests, warnings):
+        found = predict.training_rows(requests, spark.createDataFrame(warnings, shape), stays, datetime(2024, 2, 1)).collect()
+        return {(r.request_id, r.journey_stage): r for r in found}
+
+    got = train(requests, warned)
+    assert set(got) == {(f"r{i}", s) for i in range(1, 10, 2) for s in ("Inquiry", "Quotation")}
+    for (key, stage), r in got.items():
+        i, t = int(key[1:]), r.judged_at
+        opened = sum(c <= t and not (s == "Completed" and u <= t) for _, s, _, _, c, u in rows)
+        took = [90.0 for _, s, _, _, _, u in rows if s == "Completed" and u <= t]
+        assert (r.dept_backlog, r.historical_avg_hours) == (opened, sum(took) / len(took) if took else 72.0)
+        assert r.prior_sla_warnings == sum(k == key and s == "Warning" and w <= t for k, s, w in warned)
+        assert r.elapsed_hours == (0.0 if stage == "Inquiry" else 10.0) and r.label == 1.0
+        assert r.excess_hours == max(90.0 - r.historical_avg_hours, 0.0) and i % 2
+    # A warning and a request that come later leave the earlier rows as they are.
+    more = train(requests.unionByName(spark.createDataFrame([("new", "Inquiry", "Sales", False, start + timedelta(hours=50), start)], KIND)), [*warned, ("r1", "Warning", start + timedelta(hours=50))])
+    early = {k: v for k, v in got.items() if v.judged_at < start + timedelta(hours=50)}
+    assert early and all(more[k] == v for k, v in early.items())
+    assert predict.training_rows(requests.limit(0), spark.createDataFrame(warned, shape), stays, NOW).count() == 0
+
+
+def test_training_rows_of_hot_departments(spark):
+    """Cut into chunks the running sums are the same."""
+    start = datetime(2024, 1, 1)
+    rows = [(f"r{i}", "Completed" if i % 3 else "Inquiry", "Sales" if i % 4 else None, False, start + timedelta(hours=i % 50), start + timedelta(hours=i % 50 + 30 + i % 7)) for i in range(300)]
+    requests = spark.createDataFrame(rows, KIND)
+    alerts = spark.createDataFrame([(f"r{i}", "Warning", start + timedelta(hours=i % 60)) for i in range(0, 300, 2)], "request_id string, severity string, created_at timestamp")
+    stays = _stays(spark, requests)
+    whole = predict.training_rows(requests, alerts, stays, datetime(2024, 3, 1), hot={})
+    cut = predict.training_rows(requests, alerts, stays, datetime(2024, 3, 1), hot={"Sales": 500, "": 500}, rows_per_chunk=40)
+    assert whole.count() == 400 and whole.exceptAll(cut).count() == cut.exceptAll(whole).count() == 0
 
 
 def test_more_departments_than_are_broadcast(spark, monkeypatch):

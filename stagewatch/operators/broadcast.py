@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stagewatch import schema as S
 from stagewatch.functions.times import instant
+from stagewatch.plans.sequence import Sequence, sequence
 
 
 def create_alerts(candidates: DataFrame, created_at=None) -> DataFrame:
@@ -82,3 +83,60 @@ def replay(payloads: DataFrame, deliveries: DataFrame, clients: DataFrame, as_of
         F.col("last_received_at").isNull() | (F.col("sent_at") > F.col("last_received_at"))
     )
     return missed.join(deliveries, ["connection_id", "source_id"], "left_anti")
+
+
+CURSOR = "connection_id string, delivered_to long"
+GAP = "connection_id string, delivery_no long"
+
+
+def delivery_queue(payloads: DataFrame, clients: DataFrame, hot: dict | None = None, **cut) -> DataFrame:
+    """Every message of every connection in the order it is sent, numbered from 1 without gaps by ``delivery_no``.
+
+    Order is (sent_at, source_id, channel). Connections with very many messages are cut by ``sequence``.
+    """
+    rows = fan_out(payloads, clients).withColumn("_tie", F.concat_ws("|", "source_id", "channel"))
+    return sequence(rows, "connection_id", "sent_at", "_tie", Sequence(position="delivery_no"), hot, **cut).drop("_tie")
+
+
+def advance_cursors(cursors: DataFrame, gaps: DataFrame, delivered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cursors and gaps after further deliveries (connection_id, delivery_no).
+
+    A cursor says up to which number a connection's messages are accounted for, and the gaps which of these did
+    not arrive: everything below the first gap is the delivered prefix. Only the new deliveries and the gaps are read.
+    """
+    got = delivered.select("connection_id", "delivery_no").distinct()
+    reached = got.groupBy("connection_id").agg(F.max("delivery_no").alias("_reached"))
+    both = cursors.join(reached, "connection_id", "full_outer").select(
+        "connection_id", F.coalesce("delivered_to", F.lit(0).cast("bigint")).alias("_before"), F.col("_reached")
+    )
+    after = both.select("connection_id", F.greatest("_before", "_reached").alias("delivered_to"))
+    passed = both.where(F.col("_reached") > F.col("_before")).select(
+        "connection_id", F.explode(F.sequence(F.col("_before") + 1, F.col("_reached"))).alias("delivery_no")
+    )
+    open_ones = gaps.select("connection_id", "delivery_no").unionByName(passed)
+    return after, open_ones.join(got, ["connection_id", "delivery_no"], "left_anti")
+
+
+def delivered_prefix(cursors: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(connection_id, prefix, gaps): up to which number everything arrived, and how many behind it are missing."""
+    first = gaps.groupBy("connection_id").agg(F.min("delivery_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return cursors.join(first, "connection_id", "left").select(
+        "connection_id", F.coalesce(F.col("_first") - 1, F.col("delivered_to")).alias("prefix"), F.coalesce("_n", F.lit(0)).alias("gaps")
+    )
+
+
+def replay_from(queue: DataFrame, cursors: DataFrame, gaps: DataFrame, as_of, ttl_hours: int = S.REPLAY_TTL_HOURS) -> DataFrame:
+    """Messages of the queue that a reconnecting client missed, with their ``delivery_no``, which is the order to send them in.
+
+    What lies behind the cursor, and the gaps before it, within the TTL and after the client's last message. A
+    connection meets one cursor row; no delivery is looked up.
+    """
+    now = instant(as_of)
+    oldest = F.timestamp_micros(F.unix_micros(now) - F.lit(ttl_hours * 3_600_000_000))
+    late = F.col("last_received_at").isNull() | (F.col("sent_at") > F.col("last_received_at"))
+    recent = queue.where((F.col("sent_at") > oldest) & (F.col("sent_at") <= now) & late)
+    placed = recent.join(cursors, "connection_id", "left").withColumn("_behind", F.col("delivery_no") > F.coalesce("delivered_to", F.lit(0)))
+    missed = gaps.select("connection_id", "delivery_no")
+    return placed.where("_behind").unionByName(
+        placed.where(~F.col("_behind")).join(missed, ["connection_id", "delivery_no"], "left_semi").select(*placed.columns)
+    ).drop("_behind", "delivered_to")

@@ -6,96 +6,124 @@ for one alert or patches for one request are folded by aggregates, never gathere
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stagewatch import schema as S
 from stagewatch.functions.numbers import pad_number
-from stagewatch.plans.sequence import Sequence, sequence
+from stagewatch.plans.sequence import Sequence, hot_keys, sequence
 
 
-def _order(prefix: str = "") -> Column:
-    return F.struct(F.col(f"{prefix}at"), F.col(f"{prefix}command_id"))
+def _sent(prefix: str = "") -> Column:
+    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("at", "command_id", "user_id")])
 
 
-def _accepted(alerts: DataFrame, commands: DataFrame) -> DataFrame:
-    """Per alert its state before, and the command that takes effect in each step of the lifecycle.
-
-    A step takes the first command of its kind after the step before it: one join and one grouped
-    minimum per step, all on the alert id, so the rows are exchanged once. No command list is built.
-    """
-    steps = alerts.select(F.col("id").alias("alert_id"), F.col("lifecycle_state").alias("before"))
-    previous = None
-    for action, (needed, _) in S.ALERT_COMMANDS.items():
-        sent = commands.where(F.col("action") == action).select(
-            F.col("alert_id").alias("_alert"), F.struct("at", "command_id", "user_id").alias("_sent")
-        )
-        eligible = F.col("before") == needed
-        if previous is not None:
-            last = F.col(previous)
-            later = F.struct("_sent.at", "_sent.command_id") > F.struct(last["at"], last["command_id"])
-            eligible = eligible | (last.isNotNull() & later)
-        first = F.min(F.when(eligible, F.col("_sent"))).alias(f"_{action}")
-        known = steps.columns
-        steps = steps.join(sent, steps["alert_id"] == F.col("_alert"), "left").groupBy(*known).agg(first)
-        previous = f"_{action}"
-    return steps
+def _later(one: Column, other: Column) -> Column:
+    """One command acts after another: by time, then by id. False where the other is missing."""
+    return other.isNotNull() & (F.struct(one["at"], one["command_id"]) > F.struct(other["at"], other["command_id"]))
 
 
-def apply_transitions(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Alerts after their commands, and the commands that were refused with the reason.
-
-    Commands act in the order (at, command_id). A command is valid only when it leads from the
-    state the alert has at that moment to the next one.
-    """
-    steps = _accepted(alerts, commands)
+def _judged(rows: DataFrame, alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changed alerts and refused commands, of rows that have the alert (``_alert``) or a command (``_command``), the state
+    ``before``, and per step of the lifecycle the command that took effect."""
     ack, res, arc = (F.col(f"_{a}") for a in S.ALERT_COMMANDS)
-    changed = alerts.join(steps.withColumnRenamed("alert_id", "id").drop("before"), "id", "left")
     state = F.when(arc.isNotNull(), "Archived").when(res.isNotNull(), "Resolved").when(ack.isNotNull(), "Acknowledged")
-    changed = changed.withColumns(
-        {
-            "lifecycle_state": F.coalesce(state, "lifecycle_state"),
-            "acknowledged_by": F.coalesce(ack["user_id"], "acknowledged_by"),
-            "acknowledged_at": F.coalesce(ack["at"], "acknowledged_at"),
-            "resolved_by": F.coalesce(res["user_id"], "resolved_by"),
-            "resolved_at": F.coalesce(res["at"], "resolved_at"),
-            "archived_at": F.coalesce(arc["at"], "archived_at"),
-        }
-    ).select(*alerts.columns)
-
-    judged = commands.join(steps, "alert_id", "left")
-
-    def reached(step: Column) -> Column:
-        # A missing step must not compare as a pair of nulls, which sorts below everything.
-        return step.isNotNull() & (_order() > F.struct(step["at"], step["command_id"]))
+    changes = {
+        "lifecycle_state": state, "acknowledged_by": ack["user_id"], "acknowledged_at": ack["at"],
+        "resolved_by": res["user_id"], "resolved_at": res["at"], "archived_at": arc["at"],
+    }
+    old = {c: F.col("_alert")[c] for c in alerts.columns}
+    changed = rows.where(F.col("_alert").isNotNull()).select(
+        *[(F.coalesce(changes[c], v) if c in changes else v).alias(c) for c, v in old.items()]
+    )
 
+    sent = F.col("_sent")
     current = (
-        F.when(reached(arc), "Archived").when(reached(res), "Resolved").when(reached(ack), "Acknowledged")
+        F.when(_later(sent, arc), "Archived").when(_later(sent, res), "Resolved").when(_later(sent, ack), "Acknowledged")
         .otherwise(F.col("before"))
     )
     mine = F.lit(False)
     for step in (ack, res, arc):
-        mine = mine | F.coalesce(step["command_id"] == F.col("command_id"), F.lit(False))
+        mine = mine | F.coalesce(step["command_id"] == sent["command_id"], F.lit(False))
     target, follower = F.lit(None).cast("string"), F.lit("none (terminal)")
     for action, (needed, to) in S.ALERT_COMMANDS.items():
-        target = F.when(F.col("action") == action, F.lit(to)).otherwise(target)
+        target = F.when(F.col("_command.action") == action, F.lit(to)).otherwise(target)
         follower = F.when(F.col("current_state") == needed, F.lit(to)).otherwise(follower)
     refused = F.format_string(
         "Invalid transition: '%s' → '%s'. Allowed next state is '%s'.", F.col("current_state"), F.col("target"), follower
     )
     reason = (
-        F.when(F.col("before").isNull(), F.concat(F.lit("Alert not found: "), F.col("alert_id")))
+        F.when(F.col("before").isNull(), F.concat(F.lit("Alert not found: "), F.col("_command.alert_id")))
         .when(F.col("target").isNull(), F.lit("Action must be acknowledge, resolve, or archive"))
         .otherwise(refused)
     )
     rejects = (
-        judged.where(~mine)
+        rows.where(F.col("_command").isNotNull() & ~mine)
         .withColumns({"current_state": current, "target": target})
         .withColumn("reason", reason)
-        .select(*commands.columns, "current_state", "reason")
+        .select(*[F.col("_command")[c].alias(c) for c in commands.columns], "current_state", "reason")
     )
     return changed, rejects
 
 
+def _rows(alerts: DataFrame, commands: DataFrame) -> DataFrame:
+    """Alerts and commands as rows of one frame, by the alert's id; a command without one has a key of its own."""
+    of_alerts = alerts.select(F.col("id").alias("_key"), F.struct(*alerts.columns).alias("_alert"))
+    key = F.coalesce("alert_id", F.concat(F.lit("\0"), F.col("command_id")))
+    of_commands = commands.select(key.alias("_key"), F.struct(*commands.columns).alias("_command"), _sent().alias("_sent"))
+    return of_alerts.unionByName(of_commands, allowMissingColumns=True)
+
+
+def _by_windows(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of an alert in one task, exchanged once: a step takes the first command of its kind after the step before."""
+    of_alert = Window.partitionBy("_key")
+    rows = _rows(alerts, commands).withColumn("before", F.max("_alert.lifecycle_state").over(of_alert))
+    previous = None
+    for action, (needed, _) in S.ALERT_COMMANDS.items():
+        eligible = F.col("before") == needed
+        if previous is not None:
+            eligible = eligible | _later(F.col("_sent"), F.col(previous))
+        first = F.min(F.when((F.col("_command.action") == action) & eligible, F.col("_sent")))
+        previous = f"_{action}"
+        rows = rows.withColumn(previous, first.over(of_alert))
+    return _judged(rows, alerts, commands)
+
+
+def _by_minima(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For alerts with very many commands: grouped minima, summed up before they are shuffled, meet the rows by broadcast.
+
+    ``alerts`` are those of at most ``sequence.MAX_KEYS`` keys.
+    """
+    steps = alerts.select(F.col("id").alias("_of"), F.col("lifecycle_state").alias("before"))
+    previous = None
+    for action, (needed, _) in S.ALERT_COMMANDS.items():
+        sent = commands.where(F.col("action") == action).select(F.col("alert_id").alias("_of"), _sent().alias("_sent"))
+        eligible = F.col("before") == needed
+        if previous is not None:
+            eligible = eligible | _later(F.col("_sent"), F.col(previous))
+        first = sent.join(F.broadcast(steps), "_of").where(eligible).groupBy("_of").agg(F.min("_sent").alias(f"_{action}"))
+        steps = steps.join(F.broadcast(first), "_of", "left")
+        previous = f"_{action}"
+    rows = _rows(alerts, commands).join(F.broadcast(steps), F.col("_key") == F.col("_of"), "left")
+    return _judged(rows, alerts, commands)
+
+
+def apply_transitions(alerts: DataFrame, commands: DataFrame, hot: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Alerts after their commands, and the commands that were refused with the reason.
+
+    Commands act in the order (at, command_id). A command is valid only when it leads from the
+    state the alert has at that moment to the next one. Alerts and commands are exchanged once; ``hot``, the outcome of
+    ``hot_keys`` on the commands' alerts, names alerts whose commands are too many for one task. It is looked up when not given.
+    """
+    if hot is None:
+        hot = hot_keys(commands, "alert_id")
+    if not hot:
+        return _by_windows(alerts, commands)
+    many, named = F.col("id").isin(list(hot)), F.coalesce(F.col("alert_id").isin(list(hot)), F.lit(False))
+    plain = _by_windows(alerts.where(~many), commands.where(~named))
+    large = _by_minima(alerts.where(many), commands.where(named))
+    return plain[0].unionByName(large[0]), plain[1].unionByName(large[1])
+
+
 STAMPS = {
     "Acknowledged": ("acknowledged_by", "acknowledged_at"),
     "Resolved": ("resolved_by", "resolved_at"),

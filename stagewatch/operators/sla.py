@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stagewatch import schema as S
 from stagewatch.functions.numbers import fixed_text, plain_text
-from stagewatch.functions.times import hours_between, instant
+from stagewatch.functions.times import hours_between, instant, plus_hours
 from stagewatch.plans.sequence import Sequence, sequence
 
 
@@ -141,6 +141,29 @@ def apply_breach(requests: DataFrame, evaluated: DataFrame, at=None) -> DataFram
     ).drop("_hit")
 
 
+def request_states(events: DataFrame, rules: DataFrame, as_of, hot: dict | None = None, **cut) -> DataFrame:
+    """Present state of every request from its events: stage, origin, last change, and whether a stay became a breach.
+
+    ``updated_at`` is the time of the last event, or of the last breach if that came later. Events without a state
+    count for the times only.
+    """
+    evaluated = sla_evaluate(stage_dwell(events, as_of, hot, **cut), rules, keep_terminal=True)
+    due = F.when(F.col("breached"), plus_hours(F.col("entered_at"), F.col("threshold_hours")))
+    order = F.struct("entered_at", "id")
+    stays = evaluated.groupBy("request_id").agg(
+        F.max_by("journey_stage", order).alias("current_stage"), F.max("entered_at").alias("entered_at"),
+        F.min(due).alias("breached_at"), F.max(due).alias("_last_breach"),
+    )
+    times = events.groupBy("request_id").agg(
+        F.min_by("department", F.struct("occurred_at", "id")).alias("assigned_department"),
+        F.min("occurred_at").alias("created_at"), F.max("occurred_at").alias("_last"),
+    )
+    return times.join(stays, "request_id", "left").select(
+        "request_id", "current_stage", "entered_at", "assigned_department", "created_at",
+        F.greatest("_last", "_last_breach").alias("updated_at"), F.col("breached_at").isNotNull().alias("sla_breached"), "breached_at",
+    )
+
+
 def seed_rules(existing: DataFrame) -> DataFrame:
     """Existing rules plus the default rule of every stage that has none."""
     spark = existing.sparkSession
@@ -150,14 +173,20 @@ def seed_rules(existing: DataFrame) -> DataFrame:
     return existing.unionByName(missing, allowMissingColumns=True)
 
 
-def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_rules(rules: DataFrame, changes: DataFrame, at=None) -> DataFrame:
     """Rules after changed thresholds; changes out of range or for stages without rules are ignored.
 
     Of several changes to a stage the latest by ``changed_at`` counts, or the greatest threshold where there is
     no such column or a tie. Both sides are keyed by the stage enumeration. A new threshold counts from the next
-    evaluation.
+    evaluation. ``updated_at`` of a changed rule is its ``changed_at``, or ``at`` where changes carry no time; other rules
+    keep theirs.
     """
     limit = F.col("threshold_hours")
+    if "changed_at" in changes.columns and isinstance(changes.schema["changed_at"].dataType, T.TimestampType):
+        when = F.col("changed_at")
+    else:
+        when = F.lit(None).cast("timestamp") if at is None else instant(at)
+    held = F.col("updated_at") if "updated_at" in rules.columns else F.lit(None).cast("timestamp")
     good = changes.where(F.col("journey_stage").isin(S.ACTIVE_STAGES) & (limit > 0) & (limit <= S.MAX_THRESHOLD_HOURS))
     order = [F.col(c) for c in ("changed_at", "threshold_hours", "description") if c in good.columns]
     latest = F.max(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in good.columns])).alias("last")
@@ -166,12 +195,14 @@ def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
         "journey_stage",
         limit.alias("_new"),
         (F.col("description") if "description" in good.columns else F.lit(None).cast("string")).alias("_text"),
+        when.alias("_when"),
     )
     return rules.join(new, "journey_stage", "full_outer").select(
         "journey_stage",
         F.coalesce(F.col("_new"), F.col("threshold_hours")).cast("decimal(8,2)").alias("threshold_hours"),
         F.coalesce("_text", "description").alias("description"),
         F.col("_new").isNotNull().alias("changed"),
+        F.when(F.col("_new").isNotNull(), F.col("_when")).otherwise(held).alias("updated_at"),
     )
 
 

@@ -368,3 +368,25 @@ def replay_undelivered(spark, d):
     )
     missed = broadcast.replay(_payloads(spark, d), delivered, clients, REPLAY_AT)
     return missed.select("connection_id", "source_id", "channel", "sent_at")
+
+
+@query(
+    "replay_in_order",
+    f"""SELECT connection_id, delivery_no, source_id, channel, sent_at FROM
+    (SELECT connection_id, c_custkey, p.source_id, p.channel, p.sent_at,
+      CAST(row_number() OVER (PARTITION BY connection_id ORDER BY p.sent_at, p.source_id, p.channel) AS BIGINT) AS delivery_no, e.k
+     FROM (SELECT connection_id, c_custkey, 'request:00000000-0000-4000-8000-' || lpad(CAST(c_custkey*100+slot AS VARCHAR), 12, '0') AS channel FROM {_CLIENTS}) s
+     JOIN {_PAYLOADS} p USING (channel) JOIN ev e ON e.id = p.source_id)
+    WHERE sent_at > TIMESTAMP '2024-01-29 12:00:00' AND sent_at <= TIMESTAMP '2024-01-30 12:00:00'
+    AND (c_custkey%2 = 1 OR sent_at > TIMESTAMP '2024-01-30') AND k >= 50""",
+)
+def replay_in_order(spark, d):
+    """Messages of events with ``k`` below 50 had been delivered, in two rounds; the rest in the order of the queue."""
+    queue = broadcast.delivery_queue(_payloads(spark, d), _clients(spark, d, alerts=False))
+    k = bulk.plain_events(spark, d).select(F.col("id").alias("source_id"), "k")
+    numbers = queue.join(k, "source_id").select("connection_id", "delivery_no", "k")
+    cursors, gaps = spark.createDataFrame([], broadcast.CURSOR), spark.createDataFrame([], broadcast.GAP)
+    for got in (numbers.where("k < 50 AND k % 2 = 1"), numbers.where("k < 50 AND k % 2 = 0")):
+        cursors, gaps = broadcast.advance_cursors(cursors, gaps, got)
+    missed = broadcast.replay_from(queue, cursors, gaps, REPLAY_AT)
+    return missed.select("connection_id", "delivery_no", "source_id", "channel", "sent_at")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stagewatch.functions.numbers import half_up
 from stagewatch.functions.times import plus_hours
 from stagewatch.operators import lifecycle, sla, timeline
+from stagewatch.operators.broadcast import create_alerts
 from stagewatch.plans.catalog import AS_OF_SQL, query, r6, rn
 from stagewatch.sources import bulk
 
@@ -166,22 +167,63 @@ def breach_flags(spark, d):
 @query(
     "sla_rule_upsert",
     f"""SELECT coalesce(r.journey_stage, c.journey_stage) AS journey_stage, coalesce(c.t, r.threshold_hours) AS threshold_hours,
-    c.t IS NOT NULL AS changed FROM rules r FULL JOIN
-    (SELECT journey_stage, {rn('avg(elapsed_hours)', 2)} + CASE WHEN journey_stage = 'Delivery' THEN 1 ELSE 0 END AS t FROM dwell
+    c.t IS NOT NULL AS changed, c.at AS updated_at FROM rules r FULL JOIN
+    (SELECT journey_stage, {rn('avg(elapsed_hours)', 2)} + CASE WHEN journey_stage = 'Delivery' THEN 1 ELSE 0 END AS t,
+      max(occurred_at) + to_minutes(CASE WHEN journey_stage = 'Delivery' THEN 1 ELSE 0 END) AS at FROM dwell
       WHERE NOT is_open AND journey_stage NOT IN ('Inquiry', 'Completed', 'Cancelled') GROUP BY 1) c
     ON c.journey_stage = r.journey_stage""",
 )
 def sla_rule_upsert(spark, d):
     """New thresholds from the measured mean dwell; the one for Inquiry is out of range, Delivery's is changed twice."""
     measured = bulk.dwell(spark, d).where(~F.col("is_open")).groupBy("journey_stage").agg(
-        r(F.avg("elapsed_hours"), 2).alias("threshold_hours")
+        r(F.avg("elapsed_hours"), 2).alias("threshold_hours"), F.max("occurred_at").alias("changed_at")
     )
     changes = measured.withColumn(
         "threshold_hours", F.when(F.col("journey_stage") == "Inquiry", F.lit(9000.0)).otherwise(F.col("threshold_hours"))
     )
-    changes = changes.withColumn("changed_at", F.lit(1))
-    again = changes.where("journey_stage = 'Delivery'").select("journey_stage", F.col("threshold_hours") + 1, F.lit(2))
-    return sla.upsert_rules(bulk.rules(spark), changes.union(again)).select("journey_stage", "threshold_hours", "changed")
+    again = changes.where("journey_stage = 'Delivery'").select(
+        "journey_stage", (F.col("threshold_hours") + 1).alias("threshold_hours"), F.timestamp_micros(F.unix_micros("changed_at") + 60_000_000).alias("changed_at")
+    )
+    return sla.upsert_rules(bulk.rules(spark), changes.unionByName(again)).select("journey_stage", "threshold_hours", "changed", "updated_at")
+
+
+@query(
+    "rule_seed",
+    """SELECT journey_stage, coalesce(h.x, r.threshold_hours) AS threshold_hours, CASE WHEN h.x IS NULL THEN r.description END AS description
+    FROM rules r FULL JOIN (SELECT journey_stage, CAST(least(count(*), 9999) AS DOUBLE) AS x FROM dwell
+      WHERE department = 'Sales' AND journey_stage IN ('Inquiry', 'Dispatch', 'Completed') GROUP BY 1) h USING (journey_stage)""",
+)
+def rule_seed(spark, d):
+    """Rules set from the traffic of three stages; the others get their defaults."""
+    busy = bulk.dwell(spark, d).where((F.col("department") == "Sales") & F.col("journey_stage").isin("Inquiry", "Dispatch", "Completed"))
+    held = busy.groupBy("journey_stage").agg(F.least(F.count(F.lit(1)), F.lit(9999)).cast("decimal(8,2)").alias("threshold_hours"))
+    return sla.seed_rules(held.withColumn("description", F.lit(None).cast("string"))).select("journey_stage", "threshold_hours", "description")
+
+
+@query(
+    "request_states",
+    f"""SELECT id AS request_id, current_stage, last_at AS entered_at, assigned_department, created_at, greatest(last_at, last_breach) AS updated_at,
+    breached_at IS NOT NULL AS sla_breached, breached_at FROM reqs JOIN
+    (SELECT o.request_id, max(o.occurred_at) AS last_at, min(e.due) AS breached_at, max(e.due) AS last_breach FROM ops o LEFT JOIN
+      (SELECT id, entered_at + to_hours(CAST(threshold_hours AS BIGINT)) AS due FROM evald WHERE breached) e ON e.id = o.id GROUP BY 1) s ON s.request_id = reqs.id""",
+)
+def request_states(spark, d):
+    return sla.request_states(bulk.ops_events(spark, d), bulk.rules(spark), bulk.AS_OF, bulk.hot_requests(spark, d))
+
+
+@query(
+    "alert_rows",
+    """SELECT id, request_id, alert_type, severity, 'Created' AS lifecycle_state, message, created_at,
+    false AS acknowledged, false AS archived FROM alerts""",
+)
+def alert_rows(spark, d):
+    """Candidates as the alert sink stores them, whatever became of the alerts later."""
+    kept = ("id", "request_id", "alert_type", "severity", "message", "metadata", "created_at")
+    rows = create_alerts(bulk.alerts(spark, d).select(*kept))
+    return rows.select(
+        "id", "request_id", "alert_type", "severity", "lifecycle_state", "message", "created_at",
+        F.col("acknowledged_at").isNotNull().alias("acknowledged"), F.col("archived_at").isNotNull().alias("archived"),
+    )
 
 
 @query(
@@ -269,7 +311,7 @@ def bottlenecks_measured(spark, d):
 
 
 def _commands(spark, d):
-    """Commands on every alert, some repeated, out of turn or unknown, by the alert's ``k``."""
+    """Commands on every alert, some repeated, out of turn or unknown, by the alert's ``k``: six at most, so none is hot."""
     plan = [
         ("a", "acknowledge", 5.0, F.col("k") % 3 != 0), ("b", "resolve", 6.0, F.col("k") % 2 == 0),
         ("c", "archive", 7.0, F.lit(True)), ("d", "acknowledge", 4.5, F.col("k") % 5 == 0),
@@ -307,7 +349,7 @@ def _commands(spark, d):
       CAST(f.bad AS BIGINT) AS rejected FROM folded""",
 )
 def alert_transitions(spark, d):
-    after, rejects = lifecycle.apply_transitions(bulk.alerts(spark, d), _commands(spark, d))
+    after, rejects = lifecycle.apply_transitions(bulk.alerts(spark, d), _commands(spark, d), hot={})
     refused = rejects.groupBy(F.col("alert_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     return after.join(refused, "id", "left").select(
         "id", "lifecycle_state", "acknowledged_at", "resolved_at", "archived_at", F.coalesce("_n", F.lit(0)).alias("rejected")
@@ -331,7 +373,7 @@ def alert_transitions(spark, d):
       || '''. Allowed next state is ''' || CASE cur WHEN 'Created' THEN 'Acknowledged' WHEN 'Acknowledged' THEN 'Resolved' WHEN 'Resolved' THEN 'Archived' ELSE 'none (terminal)' END || '''.' END AS reason FROM s4""",
 )
 def alert_rejects(spark, d):
-    _, rejects = lifecycle.apply_transitions(bulk.alerts(spark, d), _commands(spark, d))
+    _, rejects = lifecycle.apply_transitions(bulk.alerts(spark, d), _commands(spark, d), hot={})
     return rejects.select("command_id", "current_state", "reason")
 
 

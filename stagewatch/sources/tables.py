@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stagewatch import schema as S
@@ -44,44 +45,49 @@ def read_raw_events_kafka(spark: SparkSession, servers: str, topic: str) -> Data
     )
 
 
-PARTITIONS = [
-    T.StructField("received_date", T.DateType()),
-    T.StructField("stream", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
-]
+PARTITIONS = {
+    "received_date": T.DateType(),
+    "bucket": T.IntegerType(),
+    "words": T.LongType(),
+    "stream": T.StringType(),
+    "batch_id": T.LongType(),
+}
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, stream: str, by: str | None = None) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int | None, stream: str | None, by: str | None = None) -> None:
     """Write one micro-batch as its own partition: a replayed batch replaces itself.
 
     Batch ids count from 0 per checkpoint, so a stream with a new checkpoint needs a new name.
-    ``by`` adds a leading partition column for readers that prune on it.
+    ``by`` adds a leading partition column for readers that prune on it. Without ``stream`` the rows name
+    their streams and batches themselves.
     """
+    if stream is not None:
+        df = df.withColumns({"stream": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
     (
-        df.withColumns({"stream": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*([by] if by else []), "stream", "batch_id")
         .parquet(path)
     )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-
-
-def read_batches(spark: SparkSession, kind: T.StructType, path: str, where: Column | None = None) -> DataFrame:
-    """Rows written by ``write_batch``; ``where`` may test the partition columns.
+def read_batches(spark: SparkSession, kind: T.StructType, path: str, where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows written by ``write_batch``; ``where`` may test the partition columns, ``keep`` returns some of them.
 
-    These are declared, as a table to which only empty batches were written has no partitions yet.
+    These are declared, as a table to which only empty batches were written has no partitions yet. A table that
+    was never written is empty.
     """
-    if not exists(spark, path):
-        return spark.createDataFrame([], kind)
-    df = spark.read.schema(T.StructType([*kind.fields, *PARTITIONS])).parquet(path)
+    partitions = [T.StructField(name, t) for name, t in PARTITIONS.items() if name not in kind.names]
+    try:
+        df = spark.read.schema(T.StructType([*kind.fields, *partitions])).parquet(path)
+        df.columns  # noqa: B018 a missing path shows when the plan is resolved
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], T.StructType([*kind.fields, *partitions]))
     if where is not None:
         df = df.where(where)
-    return df.select(*kind.names)
+    return df.select(*kind.names, *keep)
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:

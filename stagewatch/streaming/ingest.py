@@ -9,92 +9,21 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
-from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stagewatch import schema as S
 from stagewatch.operators import broadcast, ingest, sla, timeline
-from stagewatch.operators.lifecycle import apply_log
-from stagewatch.sources.tables import read_batches, write_batch
+from stagewatch.sources.tables import read_batches
+from stagewatch.streaming.store import Store, first_day, repeated_ids
 
-MAX_BROADCAST_BYTES = 64 << 20  # of a batch's ids, which meet the store
-ID_OVERHEAD = 40  # bytes of a broadcast row besides its id
 ATTEMPTS = 3
 PAUSE_SECONDS = 0.2  # before a failed step is tried again, doubled each time
 _log = logging.getLogger(__name__)
-LOG = T.StructType(
-    [T.StructField("id", T.StringType()), T.StructField("state", T.StringType()),
-     T.StructField("by", T.StringType()), T.StructField("at", T.TimestampType())]
-)
 
 Step = Callable[[DataFrame, int], None]
 
 
-@dataclass(frozen=True)
-class Store:
-    """Folders of one store on shared storage, and the name of the stream that writes them."""
-
-    root: str
-    stream: str = "main"
-
-    def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    def write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        write_batch(df, self.path(name), batch_id, self.stream)
-
-    def write_events(self, events: DataFrame, batch_id: int) -> None:
-        """Events lie by day of arrival, so that recent ones are found without reading the rest."""
-        dated = events.withColumn("received_date", F.to_date("received_at"))
-        write_batch(dated, self.path("events"), batch_id, self.stream, by="received_date")
-
-    def _mine(self, batch_id: int) -> Column:
-        return (F.col("stream") == self.stream) & (F.col("batch_id") == batch_id)
-
-    def before(self, spark: SparkSession, name: str, batch_id: int, since: date | None = None) -> DataFrame:
-        """A table as it was without the given batch; events optionally from a day of arrival on."""
-        where = ~self._mine(batch_id)
-        if since is not None:
-            where = where & (F.col("received_date") >= F.lit(since))
-        return read_batches(spark, S.TABLES[name], self.path(name), where)
-
-    def alerts_before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """All alerts without those of the given batch, in their present state by the log of commands."""
-        return apply_log(self.before(spark, "alerts", batch_id), read_batches(spark, LOG, self.path("alert_log")))
-
-    def of_batch(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
-        return read_batches(spark, S.TABLES[name], self.path(name), self._mine(batch_id))
-
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return read_batches(spark, S.TABLES[name], self.path(name))
-
-
-def first_day(batch: DataFrame, within_days: int | None) -> date | None:
-    """Day from which stored events matter to a batch, or None for all of them."""
-    if within_days is None:
-        return None
-    first = batch.agg(F.to_date(F.min("received_at"))).first()[0]
-    return first - timedelta(days=within_days) if first else None
-
-
-def batch_ids(ids: DataFrame) -> DataFrame:
-    """The distinct ids of a cached batch, broadcast while their bytes are at most MAX_BROADCAST_BYTES."""
-    ids = ids.select("id").distinct()
-    size = ids.agg(F.sum(F.octet_length("id") + ID_OVERHEAD)).first()[0] or 0
-    return F.broadcast(ids) if size <= MAX_BROADCAST_BYTES else ids
-
-
-def known_ids(judged: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored ids that occur in the batch.
-
-    Where the batch is small the store is only scanned for its id column and not shuffled. A larger batch
-    joins by shuffle.
-    """
-    return stored.select("id").join(batch_ids(judged), "id", "left_semi")
-
-
 def fan_out(batch: DataFrame, batch_id: int, steps: dict[str, Step], attempts: int = ATTEMPTS) -> list[str]:
     """Run every step on the batch; a failing one is retried, then recorded, and the rest go on."""
     failed = []
@@ -119,6 +48,7 @@ def default_steps(spark: SparkSession, store: Store, rules: DataFrame, within_da
     columns of the store, or of its last ``within_days`` days. For short triggers on a large store
     leave the step out and run ``sla_monitor_stream``, which keeps that event in its state.
     """
+    store = store.of("ingest")
 
     def timeline_step(batch: DataFrame, batch_id: int) -> None:
         entries = batch.select("request_id", F.col("id").alias("event_id"), F.col("received_at").alias("appended_at"))
@@ -138,12 +68,12 @@ def default_steps(spark: SparkSession, store: Store, rules: DataFrame, within_da
         as_of = batch.agg(F.max("received_at")).first()[0]
         dwell = sla.stage_dwell(latest.unionByName(moves), F.lit(as_of).cast("timestamp"))
         found = sla.sla_alert_candidates(sla.sla_evaluate(dwell, rules))
-        return sla.dedup_alerts(found, store.alerts_before(spark, batch_id)).withColumn(
+        return sla.dedup_alerts(found, store.alerts_before(spark, batch_id, batch)).withColumn(
             "created_at", F.lit(as_of).cast("timestamp")
         )
 
     def sla_step(batch: DataFrame, batch_id: int) -> None:
-        store.write(broadcast.create_alerts(candidates(batch, batch_id)), "alerts", batch_id)
+        store.write_alerts(broadcast.create_alerts(candidates(batch, batch_id)), batch_id)
 
     def alert_step(batch: DataFrame, batch_id: int) -> None:
         none = spark.createDataFrame([], S.TABLES["events"])
@@ -171,14 +101,14 @@ def ingest_batch(
 ) -> None:
     """Process one micro-batch: judge, settle against the store, write, run the steps.
 
-    Duplicates are recognized for all time, at the cost of scanning the id column of the store; a
+    Duplicates are recognized for all time, by the files of the id index that the batch can hit; a
     source that repeats events only within some days can say so by ``within_days``.
     """
-    spark = raw.sparkSession
+    spark, store = raw.sparkSession, store.of("ingest")
     judged = ingest.judge(raw, configs, default_missing_ts).persist()
     try:
-        stored = store.before(spark, "events", batch_id, first_day(judged, within_days))
-        outcome = ingest.settle(judged, known_ids(judged, stored)).persist()
+        known = repeated_ids(spark, store, judged, batch_id, first_day(judged, within_days))
+        outcome = ingest.settle(judged, known).persist()
         try:
             rejected = outcome.where(F.col("status") != "accepted").select(
                 "delivery_id", "raw", "id", "status", "http_code", "reasons", "received_at"
@@ -205,6 +135,8 @@ def start_ingest(
     continuous: str | None = None, default_missing_ts=None, within_days: int | None = None,
 ):
     """Start ingestion of a raw stream; one pass over what is there, or every ``continuous`` interval."""
+    store = store.of("ingest")
+    store.claim(raw.sparkSession, checkpoint)
     writer = raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, batch_id: ingest_batch(batch, batch_id, configs, store, steps, default_missing_ts, within_days)
     )
@@ -249,7 +181,7 @@ REPORT = T.StructType(
 
 def with_marks(spark: SparkSession, store: Store, configs: DataFrame, before: int | None = None) -> DataFrame:
     """The settings with the marks that the reports of the store have reached, or had before a batch."""
-    where = None if before is None else ~store._mine(before)
+    where = None if before is None else ~store.mine(before)
     reports = read_batches(spark, REPORT, store.path("sync_reports"), where)
     marks = reports.groupBy("source_system").agg(F.max("last_synced_at").alias("_mark"))
     joined = configs.join(F.broadcast(marks.where(F.col("source_system").isin(S.SOURCES))), "source_system", "left")
@@ -262,6 +194,8 @@ def start_sync(source: DataFrame, configs: DataFrame, store: Store, checkpoint:
     The checkpoint remembers the files taken, so events that arrive late are taken too; events that are stored
     already count as success, invalid ones go to ``sync_quarantine``. Marks advance on storage: see ``with_marks``.
     """
+    store = store.of("sync")
+    store.claim(source.sparkSession, checkpoint)
 
     def pull(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -269,7 +203,7 @@ def start_sync(source: DataFrame, configs: DataFrame, store: Store, checkpoint:
         try:
             checked = ingest.validate_events(batch)
             valid = checked.where(F.size("errors") == 0).drop("errors")
-            known = known_ids(valid, store.before(spark, "events", batch_id))
+            known = repeated_ids(spark, store, valid, batch_id)
             marked = with_marks(spark, store, configs, before=batch_id)
             fresh, report = ingest.incremental_sync(valid, marked, known, by_mark=False)
             store.write(checked.where(F.size("errors") > 0), "sync_quarantine", batch_id)

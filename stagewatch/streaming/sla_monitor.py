@@ -11,14 +11,15 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stagewatch import schema as S
 from stagewatch.functions.times import hours_between
 from stagewatch.operators.broadcast import broadcast_payloads, create_alerts
 from stagewatch.operators.sla import dedup_alerts, sla_alert_candidates
-from stagewatch.streaming.ingest import Store
+from stagewatch.sources.tables import read_batches
+from stagewatch.streaming.store import Store
 
 RUN = "request_id string, start_at timestamp, end_at timestamp, event_id string, journey_stage string"
 ALERT = (
@@ -26,9 +27,11 @@ ALERT = (
     "entered_at timestamp, due_at timestamp, threshold_hours double"
 )
 HOUR = 3_600_000_000
+_TEXTS = ("id", "request_id", "alert_type", "severity", "lifecycle_state", "message", "metadata", "journey_stage")
+CANDIDATE = T.StructType([*[T.StructField(c, T.StringType()) for c in _TEXTS], T.StructField("created_at", T.TimestampType())])
 
 
-def _micros(times: pd.Series) -> pd.Series:
+def micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
@@ -37,7 +40,7 @@ def reduce_runs(pdf: pd.DataFrame, limits: dict[str, float]) -> pd.DataFrame:
     pdf = pdf[pdf["new_state"].notna()].sort_values(["request_id", "occurred_at", "id"], kind="stable")
     if pdf.empty:
         return pd.DataFrame(columns=["request_id", "start_at", "end_at", "event_id", "journey_stage"])
-    at = _micros(pdf["occurred_at"])
+    at = micros(pdf["occurred_at"])
     same = pdf["request_id"].eq(pdf["request_id"].shift())
     joins = same & (at.diff() < _shortest(limits))
     run = (~joins).cumsum()
@@ -104,17 +107,22 @@ def watch(runs: list[list], emitted: set, watermark: int, limits: dict[str, floa
     return alerts, keep, min(due, default=None)
 
 
+def rule_limits(rules: DataFrame) -> dict[str, float]:
+    """Thresholds by stage, in hours; a stage has one rule."""
+    known = rules.where(F.col("journey_stage").isin(S.ACTIVE_STAGES)).groupBy("journey_stage")
+    rows = known.agg(F.count(F.lit(1)).alias("n"), F.max("threshold_hours").alias("threshold_hours")).collect()
+    if twice := sorted(r["journey_stage"] for r in rows if r["n"] > 1):
+        raise ValueError(f"rules given twice: {twice}")
+    return {r["journey_stage"]: float(r["threshold_hours"]) for r in rows}
+
+
 def sla_monitor_stream(events: DataFrame, rules: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Alerts of a stream of canonical events, each severity once per entry into a stage.
 
     Events may come in any order within ``lateness``. ``rules`` has one row per stage; its thresholds
     travel with the tasks. ``dedup_alerts`` leaves out those of which an open copy is stored.
     """
-    known = rules.where(F.col("journey_stage").isin(S.ACTIVE_STAGES)).groupBy("journey_stage")
-    rows = known.agg(F.count(F.lit(1)).alias("n"), F.max("threshold_hours").alias("threshold_hours")).collect()
-    if twice := sorted(r["journey_stage"] for r in rows if r["n"] > 1):
-        raise ValueError(f"rules given twice: {twice}")
-    limits = {r["journey_stage"]: float(r["threshold_hours"]) for r in rows}
+    limits = rule_limits(rules)
 
     def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,7 +134,7 @@ def sla_monitor_stream(events: DataFrame, rules: DataFrame, lateness: str = "1 h
         for pdf in frames:
             runs += [
                 [int(s), int(e), i, g]
-                for s, e, i, g in zip(_micros(pdf["start_at"]), _micros(pdf["end_at"]), pdf["event_id"], pdf["journey_stage"])
+                for s, e, i, g in zip(micros(pdf["start_at"]), micros(pdf["end_at"]), pdf["event_id"], pdf["journey_stage"])
             ]
         emitted = {tuple(e) for e in held["emitted"]}
         watermark = state.getCurrentWatermarkMs()
@@ -169,12 +177,16 @@ def alert_candidates(fired: DataFrame) -> DataFrame:
 
 def start_sla_monitor(events: DataFrame, rules: DataFrame, store: Store, checkpoint: str, lateness: str = "1 hour"):
     """Write the alerts of an event stream, and their messages, unless an open copy is stored."""
+    store = store.of("monitor")
+    store.claim(events.sparkSession, checkpoint)
 
     def raise_alerts(fired: DataFrame, batch_id: int) -> None:
         spark = fired.sparkSession
-        new = dedup_alerts(alert_candidates(fired), store.alerts_before(spark, batch_id))
-        store.write(create_alerts(new), "alerts", batch_id)
-        # Read back, as the stateful frame of a micro-batch must be computed only once.
+        # The stateful frame of a micro-batch must be computed only once.
+        store.write(alert_candidates(fired), "fired_alerts", batch_id)
+        found = read_batches(spark, CANDIDATE, store.path("fired_alerts"), store.mine(batch_id))
+        new = dedup_alerts(found, store.alerts_before(spark, batch_id, found))
+        store.write_alerts(create_alerts(new), batch_id)
         none = spark.createDataFrame([], S.TABLES["events"])
         payloads = broadcast_payloads(store.of_batch(spark, "alerts", batch_id), none)
         store.write(payloads, "alert_messages", batch_id)

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagewatch.llm.common import slices, table, texts
+from stagewatch.llm.common import give_back, slices, table, texts
 from stagewatch.llm.registry import query
 
 # Kinds in order, patterns of the base kinds, word lists of the labelers.
@@ -307,8 +307,10 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, personal data in ``text`` replaced; n_chars follows the text where the column exists."""
 
     @F.pandas_udf("string")
-    def clean(column: pd.Series) -> pd.Series:
-        return column.map(lambda text: redact(text, model))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield column.map(lambda text: redact(text, model))
+        give_back()
 
     out = docs.withColumn("text", clean("text"))
     if "n_chars" in docs.columns:

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagewatch.llm.common import Recent, slices, stored, table, texts
+from stagewatch.llm.common import Recent, give_back, slices, stored, table, texts
 from stagewatch.llm.registry import query
 
 TRAIN_ROWS = 40_000
@@ -287,6 +287,8 @@ def acceptable(docs: DataFrame, labels: DataFrame, mark: float = 0.5) -> DataFra
                 batch = [x or "" for x in column.iloc[part : part + 100]]
                 values.extend(_probability(scorer.model, evidence(scorer.passages(s))) for s in scorer.scores(batch))
             yield pd.Series(values, dtype="float64")
+        del scorer
+        give_back()
 
     return docs.where(scored(F.col("text")) < mark).select(*docs.columns)
 

@@ -110,7 +110,7 @@ def linked(rows):
     return {i: min(sets[find(s)]) for s, ids in sets.items() for i in ids}
 
 
-@pytest.mark.parametrize("counts", [None, 40])
+@pytest.mark.parametrize("counts", [None, 40, 1 << 20])
 def test_jaccard_join_of_uneven_match_numbers(spark, monkeypatch, counts):
     """A set that asks for more matches than its partner: appended and truncated copies, sketch cells full, many copies of one side."""
     rng = random.Random(11)
@@ -121,9 +121,12 @@ def test_jaccard_join_of_uneven_match_numbers(spark, monkeypatch, counts):
         texts += [words, words + added if n % 4 else words[: len(words) - len(added)]]
     if counts:  # what the pairs share is frequent
         real = jaccard_join.frequencies
-        monkeypatch.setattr(jaccard_join, "frequencies", lambda docs: np.where(real(docs) > 1, counts, 1).astype(np.uint16))
+        monkeypatch.setattr(jaccard_join, "frequencies", lambda signed: np.where(real(signed) > 1, counts, 1).astype(np.uint32))
     else:
         texts += [texts[40]] * 1000 + [texts[81]] * 1000
+    if counts != 40:  # several parts, several packs a task; shingles counted so often are taken for frequent
+        monkeypatch.setattr(jaccard_join, "PART_BYTES", 4000)
+        monkeypatch.setattr(jaccard_join, "PACKED_BYTES", 5000)
     rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs_of(spark, rows)).collect()}
     assert got == linked(rows)

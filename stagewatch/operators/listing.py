@@ -175,6 +175,58 @@ def search_requests(requests: DataFrame, text: str) -> DataFrame:
     )
 
 
+def page_after(df: DataFrame, size: int = DEFAULT_PAGE, last: tuple | None = None, at: str = "occurred_at", newest_first: bool = True) -> DataFrame:
+    """The page behind the row ``last`` = (time, id) of the one before; the first page without it.
+
+    Nothing is counted and nothing skipped over: the filter on the time reaches the scan, and the page is the head of
+    what is left. The order is by time and then by id, so pages put end to end are the listing; rows without a time
+    are the oldest.
+    """
+    if last is not None:
+        when, behind = last[0], F.col("id") > F.lit(last[1])
+        if when is None:
+            rest = F.col(at).isNull() & behind
+            df = df.where(rest if newest_first else rest | F.col(at).isNotNull())
+        else:
+            moment = instant(when)
+            beyond = (F.col(at) < moment) if newest_first else (F.col(at) > moment)
+            rest = beyond | ((F.col(at) == moment) & behind)
+            df = df.where(rest | F.col(at).isNull() if newest_first else rest)
+    order = F.desc(at) if newest_first else F.asc(at)
+    return df.orderBy(order, "id").limit(clamp_page(1, size)[1])
+
+
+GRAM = 3  # characters of a posting
+SEARCHED = ("request_number", "customer_name")
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of ``GRAM`` characters of a text, in lower case; none of a shorter or missing one."""
+    low = F.lower(text)
+    starts = F.sequence(F.lit(1), F.length(low) - (GRAM - 1))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(GRAM))))
+    return F.when(F.length(low) >= GRAM, pieces).otherwise(F.array().cast("array<string>"))
+
+
+def search_index(requests: DataFrame) -> DataFrame:
+    """(gram, id): in which requests each piece of three characters occurs. Stored by gram, a search reads few of them."""
+    both = F.array_distinct(F.concat(*[_grams(F.coalesce(F.col(c), F.lit(""))) for c in SEARCHED]))
+    return requests.select(F.explode(both).alias("gram"), "id").distinct()
+
+
+def search_by_index(requests: DataFrame, index: DataFrame, text: str) -> DataFrame:
+    """``search_requests`` by postings: requests that have all pieces of the text, then the exact test.
+
+    A text of fewer than three characters has no pieces; all requests are scanned for it.
+    """
+    asked = index.sparkSession.range(1).select(F.explode(_grams(F.lit(text))).alias("gram"))
+    wanted = [r["gram"] for r in asked.collect()]  # as many as the text has characters
+    if not wanted:
+        return search_requests(requests, text)
+    met = index.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    return search_requests(requests.join(met.select("id"), "id", "left_semi").select(*requests.columns), text)
+
+
 def get_request(requests: DataFrame, key: str, role: str = "Administrator", department=None) -> DataFrame:
     """The request with this id or number, if the role may see it."""
     match = (F.col("id") == key) | (F.col("request_number") == key)

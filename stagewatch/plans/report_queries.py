@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stagewatch import schema as S
 from stagewatch.functions import ladders, text
@@ -228,6 +229,40 @@ def requests_search(spark, d):
     return listing.search_requests(named, "R#0000000").select("id", "request_number", "customer_name")
 
 
+@query(
+    "requests_search_indexed",
+    """SELECT text, id, request_number, c_name AS customer_name FROM reqs LEFT JOIN customer ON c_custkey = user_id,
+    (VALUES ('R#0000000'), ('00080'), ('#0'), ('no such text')) q(text)
+    WHERE contains(lower(request_number), lower(text)) OR contains(lower(c_name), lower(text))""",
+)
+def requests_search_indexed(spark, d):
+    """Searches by postings: by customer, by number, by a text too short for a posting, and for nothing."""
+    named = bulk.with_customer(bulk.requests(spark, d), spark, d)
+    index = listing.search_index(named)
+    found = [
+        listing.search_by_index(named, index, text).select(F.lit(text).alias("text"), "id", "request_number", "customer_name")
+        for text in ("R#0000000", "00080", "#0", "no such text")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "events_page_after",
+    """SELECT id, request_id, occurred_at, CAST((n-1)//40 + 1 AS BIGINT) AS page FROM
+    (SELECT *, row_number() OVER (ORDER BY occurred_at DESC, id) AS n FROM ev WHERE event_type = 'click') WHERE n <= 120""",
+)
+def events_page_after(spark, d):
+    """Three pages of the click events, each from the last row of the one before."""
+    rows = listing.filter_events(bulk.plain_events(spark, d), event_type="click")
+    last, pages = None, []
+    for number in (1, 2, 3):
+        page = listing.page_after(rows, 40, last).select("id", "request_id", "occurred_at", F.lit(number).cast("bigint").alias("page"))
+        pages.append(page)
+        end = page.orderBy("occurred_at", F.desc("id")).first()
+        last = (end["occurred_at"], end["id"]) if end else last
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query(
     "request_lookup",
     f"SELECT {', '.join(_REQUEST)} FROM reqs WHERE request_number = 'SR-2024-000000000804'",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from stagewatch import schema as S
 from stagewatch.operators import broadcast, ingest, sla, timeline
 from stagewatch.sources.tables import read_batches
-from stagewatch.streaming.store import Store, first_day, repeated_ids
+from stagewatch.streaming.store import Store, bucket_of, buckets_in, first_day, repeated_ids
 
 ATTEMPTS = 3
 PAUSE_SECONDS = 0.2  # before a failed step is tried again, doubled each time
@@ -51,8 +51,16 @@ def default_steps(spark: SparkSession, store: Store, rules: DataFrame, within_da
     store = store.of("ingest")
 
     def timeline_step(batch: DataFrame, batch_id: int) -> None:
-        entries = batch.select("request_id", F.col("id").alias("event_id"), F.col("received_at").alias("appended_at"))
+        """Entries with their positions: a request's count so far goes on, of which only its bucket is read."""
+        near = buckets_in(batch, bucket_of("request_id"))
+        counts = read_batches(spark, COUNT, store.path("timeline_counts"), store.earlier(batch_id) & near)
+        held = counts.groupBy("request_id").agg(F.max("n").alias("_held"))
+        entries = timeline.timeline_positions(batch).join(held, "request_id", "left")
+        entries = entries.withColumn("position", F.col("position") + F.coalesce("_held", F.lit(0))).select(*ENTRY.names)
         store.write(entries, "timeline_entries", batch_id)
+        own = read_batches(spark, ENTRY, store.path("timeline_entries"), store.mine(batch_id))
+        reached = own.groupBy("request_id").agg(F.max("position").alias("n")).withColumn("bucket", bucket_of("request_id"))
+        store.write(reached, "timeline_counts", batch_id, by="bucket")
 
     def candidates(batch: DataFrame, batch_id: int) -> DataFrame:
         """Alerts for the stages a batch ends: its events after the latest earlier one per request."""
@@ -150,8 +158,9 @@ STATUS = T.StructType(
 )
 ENTRY = T.StructType(
     [T.StructField("request_id", T.StringType()), T.StructField("event_id", T.StringType()),
-     T.StructField("appended_at", T.TimestampType())]
+     T.StructField("position", T.LongType()), T.StructField("appended_at", T.TimestampType())]
 )
+COUNT = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("n", T.LongType())])
 
 
 def stored_events(spark: SparkSession, store: Store) -> DataFrame:
@@ -161,11 +170,8 @@ def stored_events(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def stored_timelines(spark: SparkSession, store: Store) -> DataFrame:
-    """Timeline entries with their positions, which follow from the order of arrival."""
-    entries = read_batches(spark, ENTRY, store.path("timeline_entries"))
-    return timeline.timeline_positions(
-        entries.select("request_id", F.col("event_id").alias("id"), F.col("appended_at").alias("received_at"))
-    )
+    """Timeline entries with the positions they got on arrival, batch after batch."""
+    return read_batches(spark, ENTRY, store.path("timeline_entries"))
 
 
 def drop_repeats(events: DataFrame, within: str) -> DataFrame:

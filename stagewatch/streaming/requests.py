@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from stagewatch.functions.times import instant
+from stagewatch.operators.analytics import check_trend_range
+from stagewatch.operators.sla import rate
 from stagewatch.sources.tables import read_batches
 from stagewatch.streaming.sla_monitor import HOUR, merge_runs, micros, reduce_runs, rule_limits
 from stagewatch.streaming.store import Store, bucket_of, buckets_in
@@ -40,6 +43,16 @@ STATE = T.StructType(
 )
 
 
+_OLD = {"old_stage": "current_stage", "old_department": "assigned_department", "old_created_at": "created_at", "old_breached": "sla_breached"}
+CHANGE = T.StructType([*STATE.fields, *[T.StructField(new, STATE[old].dataType) for new, old in _OLD.items()]])
+DAY = T.StructType(
+    [
+        T.StructField("day", T.TimestampType()), T.StructField("department", T.StringType()), T.StructField("stage", T.StringType()),
+        T.StructField("requests", T.LongType()), T.StructField("breached", T.LongType()),
+    ]
+)
+
+
 def pieces(pdf: pd.DataFrame, limits: dict[str, float]) -> pd.DataFrame:
     """Runs of an Arrow batch, and of each request its first event with the time of its last."""
     pdf = pdf.sort_values(["request_id", "occurred_at", "id"], kind="stable")
@@ -108,7 +121,7 @@ def shown(key: str, state: dict, version: int) -> list:
 
 
 def request_state_stream(events: DataFrame, rules: DataFrame, arrival_delay: str = "1 hour", keep: timedelta = timedelta(days=30)) -> DataFrame:
-    """Changed rows of requests, numbered by ``version``, from a stream of canonical events.
+    """Changed rows of requests, numbered by ``version``, with what they replace, from a stream of canonical events.
 
     Files may come out of order of arrival by ``arrival_delay``. The state of a request stays as long as the stream does.
     """
@@ -137,33 +150,76 @@ def request_state_stream(events: DataFrame, rules: DataFrame, arrival_delay: str
         if due is not None:
             state.setTimeoutTimestamp(max(due // 1000 + 1, clock // 1000 + 1))
         if changed:
-            for place in (2, 4, 5, 7):
-                row[place] = pd.NaT if row[place] is None else pd.Timestamp(row[place], unit="us")
-            yield pd.DataFrame([row], columns=STATE.names)
+            before = held.get("row") or [None] * len(STATE.names)
+            row += [before[STATE.names.index(old)] for old in _OLD.values()]
+            for place, field in enumerate(CHANGE.fields):
+                if isinstance(field.dataType, T.TimestampType):
+                    row[place] = pd.NaT if row[place] is None else pd.Timestamp(row[place], unit="us")
+            yield pd.DataFrame([row], columns=CHANGE.names)
 
     given = events.select("request_id", "occurred_at", "id", "new_state", "department", "received_at")
     return (
         given.mapInPandas(compact, PIECE)
         .withWatermark("arrived_at", arrival_delay)
         .groupBy("request_id")
-        .applyInPandasWithState(step, STATE, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step, CHANGE, "held string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def start_request_states(
     events: DataFrame, rules: DataFrame, store: Store, checkpoint: str, arrival_delay: str = "1 hour", keep: timedelta = timedelta(days=30)
 ):
-    """Write the changed rows of requests to the store, in buckets of the request."""
+    """Write the changed rows of requests to the store, in buckets of the request, and what they change in the day totals."""
     store = store.of("requests")
     store.claim(events.sparkSession, checkpoint)
 
     def write(rows: DataFrame, batch_id: int) -> None:
         store.write(rows.withColumn("bucket", bucket_of("request_id")), "request_states", batch_id, by="bucket")
+        # Read back: the stateful frame of a micro-batch must be computed only once.
+        own = read_batches(rows.sparkSession, CHANGE, store.path("request_states"), store.mine(batch_id))
+        store.write(day_changes(own).coalesce(1), "day_changes", batch_id)
 
     states = request_state_stream(events, rules, arrival_delay, keep)
     return states.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+def day_changes(rows: DataFrame) -> DataFrame:
+    """What changed rows add to and take back from the totals by day of origin, department and stage."""
+
+    def counted(df: DataFrame, old: bool, sign: int) -> DataFrame:
+        stage, department, created, breached = (F.col(c) for c in (_OLD if old else _OLD.values()))
+        return df.select(
+            F.date_trunc("DAY", created).alias("day"), department.alias("department"), stage.alias("stage"),
+            F.lit(sign).cast("bigint").alias("requests"), (F.lit(sign) * breached.cast("int")).cast("bigint").alias("breached"),
+        )
+
+    both = counted(rows, False, 1).unionByName(counted(rows.where(F.col("old_created_at").isNotNull()), True, -1))
+    sums = both.groupBy("day", "department", "stage").agg(F.sum("requests").alias("requests"), F.sum("breached").alias("breached"))
+    return sums.where((F.col("requests") != 0) | (F.col("breached") != 0))
+
+
+def day_totals(spark: SparkSession, store: Store) -> DataFrame:
+    """Requests and breaches by day of origin, department and stage, as the changes add up to now."""
+    changes = read_batches(spark, DAY, store.path("day_changes"))
+    sums = changes.groupBy("day", "department", "stage").agg(F.sum("requests").alias("requests"), F.sum("breached").alias("breached"))
+    return sums.where(F.col("requests") != 0)
+
+
+def trends_of(totals: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Volume and compliance per day, from totals of whole days: ``analytics.trends`` without reading a request."""
+    check_trend_range(start, end)
+    days = totals.where(F.col("day").between(F.date_trunc("DAY", instant(start)), instant(end))).groupBy("day")
+    sums = days.agg(F.sum("requests").alias("volume"), F.sum("breached").alias("breached"))
+    return sums.withColumn("compliance_rate", rate(F.col("volume"), F.col("breached")))
+
+
+def compliance_of(totals: DataFrame, by: str) -> DataFrame:
+    """Requests, breaches and compliance by ``department`` (missing: Unassigned) or ``stage``, from the totals."""
+    name = F.coalesce(F.col(by), F.lit("Unassigned")) if by == "department" else F.col(by)
+    sums = totals.groupBy(name.alias(by)).agg(F.sum("requests").alias("total"), F.sum("breached").alias("breached"))
+    return sums.withColumn("compliance_rate", rate(F.col("total"), F.col("breached")))
+
+
 def stored_requests(spark: SparkSession, store: Store, requests: DataFrame | None = None) -> DataFrame:
     """The latest row of every request, or of the given ones, of which only the buckets are read."""
     where = None

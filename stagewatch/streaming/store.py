@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from stagewatch import schema as S
 from stagewatch.operators.lifecycle import apply_log
+from stagewatch.operators.listing import page_after
 from stagewatch.sources.tables import read_batches, write_batch
 
 MAX_BROADCAST_BYTES = 64 << 20  # of a batch's ids, which meet the store
@@ -35,6 +36,10 @@ LOG = T.StructType(
 ID = T.StructType([T.StructField("id", T.StringType())])
 FILTER = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("word", T.LongType()), T.StructField("bits", T.LongType())])
 CLAIM = T.StructType([T.StructField("checkpoint", T.StringType())])
+DAYS = T.StructType(
+    [T.StructField("day", T.DateType()), T.StructField("first_arrival", T.DateType()),
+     T.StructField("last_arrival", T.DateType()), T.StructField("events", T.LongType())]
+)
 
 
 def bucket_of(key: str | Column) -> Column:
@@ -93,6 +98,11 @@ class Store:
         until then another job takes copies of them for duplicates, as they are.
         """
         self.write_ids(events, batch_id)
+        arrival = F.to_date("received_at")
+        days = events.groupBy(F.to_date("occurred_at").alias("day")).agg(
+            F.min(arrival).alias("first_arrival"), F.max(arrival).alias("last_arrival"), F.count(F.lit(1)).alias("events")
+        )
+        self.write(days.coalesce(1), "event_days", batch_id)
         self.write(events.withColumn("received_date", F.to_date("received_at")), "events", batch_id, by="received_date")
 
     def write_ids(self, events: DataFrame, batch_id: int) -> None:
@@ -104,6 +114,10 @@ class Store:
     def mine(self, batch_id: int) -> Column:
         return (F.col("stream") == self.name) & (F.col("batch_id") == batch_id)
 
+    def earlier(self, batch_id: int) -> Column:
+        """Partitions of other streams, and of this one those of batches before the given one."""
+        return (F.col("stream") != self.name) | (F.col("batch_id") < batch_id)
+
     def before(self, spark: SparkSession, name: str, batch_id: int, since: date | None = None, where: Column | None = None) -> DataFrame:
         """A table as it was without the given batch; events optionally from a day of arrival on."""
         kept = ~self.mine(batch_id)
@@ -208,6 +222,31 @@ def repeated_ids(spark: SparkSession, store: Store, judged: DataFrame, batch_id:
     return read_batches(spark, ID, store.path("repeated_ids"), store.mine(batch_id))
 
 
+def events_after(spark: SparkSession, store: Store, size: int, last: tuple | None = None) -> DataFrame:
+    """The page of live events, newest first, behind the row ``last`` = (time, id) of the page before.
+
+    The days of events, a row per day and batch, say how far back a page reaches and on which days those events arrived:
+    only the partitions of these arrival days are read.
+    """
+    days = read_batches(spark, DAYS, store.path("event_days"))
+    if last is not None:
+        days = days.where(F.col("day") <= F.lit(last[0].date()))
+    known = days.groupBy("day").agg(F.sum("events").alias("n"), F.min("first_arrival").alias("a"), F.max("last_arrival").alias("b"))
+    reach, first, until, oldest = 0, None, None, None
+    # Newest days first, as many as hold a page behind the last row's own day.
+    for r in known.orderBy(F.desc("day")).limit(MAX_FILES).collect():
+        reach += r["n"] if last is None or r["day"] < last[0].date() else 0
+        first, until = (r["a"], r["b"]) if first is None else (min(first, r["a"]), max(until, r["b"]))
+        oldest = r["day"]
+        if reach >= size:
+            break
+    events = read_batches(spark, S.TABLES["events"], store.path("events"), keep=("received_date",))
+    if reach >= size:
+        near = F.col("received_date").between(F.lit(first), F.lit(until)) & (F.col("occurred_at") >= F.lit(oldest).cast("timestamp"))
+        events = events.where(near)
+    return page_after(events.drop("received_date"), size, last)
+
+
 def index_events(spark: SparkSession, store: Store) -> None:
     """Write ids and filters of all stored events, for a store that was written before it had them."""
     events = read_batches(spark, ID, store.path("events"), keep=("stream", "batch_id"))

@@ -126,3 +126,25 @@ def test_created_alerts_and_payloads(spark):
     events = spark.createDataFrame([("e", "r", START)], "id string, request_id string, received_at timestamp")
     got = {r.channel: r.event for r in broadcast.broadcast_payloads(made, events).collect()}
     assert got == {"alert:Warning": "alert_created", "request:r": "event_received"}
+
+
+@pytest.mark.parametrize("newest_first", [True, False])
+def test_pages_by_key(spark, newest_first):
+    """Put end to end they are the whole order, ties and missing times included."""
+    rows = [(f"i{k:02d}", None if k % 9 == 4 else datetime(2024, 1, 1 + k % 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, occurred_at timestamp")
+    order = F.desc("occurred_at") if newest_first else F.asc("occurred_at")
+    want = [tuple(r) for r in df.orderBy(order, "id").select("occurred_at", "id").collect()]
+    got, last = [], None
+    while page := [(r.occurred_at, r.id) for r in listing.page_after(df, 7, last, newest_first=newest_first).collect()]:
+        got, last = got + page, page[-1]
+    assert got == want
+
+
+def test_search_by_postings_equals_the_scan(spark):
+    names = ["Müller & Söhne", "ACME", "acme corp", "a%b_c", None, "", "ab", "İstanbul", "aaaaaa", "Customer#000000123"]
+    requests = spark.createDataFrame([(f"r{k}", f"SR-2024-{k:05d}", n) for k, n in enumerate(names)], "id string, request_number string, customer_name string")
+    index = listing.search_index(requests)
+    for text in ("acme", "ACM", "ac", "", "a%b", "%", "aaa", "aaaaaaa", "SR-2024", "0000", "#00000012", "söh", "İst", "nothing", "me co"):
+        scan = {r.id for r in listing.search_requests(requests, text).collect()}
+        assert {r.id for r in listing.search_by_index(requests, index, text).collect()} == scan, text

@@ -6,10 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagewatch import schema as S
-from stagewatch.operators import ingest, lifecycle, predict
+from stagewatch.operators import analytics, ingest, lifecycle, predict, sla, timeline
 from stagewatch.sources import bulk, generations, tables
 from stagewatch.streaming import alerts as alert_stream, archive, ingest as stream, requests, sla_monitor, store as stores
-from stagewatch.operators import sla
 from tests.conftest import SMALL
 from tests.test_streaming import RAW, land, same
 
@@ -177,6 +176,16 @@ def test_request_states_equal_the_batch_after_disorder(spark, tmp_path):
     want = sla.request_states(late, rules, datetime(2024, 3, 1))
     assert want.where("sla_breached").count() > 10 and want.where("not sla_breached").count() > 10
     assert same(got.select(*want.columns), want)
+    # Day totals took back what each change replaced: they equal a recount.
+    totals = requests.day_totals(spark, store).where("day < '2024-02-15'")
+    created = F.date_trunc("DAY", "created_at").alias("day")
+    recount = want.groupBy(created, F.col("assigned_department").alias("department"), F.col("current_stage").alias("stage")).agg(F.count("*").alias("requests"), F.count_if("sla_breached").alias("breached"))
+    assert same(totals, recount)
+    assert spark.read.parquet(store.path("day_changes")).where("requests < 0").count() > 0
+    start, end = datetime(2024, 1, 3), datetime(2024, 1, 20, 23, 59, 59, 999000)
+    assert same(requests.trends_of(totals, start, end), analytics.trends(want, start, end))
+    by = {r.department: (r.total, r.breached) for r in requests.compliance_of(totals, "department").collect()}
+    assert by["Unassigned"] == (want.where("assigned_department IS NULL").count(), want.where("assigned_department IS NULL AND sla_breached").count())
     some = want.select("request_id").limit(3)
     assert same(requests.stored_requests(spark, store, some), got.join(some, "request_id", "left_semi").select(*got.columns))
 
@@ -197,6 +206,37 @@ def test_late_event_takes_back_a_breach():
     assert requests.shown("r", state, 3)[1:5] == ["Approval", 20 * hour, "Sales", 0]
 
 
+def test_positions_go_on_from_batch_to_batch(spark, tmp_path):
+    store = stream.Store(str(tmp_path / "store"))
+    step = stream.default_steps(spark, store, bulk.rules(spark))["timeline-update"]
+    rows = event_rows(60)
+    for batch in (0, 1, 2, 1):  # the second one is replayed
+        step(events_of(spark, rows[batch * 20 : batch * 20 + 20]), batch)
+    want = timeline.timeline_positions(events_of(spark, rows))
+    assert same(stream.stored_timelines(spark, store), want)
+
+
+def test_pages_end_to_end_are_the_listing(spark, tmp_path):
+    store = stream.Store(str(tmp_path / "store"), kind="ingest")
+    rows = [r for d in range(1, 8) for r in event_rows(9, d, f"d{d}-")]
+    rows += event_rows(4, 7, "late-", occurred=datetime(2024, 1, 3, 12))  # arrived four days late
+    for batch in range(3):
+        store.write_events(events_of(spark, rows[batch::3]), batch)
+    want = [(r.occurred_at, r.id) for r in store.read(spark, "events").orderBy(F.desc("occurred_at"), "id").collect()]
+    got, last = [], None
+    for number in range(20):
+        page = stores.events_after(spark, store, 7, last)
+        if number == 1:
+            plan = page._jdf.queryExecution().executedPlan().toString()
+            assert "received_date" in plan.split("PartitionFilters:")[1].split("]")[0]
+        found = [(r.occurred_at, r.id) for r in page.collect()]
+        if not found:
+            break
+        got += found
+        last = found[-1]
+    assert got == want and len(got) == 67
+
+
 # Generations
 
 

@@ -117,6 +117,27 @@ def test_messages_fan_out_and_replay(spark):
     assert sorted((r.connection_id, r.source_id) for r in missed.collect()) == [("c1", "m20"), ("c1", "m40"), ("c1", "x"), ("c2", "m40")]
 
 
+def many_channels(spark):
+    """Messages, and a few bytes of clients that subscribe to many channels."""
+    n = F.col("id")
+    payloads = spark.range(3000).select(
+        F.concat(F.lit("request:"), (n % 1500).cast("string")).alias("channel"), F.lit("e").alias("event"), F.lit("{}").alias("data"),
+        F.timestamp_micros(n * 1_000_000).alias("sent_at"), n.cast("string").alias("source_id"),
+    )
+    clients = spark.range(20).select(
+        F.concat(F.lit("c"), n.cast("string")).alias("connection_id"),
+        F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("request:"), (n * 100 + i).cast("string"))).alias("subscribed_channels"),
+        F.lit(None).cast("timestamp").alias("last_received_at"),
+    )
+    return payloads, clients
+
+
+def test_delivery_counts_broadcast_no_subscriptions(spark):
+    counts = broadcast.delivery_counts(*many_channels(spark))
+    assert "BroadcastHashJoin" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r.connection_id: r.messages for r in counts.collect()} == {f"c{k}": 200 for k in range(15)}
+
+
 def test_created_alerts_and_payloads(spark):
     made = broadcast.create_alerts(
         spark.createDataFrame([("a", "r", S.ESCALATION, "Warning", "m", None)], "id string, request_id string, alert_type string, severity string, message string, metadata string"), START

@@ -138,6 +138,15 @@ def test_delivery_counts_broadcast_no_subscriptions(spark):
     assert {r.connection_id: r.messages for r in counts.collect()} == {f"c{k}": 200 for k in range(15)}
 
 
+def test_fan_out_broadcasts_no_subscriptions(spark):
+    payloads, clients = many_channels(spark)
+    sent = broadcast.fan_out(payloads, clients)
+    assert "BroadcastHashJoin" not in sent._jdf.queryExecution().executedPlan().toString()
+    queue = broadcast.delivery_queue(payloads, clients, hot={})
+    assert "BroadcastHashJoin" not in queue._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.connection_id, r.delivery_no) for r in queue.collect()) == sorted((f"c{k}", n) for k in range(15) for n in range(1, 201))
+
+
 def test_created_alerts_and_payloads(spark):
     made = broadcast.create_alerts(
         spark.createDataFrame([("a", "r", S.ESCALATION, "Warning", "m", None)], "id string, request_id string, alert_type string, severity string, message string, metadata string"), START

@@ -9,10 +9,14 @@ must match the smaller of its two numbers. Pairs that match are verified exactly
 How it stays linear in groups of copies. Documents with equal sets are one class from the start. In hub rounds each
 prefix shingle pairs its documents with one hub only; verified links make components, and only pairs
 between components are tried again, with other hubs, while that yields links. The last round takes all pairs of the
-prefix index whose documents still lie in different components, which are all that may add a link. Groups are never
+prefix index whose documents still lie in different components, which are all that may join two more. Groups are never
 listed as pairs; nothing is dropped or capped. A prefix shingle's positions
 bound the overlap a pair can reach, and pairs that cannot reach the threshold are not made.
 
+These links make the components; each other link lies within one. To count them all, the classes of a component meet in
+tiles, each two blocks of bounded bytes whose sizes can be similar, and a tile counts what its sets share at once. That
+compares different texts of one component pair by pair, in memory; copies stay one class, with their number as its weight.
+
 Frequencies come from a count sketch of ``SKETCH`` cells over all documents, 4 MB whatever the input; it only
 orders shingles, estimates costs and tells frequent shingles, the result does not depend on it.
 
@@ -23,8 +27,8 @@ shingles become rows. A shingle too frequent for one task, by the sketch, is tak
 Words are runs of characters other than ASCII white space, with A-Z lower-cased; a document of fewer than five words is
 one shingle. Shingles are 64-bit hashes, equal sets are found by 128 bits.
 
-Defined cases: null, empty and blank texts have no shingles and link with nothing; a null doc_id joins its class but
-names none, and comes back as its own component null; rows with one doc_id and different texts are joined with each
+Defined cases: null, empty and blank texts have no shingles and link with nothing; a null doc_id joins its class and
+links like others but names none, and comes back as its own component null; rows with one doc_id and different texts are joined with each
 other through it; repeated rows give a row each; an empty table gives no rows; other columns are ignored, whatever
 their names.
 """
@@ -55,6 +59,11 @@ ROWS_OUT = 50_000
 REMEMBERED = 200_000  # sets whose copies a task does not index again
 LEAST_YIELD = 20  # hub rounds go on while one of so many pairs tried is a link
 CHUNK = 256  # pairs of one document verified together
+TILE = 256  # sets of a block, about
+TILE_BYTES = 8 << 20  # of a block's sets, about
+BAND = 1.3  # similar sets differ less in size, so they lie in one band of sizes or in two that border on each other
+FEW = 8  # sets with a shingle: up to so many are counted pair by pair, more by a product
+COLUMNS = 4096  # shingles of one product
 
 _WORD = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -342,35 +351,44 @@ def _pairs(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
     return met.select(a.alias("a"), b.alias("b"), need.alias("need"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sigs whose sets are similar, counted on the whole texts of one document of each class.
-
-    Pairs are dealt by ``a`` in chunks, each with its own copy of a's set, so that a set with very many partners
-    is no task's burden; a task holds one set and reads its partners one after another.
-    """
-    pairs = stored(pairs.select("a", "b"), "candidate-pairs")
-    docs = docs.where("doc_id IS NOT NULL")
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    chosen = classes.select("sig", F.col("named").alias("doc_id")).join(sides, "sig").where("doc_id IS NOT NULL")
+def class_sets(sides: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, hashes): the sets of the classes in ``sides``, each from one of its documents; once a task at least."""
+    chosen = stored(classes.select("sig", F.col("named").alias("doc_id")).join(sides, "sig"), "candidate-documents")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for part in slices(batches, "text", SLICE_BYTES):
             hashes, starts = shingle_sets(part.column("text"))
-            wanted = part.column("sig").to_numpy()
+            own, wanted = _signature(hashes, starts)[0], part.column("sig").to_pylist()
             if len(given) > REMEMBERED:
                 given.clear()
             # A doc_id may have other texts too; those are not of the class. Repeated rows give their set once a task.
             right = []
-            for k in np.flatnonzero(_signature(hashes, starts)[0] == wanted):
-                if int(wanted[k]) not in given:
-                    given.add(int(wanted[k]))
+            for k, sig in enumerate(own.tolist()):
+                if wanted[k] in (None, sig) and sig not in given:
+                    given.add(sig)
                     right.append(k)
             blobs = [hashes[starts[k] : starts[k + 1]].tobytes() for k in right]
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[right], pa.int64()), pa.array(blobs, pa.binary())], ["sig", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[right], pa.int64()), pa.array(blobs, pa.binary())], ["sig", "hashes"])
+
+    kind = "sig long, hashes binary"
+    named = docs.where("doc_id IS NOT NULL").join(bounded(chosen.where("doc_id IS NOT NULL")), "doc_id").select("sig", "text")
+    found = named.mapInArrow(tidy(sets), kind)
+    nameless = chosen.where("doc_id IS NULL").select("sig")
+    if not nameless.isEmpty():  # classes that only rows without a doc_id have: these rows give all their sets
+        rest = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("sig"), "text").mapInArrow(tidy(sets), kind)
+        found = found.unionByName(rest.join(bounded(nameless), "sig", "left_semi"))
+    return stored(found, "candidate-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sigs whose sets are similar, counted on the whole texts of one document of each class.
 
-    needed_docs = docs.join(bounded(stored(chosen, "candidate-documents")), "doc_id").select("sig", "text")
-    hashed = stored(needed_docs.mapInArrow(tidy(sets), "sig long, hashes binary"), "candidate-sets")
+    Pairs are dealt by ``a`` in chunks, each with its own copy of a's set, so that a set with very many partners
+    is no task's burden; a task holds one set and reads its partners one after another.
+    """
+    pairs = stored(pairs.select("a", "b"), "candidate-pairs")
+    hashed = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), docs, classes)
 
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     chunked = stored(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")), "pair-chunks")
@@ -430,7 +448,7 @@ def _placed(rows: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _links(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links that make the components: every pair of the index that is similar lies in one of theirs."""
+    """Links that make the components: every pair of the index that is similar lies in one of theirs. ``link_counts`` counts the others too."""
     links = done = None
     turn = 0
     apart = _c("l", "place") != _c("r", "place")
@@ -455,10 +473,96 @@ def _links(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(links.unionByName(more), "all-links")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share."""
+    k = len(sets)
+    token, owner = np.concatenate(sets), np.repeat(np.arange(k), [len(x) for x in sets])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    fresh = np.concatenate(([True], token[1:] != token[:-1]))
+    sizes = np.diff(np.append(np.flatnonzero(fresh), len(token)))
+    held = np.repeat(sizes, sizes)
+    few, by = token[held <= FEW], owner[held <= FEW]
+    both = np.zeros(k * k, np.int64)
+    for lag in range(1, min(FEW, len(few))):
+        same = few[lag:] == few[:-lag]
+        if not same.any():
+            break
+        both += np.bincount(by[:-lag][same] * k + by[lag:][same], minlength=k * k)
+    both = both.reshape(k, k)
+    both = both + both.T
+    by, column = owner[held > FEW], np.cumsum(fresh[held > FEW]) - 1
+    borders = np.searchsorted(column, np.arange(0, column[-1] + 1 + COLUMNS, COLUMNS)) if len(column) else []
+    for i, (p, q) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
+        stands = np.zeros((k, COLUMNS), np.float32)
+        stands[by[p:q], column[p:q] - i * COLUMNS] = 1
+        both += (stands @ stands.T).astype(np.int64)
+    return both
+
+
+def link_counts(linked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, links): the documents of other classes that are similar to a class, for each that has any.
+
+    ``linked`` are the components (id, least), outside of which there are no links. A component that is no block of its
+    own is divided by bands of sizes, and a band by hash into blocks.
+    """
+    ids = linked.select(F.col("id").alias("sig"), "least").unionByName(linked.select(F.col("least").alias("sig"), "least").distinct())
+    weights = classes.groupBy("sig").agg(F.sum("size").alias("size"), F.max("n").alias("n"))
+    members = stored(ids.join(weights, "sig"), "linked-classes")
+    blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES))
+    small = members.groupBy("least").agg((blocks == 1).alias("small"))
+    band = F.when(F.col("small"), 0).otherwise(F.floor(F.log("n") / F.log(F.lit(BAND)))).cast("long")
+    banded = stored(members.join(small, "least").withColumn("band", band), "banded-classes")
+    bands = banded.groupBy("least", "band").agg(blocks.alias("blocks"))
+    placed = banded.join(bands, ["least", "band"]).withColumn("block", F.pmod(F.xxhash64("sig"), "blocks"))
+
+    cells = bands.select("least", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    one, two = cells.alias("l"), cells.alias("r")
+    beside = ((_c("l", "band") == _c("r", "band")) & (_c("l", "block") <= _c("r", "block"))) | (_c("l", "band") + 1 == _c("r", "band"))
+    tiles = one.join(two, (_c("l", "least") == _c("r", "least")) & beside).select(
+        _c("l", "least").alias("least"), *[_c(s, c).alias(f"{c}_{s}") for s in ("l", "r") for c in ("band", "block")]
+    )
+    key = tiles.columns
+    right = F.when((F.col("band_l") < F.col("band_r")) | (F.col("block_l") < F.col("block_r")), F.struct(F.lit(1).alias("side"), F.col("band_r").alias("band"), F.col("block_r").alias("block")))
+    left = F.struct(F.lit(0).alias("side"), F.col("band_l").alias("band"), F.col("block_l").alias("block"))
+    sides = tiles.withColumn("cell", F.explode(F.array_compact(F.array(left, right)))).select(*key, "cell.*")
+    dealt = stored(placed.join(sides, ["least", "band", "block"]).select(*key, "side", "sig", "size"), "tiles")
+    hashed = class_sets(members.select("sig"), docs, classes)
+    rows = hashed.join(bounded(dealt), "sig").select(*key, "side", "sig", "size", "hashes")
+
+    def counted(tile: list[tuple]) -> pa.RecordBatch:
+        side, sig, size = (np.array(x, np.int64) for x in list(zip(*tile, strict=True))[:3])
+        sets = [np.frombuffer(x[3], np.uint64) for x in tile]
+        n, both = np.array([len(x) for x in sets]), shared_counts(sets)
+        similar = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
+        # Blocks of their own are compared with themselves in another tile.
+        similar &= side[:, None] != side[None, :] if side.any() else ~np.eye(len(sets), dtype=bool)
+        links = similar @ size
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(sig[some], pa.int64()), pa.array(links[some], pa.int64())], ["sig", "links"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile = None, []
+        for batch in batches:
+            for *where, side, sig, size, hashes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if where != at:
+                    if len(tile) > 1:
+                        yield counted(tile)
+                    at, tile = where, []
+                if not tile or tile[-1][:2] != (side, sig):  # several tasks may have given a set
+                    tile.append((side, sig, size, hashes))
+        if len(tile) > 1:
+            yield counted(tile)
+
+    found = rows.repartition(*key).sortWithinPartitions(*key, "side", "sig").mapInArrow(tidy(count), "sig long, links long")
+    return stored(found.groupBy("sig").agg(F.sum("links").alias("links")), "link-counts")
+
+
+def similar_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and n_links of every document.
 
-    n_links counts the links found from the document's class to others, and copies in it.
+    n_links is the number of other documents (rows) that the document is linked with, copies included; it is left out
+    without ``count_links``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stored(signatures(docs), "signatures")
@@ -471,33 +575,30 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rows = stored(shared_tokens(prefixes(docs, frequencies(sketched), parts), parts), "shared-tokens")
     every = _links(rows, docs, classes)
 
-    # From classes to documents: a class is named by its least doc_id.
-    ids = classes.where("named IS NOT NULL").select("sig", "named")
-    named = every.join(ids.select(F.col("sig").alias("a"), F.col("named").alias("x")), "a").join(ids.select(F.col("sig").alias("b"), F.col("named").alias("y")), "b")
     # Where a doc_id has several texts, its classes meet through it.
-    repeated = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["sig", "sig2"]).where("named <> doc_id").select(F.col("doc_id").alias("a"), F.col("named").alias("b"))
-    split_ids = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("p"), F.max("sig").alias("q")).where("p < q").select(F.col("doc_id").alias("a"))
-    whole = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(repeated.join(split_ids, "a", "left_semi")))
-    degree = every.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
-    of_class = (
-        classes.join(degree, "sig", "left")
-        .join(whole.withColumnRenamed("id", "named"), "named", "left")
-        .select("sig", "sig2", F.coalesce("least", "named").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    )
-    return (
-        signed.join(of_class, ["sig", "sig2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        )
-    )
+    own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    split_ids = own.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("q")).where("a < q").select("doc_id", "a")
+    repeated = stored(own.join(split_ids, "doc_id").select("a", F.col("sig").alias("b")).where("a <> b").distinct(), "split-ids")
+    linked = components(every)
+    whole = linked if repeated.isEmpty() else components(every.unionByName(repeated))
+    # From classes to documents: a component is named by its least doc_id.
+    place = F.coalesce("least", "sig")
+    of_class = classes.join(whole.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "sig2", "size", "named", place.alias("place"))
+    of_class = of_class.join(of_class.groupBy("place").agg(F.min("named").alias("component")), "place").select("sig", "sig2", "size", "component")
+    if count_links:
+        of_class = of_class.join(link_counts(linked, docs, classes), "sig", "left")
+    found = signed.join(of_class, ["sig", "sig2"], "left")
+    some = F.col("n_shingles") > 0
+    component = F.when(some & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    if not count_links:
+        return found.select("doc_id", "n_shingles", component)
+    n_links = F.when(some, F.coalesce("links", F.lit(0)) + F.col("size") - 1).otherwise(F.lit(0)).cast("long").alias("n_links")
+    return found.select("doc_id", "n_shingles", component, n_links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one that names it; documents without shingles or doc_id all stay."""
-    found = similar_components(docs)
+    found = similar_components(docs, count_links=False)
     extra = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(stored(extra, "near-copies"), "doc_id", "left_anti")
     return kept.select(*docs.columns)
@@ -505,4 +606,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")

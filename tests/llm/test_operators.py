@@ -143,6 +143,43 @@ def test_jaccard_join_of_ids_with_several_texts(spark):
     assert got == {(j, i) for i in range(8) for j in (i, 100 + i)}
 
 
+def links_of(rows):
+    """Of each row the number of other rows it is linked with, by comparing all pairs."""
+    sets = []
+    for _, text, _, _ in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    similar = [[bool(a) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    return sorted((i if i is not None else -1, sum(own) - own[k]) for k, (own, (i, *_)) in enumerate(zip(similar, rows, strict=True)))
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, tile):
+    """Links within a component count too: a chain, a group of near copies, copies, long and short sets of one component."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    rng = random.Random(5)
+    texts = [[f"g{k}" if rng.random() > 0.01 else f"x{rng.random()}" for k in range(60)] for _ in range(40)]
+    texts += [[f"c{k}" for k in range(4 * n, 4 * n + 90)] for n in range(12)]
+    texts += [[f"s{k}" for k in range(round(20 * 1.1**n))] for n in range(15)]
+    texts += [texts[0]] * 4 + [["one", "two"]] * 2 + [[]]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    got = jaccard_join.similar_components(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == links_of(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["n_shingles"]} == linked(rows[:-1])
+
+
+def test_jaccard_join_links_through_rows_without_ids(spark):
+    """Rows without a doc_id are compared like others: two documents may be linked only through one."""
+    rows = []
+    for i in range(6):
+        words = [f"d{i}w{k}" for k in range(120)]
+        rows += [(10 + i, " ".join(words[:100]), "en", "a"), (None, " ".join(words[10:110]), "en", "a"), (20 + i, " ".join(words[20:]), "en", "a")]
+    got = jaccard_join.similar_components(docs_of(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {j + i: 10 + i for i in range(6) for j in (10, 20)}
+    assert sorted((r["doc_id"] or -1, r["n_links"]) for r in got) == links_of(rows)
+
+
 def test_shingles_ignore_batch_borders():
     import pyarrow as pa
 
